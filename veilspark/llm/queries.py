@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, sentencepiece_bpe, token_counts
+from . import decontaminate, langid, media, sentencepiece_bpe, sharding, token_counts
 from .runtime import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +54,19 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@_register
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.read_features(media.store(table(spark, sf_dir, "documents")))
+
+
+@_register
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+@_register
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.fit(docs))
