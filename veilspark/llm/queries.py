@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, media, sentencepiece_bpe, sharding, token_counts
-from .runtime import table
+from . import decontaminate, langid, media, sentencepiece_bpe, sharding, token_counts, token_files
+from .runtime import shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -70,3 +70,9 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.predict(docs, langid.fit(docs))
+
+
+@_register
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_dir(spark)
+    return token_files.read(token_files.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 1, folder), folder)

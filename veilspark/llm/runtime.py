@@ -173,3 +173,22 @@ def word_runs(is_word: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndar
 def picked(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that other columns can't clash with an operator's own."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+class Memo(dict):
+    """Remembers fn(key) of the keys used last, in two generations of bounded size; `fresh` lists what was computed since it was emptied."""
+
+    def __init__(self, fn, most: int):
+        super().__init__()
+        self.fn, self.most, self.old, self.fresh = fn, most, {}, []
+
+    def __missing__(self, key):
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        value = self.old.get(key)
+        if value is None:
+            value = self.fn(key)
+            self.fresh.append((key, value))
+        self[key] = value
+        return value

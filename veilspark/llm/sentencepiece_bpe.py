@@ -25,31 +25,12 @@ from . import runtime as R
 
 MARK = "▁"
 #: Distinct units in each of the two generations that a worker remembers.
-MEMO_UNITS = 500_000
+MEMO_UNITS = 800_000
 #: Up to so many symbols the agenda is a flat list; beyond, a heap.
 FLAT_SYMBOLS = 48
 _UNIT = re.compile(f"{MARK}+[^{MARK}]*")
 
 
-class Memo(dict):
-    """Remembers fn(key) of the keys used last, in two generations of bounded size; `fresh` lists what was computed since it was emptied."""
-
-    def __init__(self, fn, most: int):
-        super().__init__()
-        self.fn, self.most, self.old, self.fresh = fn, most, {}, []
-
-    def __missing__(self, key):
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        value = self.old.get(key)
-        if value is None:
-            value = self.fn(key)
-            self.fresh.append((key, value))
-        self[key] = value
-        return value
-
-
 class Vocabulary:
     """Pieces and scores of a merge-type model file, and the library's processor to check against."""
 
@@ -69,7 +50,7 @@ class Vocabulary:
         # byte values of what each id decodes to; control ids decode to nothing
         back = {i: bytes([b]) for b, i in self.bytes.items()}
         self.plain = [back.get(i, b"" if i in special else p.replace(MARK, " ").encode()) for i, p in enumerate(self.pieces)]
-        self.memo = Memo(lambda word: array("I", self.merge(MARK + word)).tobytes(), MEMO_UNITS)
+        self.memo = R.Memo(lambda word: array("I", self.merge(MARK + word)).tobytes(), MEMO_UNITS)
 
     def merge(self, unit: str) -> list[int]:
         """Ids of one unit by the agenda: the best-scored adjacent pair is joined, the leftmost of equals first."""
