@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, media, sentencepiece_bpe, sharding, token_counts, token_files
+from . import decontaminate, langid, media, sentencepiece_bpe, sharding, token_counts, token_files, warc
 from .runtime import shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,19 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark)
     return token_files.read(token_files.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 1, folder), folder)
+
+
+@_register
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_dir(spark)
+    return warc.read(warc.write(table(spark, sf_dir, "pages"), folder), folder).drop("url")
+
+
+ORACLE_SQL["op2_warc"] = """
+WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+h AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS head FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> head THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> head THEN head END AS refers_to
+FROM h
+"""
