@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, media, sentencepiece_bpe, sharding, token_counts, token_files, warc
+from . import decontaminate, langid, media, minhash, sentencepiece_bpe, sharding, token_counts, token_files, warc
 from .runtime import shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,24 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 1000 AND page_id <> head THEN head END AS refers_to
 FROM h
 """
+
+
+@_register
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
+ORACLE_SQL["op10_minhash"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 1], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (SELECT x, y FROM pairs JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+edge AS (SELECT x, y FROM link UNION SELECT y, x FROM link),
+reach(d, r) AS (SELECT x, y FROM edge UNION SELECT reach.d, edge.y FROM reach JOIN edge ON reach.r = edge.x),
+least AS (SELECT d, min(r) AS r FROM reach GROUP BY d)
+SELECT documents.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(documents.doc_id, coalesce(r, documents.doc_id)) AS component_id,
+       documents.doc_id = least(documents.doc_id, coalesce(r, documents.doc_id)) AS kept
+FROM documents LEFT JOIN n ON n.doc_id = documents.doc_id LEFT JOIN least ON d = documents.doc_id
+"""
