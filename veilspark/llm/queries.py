@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, media, minhash, sentencepiece_bpe, sharding, token_counts, token_files, warc
+from . import decontaminate, langid, media, minhash, sentencepiece_bpe, sharding, suffix_dedup, token_counts, token_files, warc
 from .runtime import shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,26 @@ SELECT documents.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(doc
        documents.doc_id = least(documents.doc_id, coalesce(r, documents.doc_id)) AS kept
 FROM documents LEFT JOIN n ON n.doc_id = documents.doc_id LEFT JOIN least ON d = documents.doc_id
 """
+
+
+@_register
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
+ORACLE_SQL["op6_suffix_dedup"] = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents),
+s AS (SELECT doc_id, i, substr(x, 2 * i + 1, 100) AS k FROM (SELECT doc_id, x, unnest(range(0, n - 49)) AS i FROM d WHERE n >= 50)),
+lead AS (SELECT k, min(doc_id) AS m FROM s GROUP BY k HAVING min(doc_id) < max(doc_id)),
+hit AS (SELECT doc_id, i FROM s JOIN lead USING (k) WHERE doc_id > m),
+gap AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50, true) AS new FROM hit),
+run AS (SELECT doc_id, i, sum(CAST(new AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM gap),
+span AS (SELECT doc_id, r, min(i) AS a, max(i) + 50 AS b FROM run GROUP BY doc_id, r),
+piece AS (
+  SELECT span.doc_id, a, substr(x, 2 * coalesce(lag(b) OVER w, 0) + 1, 2 * (a - coalesce(lag(b) OVER w, 0))) AS kept, b, x, n
+  FROM span JOIN d ON d.doc_id = span.doc_id WINDOW w AS (PARTITION BY span.doc_id ORDER BY a)),
+done AS (
+  SELECT doc_id, string_agg(kept, '' ORDER BY a) || substr(any_value(x), 2 * max(b) + 1) AS kept, count(*) AS n_spans FROM piece GROUP BY doc_id)
+SELECT d.doc_id, d.n AS n_bytes, CAST(d.n - strlen(coalesce(kept, x)) // 2 AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM d LEFT JOIN done ON done.doc_id = d.doc_id
+"""
