@@ -114,7 +114,7 @@ def _scan(windows_, carry: bool):
     """Arrow function: united with what earlier blocks found, the hits of one block; the text goes on if a block follows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, off in R.row_slices(batches):
+        for rows, data, off in R.row_slices(batches, "decontaminate"):
             s, e, doc, hit, items = find_hits(data, off, windows_.value)
             n = len(off) - 1
             spans: list[list] = [[] for _ in range(n)]
@@ -158,7 +158,7 @@ def digest(found: DataFrame) -> DataFrame:
 
 def _clean(windows_, drop_share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, off in R.row_slices(batches):
+        for rows, data, off in R.row_slices(batches, "decontaminate"):
             s, _, doc, hit, _ = find_hits(data, off, windows_.value)
             n = len(off) - 1
             n_hit, n_words = np.bincount(doc[hit], minlength=n), np.bincount(doc, minlength=n)

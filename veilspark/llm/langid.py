@@ -84,7 +84,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, data, off in R.row_slices(batches):
+    for rows, data, off in R.row_slices(batches, "langid"):
         bucket, owner, _ = features(R.texts_of(data, off))
         names, lang = np.unique(np.array(rows.column("lang").to_pylist(), object).astype(str), return_inverse=True)
         cell, n = np.unique(lang[owner].astype(np.int64) * BUCKETS + bucket, return_counts=True)
@@ -119,7 +119,7 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
 
 def _predict(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, off in R.row_slices(batches):
+        for rows, data, off in R.row_slices(batches, "langid"):
             lang, score = model.value.score(R.texts_of(data, off))
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("held_out"), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
@@ -139,7 +139,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 def _kept(model, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, off in R.row_slices(batches):
+        for rows, data, off in R.row_slices(batches, "langid"):
             lang, score = model.value.score(R.texts_of(data, off))
             yield rows.filter(pa.array([x != UNDETERMINED and s >= least for x, s in zip(lang, score)], pa.bool_()))
 

@@ -328,7 +328,7 @@ MEDIA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_by
 
 
 def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, data, off in R.row_slices(batches):
+    for rows, data, off in R.row_slices(batches, "media"):
         yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(np.diff(off)), pa.array(encode(*padded(data, off)), pa.binary())], MEDIA.names)
 
 

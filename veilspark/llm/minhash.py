@@ -111,7 +111,7 @@ SKETCH = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_s
 
 def _sketched(k: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, off in R.row_slices(batches):
+        for batch, data, off in R.row_slices(batches, "minhash"):
             sets = shingle_sets(data, off, k)
             keys = band_keys(super_minhash(sets, bands * rows), bands, rows).view(np.int64)
             n = [len(s) for s in sets]

@@ -3,6 +3,8 @@ tables that cut lineage, and views of Arrow text columns as byte arrays."""
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import posixpath
 import tempfile
@@ -31,18 +33,27 @@ def shared_dir(spark: SparkSession) -> str:
     return posixpath.join(base, f"veilspark-{uuid.uuid4().hex}")
 
 
-def cut(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, so a lost executor costs no recomputation."""
-    path = shared_dir(df.sparkSession)
-    writer = df.write.mode("overwrite").option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
+@contextlib.contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Queries that run inside drop their shuffle files when they end: a written table is all that is read of them later."""
+    before = spark.conf.get(_TIDY)
+    spark.conf.set(_TIDY, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_TIDY, before)
 
-def release(spark: SparkSession) -> None:
-    """Ask both collectors to run, so that Spark drops the shuffle files of finished steps."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to the shared folder and read it back: lineage ends there, so a lost executor costs no recomputation."""
+    spark = df.sparkSession
+    path = shared_dir(spark)
+    with tidy(spark):
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def is_plain_scan(df: DataFrame) -> bool:
@@ -83,14 +94,38 @@ def slices(off: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]
         i = min(j, n)
 
 
-def row_slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """(rows, bytes of their texts, offsets) in slices of bounded size."""
+#: What this worker does, and what frees the memory that an operator keeps between tasks.
+_DOES: list[str] = [""]
+KEPT: list[dict | list] = []
+
+
+def trim() -> None:
+    """Give freed memory back to the system (where the C library can)."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def turn_to(owner: str) -> None:
+    """A reused worker that turns to another operator forgets what the former kept."""
+    if _DOES[0] != owner:
+        for kept in KEPT:
+            kept.clear()
+        _POWERS[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+        gc.collect()
+        trim()
+        _DOES[0] = owner
+
+
+def row_slices(batches: Iterator[pa.RecordBatch], owner: str, text: str = "text", most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, bytes of their texts, offsets) in slices of bounded size, for the operator `owner`."""
+    turn_to(owner)
     for batch in batches:
         if not batch.num_rows:
             continue
         data, off = text_views(batch.column(batch.schema.get_field_index(text)))
         for i, j in slices(off, most):
             yield batch.slice(i, j - i), data[off[i] : off[j]], off[i : j + 1] - off[i]
+    trim()
 
 
 def texts_of(data: np.ndarray, off: np.ndarray) -> list[str]:
@@ -153,7 +188,8 @@ def run_hashes(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     """Hashes of the runs codes[start:end], each by its content alone. codes: positive integers."""
     up, down = _powers(len(codes))
     sums = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum(codes.astype(np.uint64) * up[: len(codes)], dtype=np.uint64, out=sums[1:])
+    np.multiply(codes, up[: len(codes)], out=sums[1:], dtype=np.uint64, casting="unsafe")
+    np.cumsum(sums, out=sums)
     return mix((sums[end] - sums[start]) * down[start])
 
 
@@ -176,11 +212,11 @@ def picked(df: DataFrame, *names: str) -> DataFrame:
 
 
 class Memo(dict):
-    """Remembers fn(key) of the keys used last, in two generations of bounded size; `fresh` lists what was computed since it was emptied."""
+    """Remembers fn(key) of the keys used last, in two generations of bounded size. With `listed`, `fresh` holds what was computed until it is emptied."""
 
-    def __init__(self, fn, most: int):
+    def __init__(self, fn, most: int, listed: bool = False):
         super().__init__()
-        self.fn, self.most, self.old, self.fresh = fn, most, {}, []
+        self.fn, self.most, self.old, self.fresh, self.listed = fn, most, {}, [], listed
 
     def __missing__(self, key):
         if len(self) >= self.most:
@@ -189,6 +225,7 @@ class Memo(dict):
         value = self.old.get(key)
         if value is None:
             value = self.fn(key)
-            self.fresh.append((key, value))
+            if self.listed:
+                self.fresh.append((key, value))
         self[key] = value
         return value

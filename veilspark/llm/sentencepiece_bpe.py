@@ -25,7 +25,7 @@ from . import runtime as R
 
 MARK = "▁"
 #: Distinct units in each of the two generations that a worker remembers.
-MEMO_UNITS = 800_000
+MEMO_UNITS = 400_000
 #: Up to so many symbols the agenda is a flat list; beyond, a heap.
 FLAT_SYMBOLS = 48
 _UNIT = re.compile(f"{MARK}+[^{MARK}]*")
@@ -50,7 +50,7 @@ class Vocabulary:
         # byte values of what each id decodes to; control ids decode to nothing
         back = {i: bytes([b]) for b, i in self.bytes.items()}
         self.plain = [back.get(i, b"" if i in special else p.replace(MARK, " ").encode()) for i, p in enumerate(self.pieces)]
-        self.memo = R.Memo(lambda word: array("I", self.merge(MARK + word)).tobytes(), MEMO_UNITS)
+        self.memo = R.Memo(lambda word: array("I", self.merge(MARK + word)).tobytes(), MEMO_UNITS, listed=True)
 
     def merge(self, unit: str) -> list[int]:
         """Ids of one unit by the agenda: the best-scored adjacent pair is joined, the leftmost of equals first."""
@@ -125,6 +125,7 @@ class Vocabulary:
 
 
 _VOCABULARIES: dict[str, Vocabulary] = {}
+R.KEPT.append(_VOCABULARIES)
 
 
 def vocabulary(path: str) -> Vocabulary:
@@ -135,7 +136,7 @@ def vocabulary(path: str) -> Vocabulary:
 
 def _encoded(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, off in R.row_slices(batches):
+        for rows, data, off in R.row_slices(batches, "sentencepiece_bpe"):
             ids = vocabulary(path).encode(R.texts_of(data, off))
             yield rows.append_column("ids", pa.array(ids, pa.binary()))
 
@@ -169,8 +170,8 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 def _digests(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(path)
-        for rows, data, off in R.row_slices(batches):
+        for rows, data, off in R.row_slices(batches, "sentencepiece_bpe"):
+            v = vocabulary(path)
             ids = v.encode(R.texts_of(data, off))
             sha = [hashlib.sha256(x).hexdigest() for x in ids]
             back = [hashlib.sha256(v.decode(x).encode()).hexdigest() for x in ids]

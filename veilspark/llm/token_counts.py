@@ -146,6 +146,7 @@ class Merges:
 
 
 _MERGES: dict[str, Merges] = {}
+R.KEPT.append(_MERGES)
 
 
 def merges(path: str) -> Merges:
@@ -165,7 +166,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, off in R.row_slices(batches):
+        for rows, data, off in R.row_slices(batches, "token_counts"):
             n = merges(path).tokens(R.texts_of(data, off))
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(np.diff(off)), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], COUNTS.names)
 

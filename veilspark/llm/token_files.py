@@ -17,6 +17,7 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -29,11 +30,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import runtime as R
+from .token_counts import byte_symbols
 
 #: Plain bytes of ids after which a frame ends, and of all frames after which a file ends (both at a document's end).
 FRAME_BYTES, FILE_BYTES = 128 << 10, 64 << 20
 #: Distinct words in each of the two generations that a worker remembers.
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 500_000
+#: Lower-case letters of Latin-1: words of these alone are one pre-token in normal form.
+PLAIN_LETTERS = "".join(chr(c) for c in [*range(0x61, 0x7B), *range(0xDF, 0x100)] if c != 0xF7)
+#: ASCII marks.
+MARKS = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum())
 _SKIPPABLE, _SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 _ODD = re.compile("[\x1c-\x1f]")
 
@@ -131,19 +137,29 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
+        self.model = self.lib.model
         self.width = 2 if self.lib.get_vocab_size() <= 1 << 16 else 4
+        self.kind, self.code = f"<u{self.width}", "H" if self.width == 2 else "I"
+        self.symbols = str.maketrans(dict(enumerate(byte_symbols())))
         self.memo = R.Memo(self._word, MEMO_WORDS)
 
     def plain(self, text: str) -> bytes:
-        return np.array(self.lib.encode(text, add_special_tokens=False).ids, f"<u{self.width}").tobytes()
+        return np.array(self.lib.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def _word(self, word: str) -> bytes:
-        # a letter and a following mark are never in one pre-token, and ASCII letters are lower-cased
-        if len(word) > 1 and word.isascii():
-            if word[-1] in ".,;:!?" and word[-2].isalpha():
-                return self.memo[word[:-1]] + self.memo[word[-1]]
-            if (low := word.lower()) != word and word.isalpha():
-                return self.memo[low]
+        # a word of plain letters goes to the library's model at once: once it is in lower case, neither normalizer nor pre-tokenizer changes it
+        if word.isalpha():
+            low = word.lower()
+            if not low.strip(PLAIN_LETTERS) and max(word) < "\u0100":
+                if low != word:
+                    return self.memo[low]
+                symbols = low if low.isascii() else low.encode().decode("latin-1").translate(self.symbols)
+                return array(self.code, [t.id for t in self.model.tokenize(symbols)]).tobytes()
+        elif "<|" not in word:
+            # a run of marks at the end is a pre-token of its own
+            core = word.rstrip(MARKS)
+            if core and core != word and core[-1].isalnum() and core[-1] < "\u0100":
+                return self.memo[core] + self.memo[word[len(core) :]]
         return self.plain(word)
 
     def encode(self, text: str) -> bytes:
@@ -153,6 +169,7 @@ class Encoder:
 
 
 _ENCODERS: dict[str, Encoder] = {}
+R.KEPT.append(_ENCODERS)
 
 
 def encoder(path: str) -> Encoder:
@@ -166,6 +183,7 @@ MANIFEST = T.StructType([T.StructField("part", T.LongType()), T.StructField("seq
 
 def _written(folder: str, path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        R.turn_to("token_files")
         task = TaskContext.get()
         e, fs_, rows, w, seq, name, sink = encoder(path), None, [], None, 0, "", None
         end = np.array([end_id], f"<u{e.width}").tobytes()
@@ -175,7 +193,7 @@ def _written(folder: str, path: str, end_id: int):
             sink.close()
             rows.append((task.partitionId(), seq, name, fs_.get_file_info(name).size, len(w.docs), w.first[-1]))
 
-        for batch, data, off in R.row_slices(batches):
+        for batch, data, off in R.row_slices(batches, "token_files"):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), R.texts_of(data, off)):
                 if w is None:
                     fs_, base = R.filesystem(folder)
