@@ -32,6 +32,7 @@ import pyarrow as pa
 import pyarrow.dataset as pads
 import pyarrow.fs
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,9 +42,9 @@ from . import runtime as R
 #: Difference covers by modulus (fixed values: perfect difference sets).
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (3, 6, 7, 12, 14)}
 #: Bytes of text in a block, and in the blocks whose ranks stand in one folder.
-BLOCK_BYTES, FOLDER_BYTES = 4 << 20, 64 << 20
-#: Sampled windows that a bucket is meant to hold, and the most buckets.
-BUCKET_KEYS, MOST_BUCKETS = 1 << 17, 1 << 16
+BLOCK_BYTES, FOLDER_BYTES = 2 << 20, 64 << 20
+#: Sampled windows that a bucket holds before there are more buckets, and bounds of the buckets' number as powers of two.
+BUCKET_KEYS, LEAST_BITS, MOST_BITS = 1 << 22, 8, 16
 #: Bits beyond its share of the key space that tell a sampled window from others in its bucket; a false tie costs time only.
 SPARE_BITS = 7
 
@@ -65,7 +66,7 @@ class Plan:
             raise ValueError("length must be 2 at least")
         v = max(x for x in COVERS if x <= max(1, length // 2))
         keys = total * len(COVERS[v]) // v
-        bits = max(4, min(MOST_BUCKETS, keys // BUCKET_KEYS + 1).bit_length())
+        bits = min(MOST_BITS, max(LEAST_BITS, (keys // BUCKET_KEYS).bit_length()))
         in_bucket = max(1, keys >> bits)
         return Plan(length, v, bits, min(7, -(-(in_bucket.bit_length() + SPARE_BITS) // 8)), max(1, total // FOLDER_BYTES), block_bytes)
 
@@ -117,7 +118,7 @@ def blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[Block]:
         ids = [np.array([-(1 << 63) if d is None else d for d in r.column("doc_id").to_pylist()], np.int64) for r, _, _ in held]
         return Block([r for r, _, _ in held], np.concatenate([d for _, d, _ in held]), np.concatenate(offs), np.concatenate(ids))
 
-    for item in R.row_slices(batches, most=min(most, R.SLICE_BYTES)):
+    for item in R.row_slices(batches, "suffix_dedup", most=min(most, R.SLICE_BYTES)):
         held.append(item)
         size += len(item[1])
         if size >= most:
@@ -157,7 +158,7 @@ class Keys:
 
 
 def _packed(x: np.ndarray, width: int) -> bytes:
-    """The low bytes of each integer, plane by plane (planes of equal bytes compress well)."""
+    """The low bytes of each integer, plane by plane (in sorted keys the upper planes compress well)."""
     return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
 
@@ -184,7 +185,7 @@ def _sent(block: int, keys: Keys, plan: Plan, width: int, shift: int, with_docs:
         if with_docs:
             base = int(keys.least[a:b].min())
             away = keys.least[a:b].astype(np.uint64) - R.u64(base)
-            docs = _packed(away, _width(int(away.max())))
+            docs = zstandard.compress(_packed(away, _width(int(away.max()))), 1)
         rows.append((block, bucket, b - a, _packed(short[a:b], width), base, docs))
     cols = list(zip(*rows)) or [()] * 6
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.binary()))], _SENT.names)
@@ -220,6 +221,8 @@ def _rank_sample(plan: Plan):
         same[1:-1] = keys[order][1:] == keys[order][:-1]
         found = np.empty(len(keys), bool)
         found[order] = same[1:] | same[:-1]
+        del keys, order
+        R.trim()
         return _ranked_rows(table, found)
 
     return run
@@ -230,13 +233,16 @@ def _rank_suffixes(width: int):
 
     def run(table: pa.Table) -> pa.Table:
         keys = np.concatenate([_unpacked(x, width) for x in table.column("keys").to_pylist()])
-        docs = np.concatenate([(_unpacked(d, len(d) // n) + R.u64(base)).astype(np.int64) for d, n, base in zip(*[table.column(c).to_pylist() for c in ("docs", "n", "base")])])
+        unzip = lambda d, n, base: (_unpacked(raw := zstandard.decompress(d), len(raw) // n) + R.u64(base)).astype(np.int64)
+        docs = np.concatenate([unzip(*x) for x in zip(*[table.column(c).to_pylist() for c in ("docs", "n", "base")])])
         order = np.argsort(keys)
         ordered = keys[order]
         first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
         leads = np.repeat(np.minimum.reduceat(docs[order], first), np.diff(np.r_[first, len(keys)]))
         found = np.empty(len(keys), bool)
         found[order] = leads < docs[order]
+        del keys, order
+        R.trim()
         return _ranked_rows(table, found)
 
     return run
@@ -246,7 +252,8 @@ def _stored_ranks(sent: DataFrame, rank: Callable[[pa.Table], pa.Table], plan: P
     """Rank every bucket; the folder's URI where a block's ranks are found again."""
     ranks = sent.groupBy("bucket").applyInArrow(rank, _RANKS).withColumn("folder", F.pmod("block", F.lit(plan.folders)).cast("int"))
     path = R.shared_dir(sent.sparkSession)
-    ranks.repartition(plan.folders, "folder").write.partitionBy("folder").option("compression", "zstd").parquet(path)
+    with R.tidy(sent.sparkSession):
+        ranks.repartition(plan.folders, "folder").write.partitionBy("folder").option("compression", "zstd").parquet(path)
     return path
 
 
@@ -268,9 +275,10 @@ def _ranks_of(uri: str, name: int, keys: Keys, plan: Plan) -> np.ndarray:
 
 def _spread(at: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
     """Which of n places lie in one of the ranges [at, end)."""
-    step = np.bincount(at, minlength=n + 1).astype(np.int32)
-    step -= np.bincount(end, minlength=n + 1).astype(np.int32)
-    return np.cumsum(step[:n]) > 0
+    step = np.zeros(n + 1, np.int32)
+    np.add.at(step, at, 1)
+    np.subtract.at(step, end, 1)
+    return np.cumsum(step[:n], dtype=np.int32) > 0
 
 
 def _suffixes(block: Block, plan: Plan, sample_ranks: str) -> tuple[np.ndarray, np.ndarray, Keys]:
@@ -366,9 +374,7 @@ def _passes(docs: DataFrame, length: int, block_bytes: int) -> tuple[DataFrame,
     total = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     plan = Plan.of(total, length, block_bytes)
     sample_ranks = _stored_ranks(docs.mapInArrow(_send_sample(plan), _SENT), _rank_sample(plan), plan)
-    R.release(docs.sparkSession)
     suffix_ranks = _stored_ranks(docs.mapInArrow(_send_suffixes(plan, sample_ranks), _SENT), _rank_suffixes(_suffix_width(plan)), plan)
-    R.release(docs.sparkSession)
     return docs, plan, sample_ranks, suffix_ranks
 
 
