@@ -116,19 +116,21 @@ def suppressed(boxes: Column, share: float = 0.5) -> Column:
 
 
 def near_labels(boxes: DataFrame, labels: DataFrame, reach: int = 250) -> DataFrame:
-    """Boxes (file, box_id, x0..y1) that start within `reach` to the right of or below a label (file, x0..y1) and overlap it in the other direction."""
+    """Boxes (file, box_id, x0..y1) that start at most `reach` right of or below the end of a label (file, x0..y1), and are no further from it in the other direction."""
     a, b = boxes.alias("a"), labels.alias("b")
-    right = F.col("a.x0").between(F.col("b.x0"), F.col("b.x1") + reach) & (F.col("a.y0") < F.col("b.y1")) & (F.col("a.y1") > F.col("b.y0"))
-    below = F.col("a.y0").between(F.col("b.y0"), F.col("b.y1") + reach) & (F.col("a.x0") < F.col("b.x1")) & (F.col("a.x1") > F.col("b.x0"))
+    right = (F.col("a.x0") - F.col("b.x1")).between(0, reach) & (F.col("a.y0") <= F.col("b.y1") + reach) & (F.col("a.y1") >= F.col("b.y0") - reach)
+    below = (F.col("a.y0") - F.col("b.y1")).between(0, reach) & (F.col("a.x0") <= F.col("b.x1") + reach) & (F.col("a.x1") >= F.col("b.x0") - reach)
     return a.join(b, (F.col("a.file") == F.col("b.file")) & (right | below), "left_semi")
 
 
-def trusted_words(words: DataFrame, least_conf: float = 75, cap: int = 1) -> DataFrame:
-    """Words (file, pass, word_id, x0..y1, conf, text) that another pass reads alike: more than half of the box, edit distance at most cap."""
-    a, b = words.where(F.col("conf") >= least_conf).alias("a"), words.alias("b")
-    alike = X.distance(F.col("a.text"), F.col("b.text"), cap) <= cap
+def trusted_words(words: DataFrame, sure: float = 75, least: float = 30, cap: int = 1) -> DataFrame:
+    """Words (file, pass, word_id, x0..y1, conf, text) of two characters and more that are surely read, or that another pass reads alike: more than half of the box, edit distance at most cap."""
+    usable = words.where((F.col("conf") >= least) & (F.length("text") >= 2)).withColumn("folded", X.casefold(X.norm(F.col("text"))))
+    a, b = usable.where(F.col("conf") < sure).alias("a"), usable.alias("b")
+    alike = X.distance(F.col("a.folded"), F.col("b.folded"), cap) <= cap
     most = overlap_area("a", "b") > 0.5 * (F.col("a.x1") - F.col("a.x0")) * (F.col("a.y1") - F.col("a.y0"))
-    return a.join(b, (F.col("a.file") == F.col("b.file")) & (F.col("a.pass") != F.col("b.pass")) & most & alike, "left_semi")
+    stable = a.join(b, (F.col("a.file") == F.col("b.file")) & (F.col("a.pass") != F.col("b.pass")) & most & alike, "left_semi")
+    return usable.where(F.col("conf") >= sure).unionByName(stable).drop("folded")
 
 
 def deletions(s: Column, cap: int) -> Column:

@@ -45,14 +45,13 @@ def mask_patterns(texts: DataFrame, key: bytes, detectors=detect.DETECTORS, text
     return found.withColumn("masked", rewrite(F.col(text), F.col("spans")))
 
 
-def mask(texts: DataFrame, table: DataFrame, key: bytes, *, order: str = "line", strict: DataFrame | None = None, use_strict: bool = False, evidence: DataFrame | None = None, regex_keys: int = detect.REGEX_KEYS) -> DataFrame:
-    """Mask texts (row_id, text) with a pseudonym table, an optional strict table and evidence values.
+def resolved_spans(texts: DataFrame, table: DataFrame, key: bytes, *, order: str = "line", strict: DataFrame | None = None, use_strict: bool = False, evidence: DataFrame | None = None, regex_keys: int = detect.REGEX_KEYS) -> DataFrame:
+    """(row_id, spans with replacements) of texts (row_id, text), by a pseudonym table, an optional strict table and evidence values.
 
-    row_id must be unique. A dictionary hit is resolved by the exact table, else by the strict
+    row_id must be unique; rows without a span are absent. A dictionary hit is resolved by the exact table, else by the strict
     table (ignored unless use_strict), else by the normalized table, else by its guessed
     type and a generated value. A pattern hit takes the normalized table's entry, without spaces if
-    the value has none, else a generated value. Returns row_id, text, masked and log.
-    Null text stays null with an empty log. Lookups are equi-joins on the distinct
+    the value has none, else a generated value. Lookups are equi-joins on the distinct
     values found, so a value costs one generation however often it occurs.
     """
     exact, folded = mapping.exact_table(table, order), mapping.normalized_table(table, order)
@@ -78,6 +77,11 @@ def mask(texts: DataFrame, table: DataFrame, key: bytes, *, order: str = "line",
     located = every.select("row_id", "span.s", "span.e", "span.rank", F.col("span.value").alias("value"), (F.col("span.rank") == 0).alias("known"), F.when(F.col("span.rank") > 0, F.col("span.dtype")).alias("pattern"))
     same = (located["value"] == resolved["value"]) & (located["known"] == resolved["known"]) & located["pattern"].eqNullSafe(resolved["pattern"])
     joined = located.join(resolved, same).select("row_id", F.struct("s", "e", resolved["dtype"], located["value"], "rank", cased(resolved["dtype"], located["value"], F.col("replacement")).alias("replacement")).alias("span"))
-    spans = joined.groupBy("row_id").agg(F.collect_list("span").alias("spans")).select("row_id", detect.resolve(F.col("spans").cast(REPLACED), REPLACED).alias("spans"))
+    return joined.groupBy("row_id").agg(F.collect_list("span").alias("spans")).select("row_id", detect.resolve(F.col("spans").cast(REPLACED), REPLACED).alias("spans"))
+
+
+def mask(texts: DataFrame, table: DataFrame, key: bytes, **options) -> DataFrame:
+    """Mask texts (row_id, text): row_id, text, masked and log. Options are those of resolved_spans(). Null text stays null with an empty log."""
+    spans = resolved_spans(texts, table, key, **options)
     out = texts.select("row_id", "text").join(spans, "row_id", "left").withColumn("spans", F.coalesce("spans", F.expr(f"cast(array() as {REPLACED})")))
     return out.select("row_id", "text", rewrite(F.col("text"), F.col("spans")).alias("masked"), log(F.col("spans")).alias("log"))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import keyed as K
 from ..functions import text as X
+from ..functions import messages as MSG
+from ..operators import candidates as CAND
 from ..operators import detect as D
 from ..operators import evaluate as E
 from ..operators import layout as L
@@ -17,6 +19,7 @@ from ..operators import mapping as M
 from ..operators import mask as MASK
 from ..streaming import triggers as T
 from . import fixtures as X0
+from . import synth as SYNTH
 from .fixtures import DEMO_KEY, SQL_ENTITIES, SQL_MAPPING, SQL_NOTES, sql_groups, sql_hmac_digits, sql_luhn, sql_mod97, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -497,7 +500,7 @@ _SQL_BOXES = f"""WITH {_SQL_WORDS}, b AS (SELECT file, CAST(line * 10 + x // 50
 
 
 @query(f"""{_SQL_BOXES} SELECT DISTINCT a.file, a.box_id FROM b a JOIN b l ON a.file = l.file AND l.box_id % 97 = 0 AND
- ((a.x0 BETWEEN l.x0 AND l.x1 + 250 AND a.y0 < l.y1 AND a.y1 > l.y0) OR (a.y0 BETWEEN l.y0 AND l.y1 + 250 AND a.x0 < l.x1 AND a.x1 > l.x0))""")
+ ((a.x0 - l.x1 BETWEEN 0 AND 250 AND a.y0 <= l.y1 + 250 AND a.y1 >= l.y0 - 250) OR (a.y0 - l.y1 BETWEEN 0 AND 250 AND a.x0 <= l.x1 + 250 AND a.x1 >= l.x0 - 250))""")
 def q_near_label(spark, d):
     b = _boxes(spark, d)
     return L.near_labels(b, b.where("box_id % 97 = 0").drop("box_id")).select("file", "box_id")
@@ -542,6 +545,31 @@ def q_ocr_normalize(spark, d):
     return X0.entities(spark, d).select("k", plain.alias("fixed"), F.lit(True).alias("shaped"))
 
 
+@query("""WITH v AS (SELECT CASE c_custkey % 4 WHEN 0 THEN 'Person-' || CAST(c_custkey AS VARCHAR) WHEN 1 THEN 'Persom-' || CAST(c_custkey AS VARCHAR) || ' CHF' WHEN 2 THEN 'Stranger' || CAST(c_custkey AS VARCHAR) ELSE 'Pxrsxm-' || CAST(c_custkey AS VARCHAR) END AS value FROM customer WHERE c_custkey <= 400),
+r AS (SELECT lower('Person-' || CAST(c_custkey AS VARCHAR)) AS key FROM customer WHERE c_custkey <= 400), f AS (SELECT value, lower(replace(value, ' ', '')) AS form FROM v UNION SELECT value, lower(regexp_replace(value, '\\s+[A-Za-z]{2,4}$', '')) FROM v)
+SELECT value FROM v WHERE value NOT IN (SELECT value FROM f, r WHERE levenshtein(form, key) <= CASE WHEN length(form) > 12 THEN 2 ELSE 1 END)""")
+def q_leak_suspects(spark, d):
+    c = table(spark, d, "customer").where("c_custkey <= 400")
+    k, no = F.col("c_custkey") % 4, F.col("c_custkey").cast("string")
+    value = F.when(k == 0, F.concat(F.lit("Person-"), no)).when(k == 1, F.concat(F.lit("Persom-"), no, F.lit(" CHF"))).when(k == 2, F.concat(F.lit("Stranger"), no)).otherwise(F.concat(F.lit("Pxrsxm-"), no))
+    return CAND.leak_suspects(c.select(value.alias("value")), c.select(F.concat(F.lit("Person-"), no).alias("replacement"))).select("value")
+
+
+@query("SELECT 217 AS n, 217 AS ids, 200 AS ibans, 400 AS all_ahv, true AS valid")
+def q_entities(spark, d):
+    """Generated identities: all distinct, all identifiers valid."""
+    e = SYNTH.entities(spark, 7, patients=200, physicians=5, staff=3, relatives=9)
+    both = F.when(F.col("role") == "patient", X.iban_is_valid(F.col("iban")) & X.iban_is_valid(F.col("ps_iban")) & X.ahv_is_valid(F.col("ahv")) & X.ahv_is_valid(F.col("ps_ahv"))).otherwise(True)
+    return e.agg(F.count("*").alias("n"), F.count_distinct("entity_id").alias("ids"), F.count_distinct("iban").alias("ibans"), (F.count_distinct("ahv") + F.count_distinct("ps_ahv")).alias("all_ahv"), F.bool_and(both).alias("valid"))
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'deep/x' WHEN 1 THEN 'first.pdf' WHEN 2 THEN 'k/9' END AS path FROM events")
+def q_deep_path(spark, d):
+    k = F.col("event_id") % 4
+    message = F.when(k == 0, '{"a": [1, {"b": {"path": "deep/x"}}], "z": "z.z"}').when(k == 1, '{"u": "none", "v": ["first.pdf", "second.pdf"]}').when(k == 2, '[{"full_path": "k/9", "x": "y.y"}]').otherwise('{"n": 5}')
+    return table(spark, d, "events").select("event_id", MSG.deep_path(message).alias("path"))
+
+
 # --- triggers -----------------------------------------------------------------------------------------
 
 
