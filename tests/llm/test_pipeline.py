@@ -45,3 +45,21 @@ def test_stages(spark, corpus):
     lib = sentencepiece_bpe.vocabulary(public_tokenizers.path("piece_bpe_32k.model")).lib
     assert {(r.doc_id, r.n_tokens) for r in out} == {(d, len(lib.encode(r.text)) + 2) for d, r in clean.items()}
     assert np.all([len(r.ids_sha256) == 64 for r in out])
+
+
+def test_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_null_rows_and_extra_columns(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, node long, bucket string, ids int"
+    rows = [(None, None, None, None, None, 1, "b", 2), (None, "some words without a number", "en", None, None, None, None, None), (3, "some words without a number", "en", None, None, None, None, None), (3, "some words without a number", "en", None, None, None, None, None)]
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(None, "some words")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = cut(stage(spark, docs, str(tmp_path)))
+        assert docs.columns == [c.split()[0] for c in schema.split(", ")]
+    assert sorted((r.doc_id or 0, r.text) for r in docs.collect()) == [(0, " without a number"), (3, " without a number"), (3, " without a number")]
