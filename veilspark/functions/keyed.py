@@ -13,7 +13,7 @@ import hashlib
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import ean13_check_digit, groups_of, iban_check_digits, norm
+from .text import ean13_check_digit, groups_of, iban_check_digits, let, norm
 
 #: Test card numbers that stand for cards (fixed values).
 PSEUDO_CARDS = (
@@ -44,41 +44,56 @@ def hmac_hex(message: Column, key: bytes) -> Column:
 
 def hmac_digits(value: Column, n: int | Column, key: bytes) -> Column:
     """n decimal digits (30 at most) of the value's HMAC."""
-    h = hmac_hex(F.upper(norm(value)), key)
+    return let(hmac_hex(F.upper(norm(value)), key), lambda h: _reduced(h, n))
+
+
+def _reduced(h: Column, n: int | Column) -> Column:
+    """64 hex digits modulo 10**n, as n digits: a fold in longs where products fit, else in decimals."""
     chunks = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.conv(F.substr(h, i * 4 + 1, F.lit(4)), 16, 10).cast("long"))
     if isinstance(n, int) and n <= 14:
-        number = F.aggregate(chunks, F.lit(0).cast("long"), lambda a, x: (a * 65536 + x) % (10**n))
-        return F.lpad(number.cast("string"), n, "0")
+        return F.lpad(F.aggregate(chunks, F.lit(0).cast("long"), lambda a, x: (a * 65536 + x) % (10**n)).cast("string"), n, "0")
     digits = F.lit(n) if isinstance(n, int) else n
     modulus = F.rpad(F.lit("1"), digits + 1, F.lit("0")).cast("decimal(38,0)")
-    number = F.aggregate(chunks, F.lit(0).cast("decimal(38,0)"), lambda a, x: ((a * 65536 + x) % modulus).cast("decimal(38,0)"))
+    number = let(modulus, lambda m: F.aggregate(chunks, F.lit(0).cast("decimal(38,0)"), lambda a, x: ((a * 65536 + x) % m).cast("decimal(38,0)")))
     return F.lpad(number.cast("string"), digits, F.lit("0"))
 
 
-def generate(dtype: Column, value: Column, key: bytes) -> Column:
+def _iban(value: Column, key: bytes) -> Column:
+    k = F.upper(norm(value))
+    country, size = F.substr(k, F.lit(1), F.lit(2)), F.greatest(F.length(k) - 4, F.lit(1))
+    account = let(hmac_digits(value, size, key), lambda a: F.when(country == "CH", F.concat(F.lit("8"), F.substr(a, F.lit(2)))).otherwise(a))
+    iban = let(account, lambda a: F.concat(country, iban_check_digits(country, a), a))
+    return let(iban, lambda v: F.when(F.contains(value, F.lit(" ")), groups_of(v, 4)).otherwise(v))
+
+
+def _ahv(value: Column, key: bytes) -> Column:
+    return let(F.concat(F.lit("756"), hmac_digits(value, 9, key)), lambda t: F.regexp_replace(F.concat(t, ean13_check_digit(t)), r"^(...)(....)(....)(..)$", "$1.$2.$3.$4"))
+
+
+#: How each type's pseudonym is made.
+GENERATORS = {
+    "IBAN": _iban,
+    "AHV_NUMBER": _ahv,
+    "CREDIT_CARD": lambda v, k: F.element_at(F.array(*[F.lit(c) for c in PSEUDO_CARDS]), (hmac_digits(v, 4, k).cast("int") % len(PSEUDO_CARDS)) + 1),
+    "INSURANCE_CARD_NUMBER": lambda v, k: groups_of(F.concat(F.lit("80756"), hmac_digits(v, 15, k)), 5),
+    "PATIENT_ID": lambda v, k: F.concat(F.lit("PAT-"), F.substr(v, F.lit(5), F.lit(4)), F.lit("-"), hmac_digits(v, 5, k)),
+    "EMAIL": lambda v, k: F.concat(F.lit("contact."), hmac_digits(v, 6, k), F.lit("@example.org")),
+    "PHONE": lambda v, k: F.concat(F.lit("+41 79 000 "), hmac_digits(v, 2, k), F.lit(" "), hmac_digits(F.concat(v, F.lit("b")), 2, k)),
+}
+
+
+def generate(dtype: Column | str, value: Column, key: bytes) -> Column:
     """A valid pseudonym of the type for a value that no table knows; a pure function of (type, value).
 
     An IBAN keeps its country, its length and whether it has spaces; a Swiss one gets an
     account that starts with 8. Types without a rule become [TYPE].
     """
-    k = F.upper(norm(value))
-    country, size = F.substr(k, F.lit(1), F.lit(2)), F.greatest(F.length(k) - 4, F.lit(1))
-    account = hmac_digits(value, size, key)
-    account = F.when(country == "CH", F.concat(F.lit("8"), F.substr(account, F.lit(2)))).otherwise(account)
-    iban = F.concat(country, iban_check_digits(country, account), account)
-    twelve = F.concat(F.lit("756"), hmac_digits(value, 9, key))
-    ahv = F.regexp_replace(F.concat(twelve, ean13_check_digit(twelve)), r"^(...)(....)(....)(..)$", "$1.$2.$3.$4")
-    card = F.element_at(F.array(*[F.lit(c) for c in PSEUDO_CARDS]), (hmac_digits(value, 4, key).cast("int") % len(PSEUDO_CARDS)) + 1)
-    return (
-        F.when(dtype == "IBAN", F.when(F.contains(value, F.lit(" ")), groups_of(iban, 4)).otherwise(iban))
-        .when(dtype == "AHV_NUMBER", ahv)
-        .when(dtype == "CREDIT_CARD", card)
-        .when(dtype == "INSURANCE_CARD_NUMBER", groups_of(F.concat(F.lit("80756"), hmac_digits(value, 15, key)), 5))
-        .when(dtype == "PATIENT_ID", F.concat(F.lit("PAT-"), F.substr(value, F.lit(5), F.lit(4)), F.lit("-"), hmac_digits(value, 5, key)))
-        .when(dtype == "EMAIL", F.concat(F.lit("contact."), hmac_digits(value, 6, key), F.lit("@example.org")))
-        .when(dtype == "PHONE", F.concat(F.lit("+41 79 000 "), hmac_digits(value, 2, key), F.lit(" "), hmac_digits(F.concat(value, F.lit("b")), 2, key)))
-        .otherwise(F.concat(F.lit("["), dtype, F.lit("]")))
-    )
+    if isinstance(dtype, str):
+        return GENERATORS[dtype](value, key) if dtype in GENERATORS else F.lit(f"[{dtype}]")
+    out = F
+    for name, make in GENERATORS.items():
+        out = out.when(dtype == name, make(value, key))
+    return out.otherwise(F.concat(F.lit("["), dtype, F.lit("]")))
 
 
 def rotated_city(npa: Column, city: Column) -> Column:
@@ -90,11 +105,14 @@ def rotated_city(npa: Column, city: Column) -> Column:
 
 def shifted_birth_date(d: Column) -> Column:
     """d moved by 40 to 319 days, by the MD5 of its ISO form, back or forth by that hash's ninth bit."""
-    h = F.md5(F.date_format(d, "yyyy-MM-dd").cast("binary"))
-    chunks = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.conv(F.substr(h, i * 4 + 1, F.lit(4)), 16, 10).cast("int"))
-    days = 40 + F.aggregate(chunks, F.lit(0), lambda a, x: (a * 65536 + x) % 280)
-    even = F.conv(F.substr(h, F.lit(30), F.lit(1)), 16, 10).cast("int") % 2 == 0
-    return F.date_add(d, F.when(even, days).otherwise(-days))
+
+    def moved(h: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.conv(F.substr(h, i * 4 + 1, F.lit(4)), 16, 10).cast("int"))
+        days = 40 + F.aggregate(chunks, F.lit(0), lambda a, x: (a * 65536 + x) % 280)
+        even = F.conv(F.substr(h, F.lit(30), F.lit(1)), 16, 10).cast("int") % 2 == 0
+        return let(days, lambda n: F.date_add(d, F.when(even, n).otherwise(-n)))
+
+    return let(F.md5(F.date_format(d, "yyyy-MM-dd").cast("binary")), moved)
 
 
 def replaced_street(street: Column, originals: tuple[str, ...], replacements: tuple[str, ...]) -> Column:

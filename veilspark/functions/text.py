@@ -6,6 +6,8 @@ lengths are in code points. Patterns carry (?U), so that classes are Unicode.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,6 +44,13 @@ def unicode_pattern(pattern: str) -> str:
     return "(?U)" + pattern
 
 
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 # --- normal forms ------------------------------------------------------------------
 
 
@@ -173,12 +182,21 @@ def distance(a: Column, b: Column, cap: int) -> Column:
 # --- evaluation ---------------------------------------------------------------------
 
 
+def squeeze(s: Column) -> Column:
+    """Case-folded without white space."""
+    return casefold(norm(s))
+
+
+def contains_prepared(folded: Column, squeezed: Column, value: Column, dtype: Column, is_ocr: Column) -> Column:
+    """contains_value() on a haystack whose collapse() and squeeze() are at hand; the expression with boundaries runs only where the plain text is there."""
+    found = collapse(value)
+    bounded = F.regexp_like(folded, F.concat(F.lit(r"(?U)(?<![\w])"), escape_regex(found), F.lit(r"(?![\w])")))
+    return F.when(dtype.isin(*WORD_TYPES) & ~is_ocr, F.contains(folded, found) & bounded).otherwise(F.contains(squeezed, squeeze(value)))
+
+
 def contains_value(haystack: Column, value: Column, dtype: Column, is_ocr: Column) -> Column:
     """Whether value is in haystack: word types between word boundaries, others (and all recognised text) without regard to white space."""
-    folded, found = collapse(haystack), collapse(value)
-    between = F.regexp_like(folded, F.concat(F.lit(r"(?U)(?<![\w])"), escape_regex(found), F.lit(r"(?![\w])")))
-    loose = F.contains(casefold(norm(haystack)), casefold(norm(value)))
-    return F.when(dtype.isin(*WORD_TYPES) & ~is_ocr, between).otherwise(loose)
+    return contains_prepared(collapse(haystack), squeeze(haystack), value, dtype, is_ocr)
 
 
 def placeholders(text: Column) -> Column:

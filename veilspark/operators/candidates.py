@@ -67,14 +67,14 @@ def candidates(words: DataFrame, table: DataFrame, key: bytes, order: str = "lin
     nearest = F.min_by(F.struct("e", "value", "canon", "near", "distance"), F.struct(F.coalesce("distance", F.lit(99)), F.length("more")))
     near = near.groupBy("file", "line", "s").agg(nearest.alias("r")).select("file", "line", "s", "r.*")
     spoiled = F.concat(F.substr("canon", F.lit(1), F.lit(2)), F.lit("00"), F.substr("canon", F.lit(5)))
-    iban = near.withColumn("replacement", F.coalesce("near", generate(F.lit("IBAN"), spoiled, key))).withColumn("method", F.when(F.col("near").isNull(), "generated_fail_closed").otherwise(F.format_string("fuzzy_mapping(d=%d)", "distance"))).withColumn("dtype", F.lit("IBAN"))
+    iban = near.withColumn("replacement", F.coalesce("near", generate("IBAN", spoiled, key))).withColumn("method", F.when(F.col("near").isNull(), "generated_fail_closed").otherwise(F.format_string("fuzzy_mapping(d=%d)", "distance"))).withColumn("dtype", F.lit("IBAN"))
     found = found.unionByName(_as_written(layout.uncovered(iban.select(*COLUMNS), found), lines).select(*COLUMNS))
 
     digits = F.regexp_replace("value", "[^0-9]", "")
     ahvs = _loose(fixed, LOOSE_AHV).withColumn("canon", digits)
     near = _unique_best(ahvs, exact.where("data_type = 'AHV_NUMBER'"), F.regexp_replace("original_value", "[^0-9]", ""), 2)
     form = F.regexp_replace("canon", r"^(...)(....)(....)(..)$", "$1.$2.$3.$4")
-    ahv = near.withColumn("replacement", F.coalesce("near", generate(F.lit("AHV_NUMBER"), form, key))).withColumn("dtype", F.lit("AHV_NUMBER"))
+    ahv = near.withColumn("replacement", F.coalesce("near", generate("AHV_NUMBER", form, key))).withColumn("dtype", F.lit("AHV_NUMBER"))
     ahv = ahv.withColumn("method", F.when(F.col("near").isNull(), "generated_fail_closed").when(F.col("distance") == 0, "ocr_respaced").otherwise(F.format_string("fuzzy_mapping(d=%d)", "distance")))
     found = found.unionByName(_as_written(layout.uncovered(ahv.select(*COLUMNS), found), lines).select(*COLUMNS))
 

@@ -17,40 +17,64 @@ from ..functions import text as X
 LEAK_EXAMPLES, DECOY_EXAMPLES, SURFACE_EXAMPLES, TOKEN_EXAMPLES = 15, 10, 6, 20
 
 
-def scoped(truth: DataFrame, outputs: DataFrame) -> DataFrame:
-    """Ground truth with `present` (the document was written), and for those the finest known `scope` of text and `is_ocr`.
+_FORMS = {"text": lambda t: t, "folded": X.collapse, "squeezed": X.squeeze}
+
+
+def _prepared(outputs: DataFrame) -> DataFrame:
+    """outputs with each text as struct(text, folded, squeezed), so that a document is normalized once and not once a ground truth row."""
+    forms = lambda t: F.struct(*[f(t).alias(n) for n, f in _FORMS.items()])
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    return outputs.select(
+        "document", forms(F.col("text")).alias("text"), F.transform("pages", forms).alias("pages"), F.transform_values("locs", lambda k, v: forms(v)).alias("locs"),
+        forms(blank(F.col("image_text"))).alias("image_text"), F.transform_values("page_ocr", lambda k, v: forms(v)).alias("page_ocr"), forms(blank(F.col("embedded_text"))).alias("embedded_text"), F.lit(True).alias("present"),
+    )
+
+
+def _scope(form: str) -> Column:
+    """One form of the finest known text for a ground truth row.
 
     Order: image (the page's recognised text, if any, and the images'), embedded objects, page
     (out of range: the whole text), cells of a sheet, paragraph, table cell, whole text.
     """
     filled = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
-    page = F.col("page").cast("int")
-    ocr, images = F.element_at("page_ocr", page), F.coalesce("image_text", F.lit(""))
-    image = F.when(F.col("pages").isNotNull() & filled("page") & ocr.isNotNull(), F.concat(ocr, F.lit(" "), images)).otherwise(images)
-    on_page = F.when((page >= 1) & (page <= F.size("pages")), F.get("pages", page - 1)).otherwise(F.col("text"))
-    cells = F.array_join(F.transform(F.split("cell", ":"), lambda c: F.coalesce(F.element_at("locs", F.concat("sheet", F.lit("!"), c)), F.lit(""))), " ")
+    gap = F.lit("" if form == "squeezed" else " ")
+    single = (lambda c: F.regexp_replace(c, " +", " ")) if form == "folded" else (lambda c: c)
+    page, whole = F.col("page").cast("int"), F.col("text")[form]
+    ocr, images = F.element_at("page_ocr", page)[form], F.col("image_text")[form]
+    image = F.when(F.col("pages").isNotNull() & filled("page") & ocr.isNotNull(), single(F.concat(ocr, gap, images))).otherwise(images)
+    on_page = F.when((page >= 1) & (page <= F.size("pages")), F.get("pages", page - 1)[form]).otherwise(whole)
+    each = F.transform(F.split("cell", ":"), lambda c: F.coalesce(F.element_at("locs", F.concat("sheet", F.lit("!"), c))[form], F.lit("")))
+    cells = single(F.array_join(each, "" if form == "squeezed" else " "))
     kind = F.col("location_type")
-    scope = (
+    return (
         F.when(kind == "image", image)
-        .when(F.startswith(kind, F.lit("embedded")), F.coalesce("embedded_text", F.lit("")))
+        .when(F.startswith(kind, F.lit("embedded")), F.col("embedded_text")[form])
         .when((F.coalesce(F.size("pages"), F.lit(0)) > 0) & filled("page"), on_page)
         .when((kind == "cell") & filled("sheet") & filled("cell"), cells)
-        .when((kind == "paragraph") & filled("paragraph"), F.coalesce(F.element_at("locs", F.concat(F.lit("paragraph:"), "paragraph")), "text"))
-        .when((kind == "table_cell") & filled("cell"), F.coalesce(F.element_at("locs", F.col("cell")), "text"))
-        .otherwise(F.col("text"))
+        .when((kind == "paragraph") & filled("paragraph"), F.coalesce(F.element_at("locs", F.concat(F.lit("paragraph:"), "paragraph"))[form], whole))
+        .when((kind == "table_cell") & filled("cell"), F.coalesce(F.element_at("locs", F.col("cell"))[form], whole))
+        .otherwise(whole)
     )
-    joined = truth.join(outputs.withColumn("present", F.lit(True)), "document", "left").withColumn("present", F.coalesce("present", F.lit(False)))
-    return joined.select(*truth.columns, "present", F.when(F.col("present"), F.coalesce(scope, F.lit(""))).alias("scope"), (F.col("present") & (kind == "image")).alias("is_ocr"))
+
+
+def _joined(truth: DataFrame, outputs: DataFrame) -> DataFrame:
+    return truth.join(_prepared(outputs), "document", "left").withColumn("present", F.coalesce("present", F.lit(False))).withColumn("is_ocr", F.col("present") & (F.col("location_type") == "image"))
+
+
+def scoped(truth: DataFrame, outputs: DataFrame) -> DataFrame:
+    """Ground truth with `present` (the document was written), and for those the `scope` of text to look in and `is_ocr`."""
+    return _joined(truth, outputs).select(*truth.columns, "present", F.when(F.col("present"), F.coalesce(_scope("text"), F.lit(""))).alias("scope"), "is_ocr")
 
 
 def judged(truth: DataFrame, outputs: DataFrame, strict: bool = False) -> DataFrame:
-    """scoped() with must_hide, leaked, replaced and kept; a missing document leaks all it had to hide."""
-    rows = scoped(truth, outputs)
+    """Ground truth with present, is_ocr, must_hide, leaked, replaced and kept; a missing document leaks all it had to hide."""
     hide = (F.col("expected_action") == "PSEUDONYMIZE") | (F.lit(strict) & F.col("present"))
     target = F.when(F.lit(strict) & (F.col("expected_action") == "KEEP"), F.col("strict_replacement")).otherwise(F.col("expected_replacement"))
-    there = X.contains_value(F.col("scope"), F.col("value"), F.col("data_type"), F.col("is_ocr"))
-    swapped = X.contains_value(F.col("scope"), target, F.col("data_type"), F.col("is_ocr"))
-    return rows.withColumns({"must_hide": hide, "leaked": hide & F.when(F.col("present"), there).otherwise(True), "replaced": hide & F.col("present") & F.coalesce(swapped, F.lit(False)), "kept": ~hide & F.col("present") & F.coalesce(there, F.lit(False))})
+    folded, squeezed = (F.coalesce(_scope(f), F.lit("")) for f in ("folded", "squeezed"))
+    has = lambda v: F.coalesce(X.contains_prepared(folded, squeezed, v, F.col("data_type"), F.col("is_ocr")), F.lit(False))
+    there, swapped = has(F.col("value")), has(target)
+    rows = _joined(truth, outputs)
+    return rows.select(*truth.columns, "present", "is_ocr", hide.alias("must_hide"), (hide & F.when(F.col("present"), there).otherwise(True)).alias("leaked"), (hide & F.col("present") & swapped).alias("replaced"), (~hide & F.col("present") & there).alias("kept"))
 
 
 def _counts() -> list[Column]:

@@ -69,10 +69,10 @@ def resolved_spans(texts: DataFrame, table: DataFrame, key: bytes, *, order: str
         by_value = by_value.withColumns({"s_type": F.lit(None).cast("string"), "s_rep": F.lit(None).cast("string")})
     guessed = X.guess_type(F.col("value"))
     hit_type = F.coalesce("x_type", "s_type", "n_type", guessed)
-    hit_rep = F.coalesce("x_rep", "s_rep", "n_rep", generate(guessed, F.col("value"), key))
+    made = generate(F.coalesce("pattern", guessed), F.col("value"), key)
     silent = F.col("x_rep").isNull() & F.col("s_rep").isNotNull() & F.lit(not use_strict)
     spaced = F.when(~F.contains("value", F.lit(" ")), F.replace(F.col("n_rep"), F.lit(" "), F.lit(""))).otherwise(F.col("n_rep"))
-    rep = F.when(F.col("known"), hit_rep).otherwise(F.coalesce(spaced, generate(F.col("pattern"), F.col("value"), key)))
+    rep = F.coalesce(F.when(F.col("known"), F.coalesce("x_rep", "s_rep", "n_rep")).otherwise(spaced), made)
     resolved = by_value.where(~(F.col("known") & silent)).select("value", "known", F.col("pattern"), F.when(F.col("known"), hit_type).otherwise(F.col("pattern")).alias("dtype"), rep.alias("replacement"))
     located = every.select("row_id", "span.s", "span.e", "span.rank", F.col("span.value").alias("value"), (F.col("span.rank") == 0).alias("known"), F.when(F.col("span.rank") > 0, F.col("span.dtype")).alias("pattern"))
     same = (located["value"] == resolved["value"]) & (located["known"] == resolved["known"]) & located["pattern"].eqNullSafe(resolved["pattern"])

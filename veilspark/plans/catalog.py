@@ -104,7 +104,7 @@ FROM (SELECT *, t12 || CAST({X0.sql_ean13('t12')} AS VARCHAR) AS t13 FROM g)""")
 def q_generate(spark, d):
     e = X0.entities(spark, d)
     kinds = {"iban": "IBAN", "ahv": "AHV_NUMBER", "card": "CREDIT_CARD", "insurance": "INSURANCE_CARD_NUMBER", "patient": "PATIENT_ID", "email": "EMAIL", "phone": "PHONE"}
-    return e.select("k", *[K.generate(F.lit(t), F.col(c), DEMO_KEY).alias(f"{c}_rep") for c, t in kinds.items()])
+    return e.select("k", *[K.generate(t, F.col(c), DEMO_KEY).alias(f"{c}_rep") for c, t in kinds.items()])
 
 
 # --- detection and masking -----------------------------------------------------------------
