@@ -431,7 +431,7 @@ def q_upper_median(spark, d):
 
 def _words(spark, d):
     """Tokens of documents as words of lines of ten, with boxes made of their places."""
-    docs = table(spark, d, "documents").where("doc_id % 5 = 0").select(F.col("doc_id").alias("file"), F.posexplode(F.split(F.translate("text", "\n", " "), " ")).alias("p", "text")).where("text <> ''")
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("file"), F.posexplode(F.split(F.translate("text", "\n", " "), " ")).alias("p", "text")).where("text <> ''")
     p = F.col("p")
     return docs.select("file", F.floor(p / 10).alias("line"), ((p % 10) * 50).cast("int").alias("x"), (F.floor(p / 10) * 20 + F.length("text") % 3).cast("int").alias("y"), (F.length("text") * 5).cast("int").alias("w"), (10 + F.length("text") % 4).cast("int").alias("h"), (p * 7 % 100).cast("double").alias("conf"), "text")
 
