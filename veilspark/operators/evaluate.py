@@ -205,3 +205,25 @@ def verdict(rows: DataFrame, decoys: DataFrame) -> DataFrame:
 def upper_median(values: Column) -> Column:
     """The middle element of an array in order, of an even number the upper one."""
     return F.get(F.array_sort(values), F.floor(F.size(values) / 2).cast("int"))
+
+
+def upper_medians(rows: DataFrame, steps: int = 4096) -> DataFrame:
+    """Per key of rows (key, value) the middle value in order, of an even number the upper one; nulls don't count, NaN is the largest.
+
+    Values are counted by steps between the least and largest finite one of the key; only the step that
+    holds the middle is ordered, by distinct values, so no task takes a whole key.
+    """
+    v = F.col("value").cast("double")
+    finite = F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v / 2)
+    same = lambda a, b: F.col(f"{a}.key").eqNullSafe(F.col(f"{b}.key"))
+    ends = rows.groupBy("key").agg(F.min(finite).alias("lo"), F.max(finite).alias("hi"), F.count("value").alias("n"))
+    inner = F.when(F.col("hi") > F.col("lo"), F.floor((v / 2 - F.col("lo")) / (F.col("hi") - F.col("lo")) * steps)).otherwise(0)
+    step = F.when(finite.isNotNull(), inner).when(v < 0, -1).otherwise(steps + 1).cast("long")
+    stepped = rows.alias("r").join(F.broadcast(ends).alias("e"), same("r", "e")).where("value IS NOT NULL").select("r.key", "r.value", "lo", "hi", "n").withColumn("step", step)
+    up_to = W.partitionBy("key").orderBy("step")
+    counts = stepped.groupBy("key", "step", "n").agg(F.count("*").alias("c")).withColumn("before", F.sum("c").over(up_to) - F.col("c"))
+    middle = counts.withColumn("rank", F.floor(F.col("n") / 2) + 1 - F.col("before")).where("rank BETWEEN 1 AND c").select("key", "step", "rank")
+    inside = stepped.alias("s").join(F.broadcast(middle).alias("m"), same("s", "m") & (F.col("s.step") == F.col("m.step")))
+    values = inside.groupBy("s.key", "value", "rank").agg(F.count("*").alias("c")).withColumn("upto", F.sum("c").over(W.partitionBy("key").orderBy("value")))
+    found = values.where("rank <= upto").groupBy("key").agg(F.min("value").alias("median"))
+    return ends.alias("e").join(found.alias("f"), same("e", "f"), "left").select("e.key", "median")
