@@ -400,6 +400,35 @@ def test_suffix_dedup(spark, docs, tmp_path, length, block_bytes):
     assert got == Counter({(None if k[0] < 0 else k[0], *k[1:]): n for k, n in want.items()})
 
 
+def test_suffix_ties_need_the_second_hash(spark):
+    """Two windows that share their 64-bit hash and differ in the second one don't tie, within a block and across blocks."""
+    plan = suffix_dedup.Plan(50, 21, 8, 4, 1, key_bytes=12)
+    keys = [suffix_dedup.Keys.of(np.array([5, 5, 5, 9], np.uint64), np.array(ids), np.array(second, np.uint64)) for ids, second in (([4, 3, 8, 4], [1, 2, 1, 7]), ([6, 7, 6, 2], [3, 2, 3, 8]))]
+    assert [k.key.tolist() for k in keys] == [[5, 5, 9]] * 2 and [k.least.tolist() for k in keys] == [[4, 3, 4], [7, 6, 2]]
+    assert keys[0].place.tolist() == [0, 1, 0, 2]
+    sent = pa.Table.from_batches([suffix_dedup._sent(b, k, plan, 7, 0, True) for b, k in enumerate(keys)])
+    ranks = suffix_dedup._rank_suffixes(7, plan.second)(sent).to_pylist()
+    assert [np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=3).tolist() for r in ranks] == [[0, 0, 0], [1, 0, 0]]
+
+
+def test_suffix_dedup_with_second_hashes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "FALSE_BITS", 60)
+    r = random.Random(8)
+    passages = [words(20, k) for k in range(4)]
+    table = [(k, " ".join([words(15, 1000 + k), r.choice(passages), r.choice(passages)[7:90]])) for k in range(40)]
+    assert suffix_dedup.Plan.of(sum(len(t) for _, t in table), 50).second > 0
+    spark.createDataFrame(table, "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/t")
+    assert collected(suffix_dedup.repeats(spark.read.parquet(f"{tmp_path}/t"), 50, 2000).drop("spans")) == brute_repeats(table, 50)
+
+
+def test_suffix_keys_grow_with_the_text(spark):
+    for total, width in ((10**5, 8), (860_000_000, 10), (51 * 10**9, 12)):
+        assert suffix_dedup.Plan.of(total, 50).key_bytes == width
+        assert total**2 / 2 ** (8 * width + 1) <= 2.0**-20
+    with pytest.raises(ValueError, match="need keys"):
+        suffix_dedup.Plan.of(1 << 60, 50)
+
+
 def test_suffix_dedup_keeps_rows_and_columns(docs, empty):
     got = suffix_dedup.remove_repeats(docs.where("doc_id IS NOT NULL").repartition(2), block_bytes=50_000)
     assert got.columns == docs.columns and got.count() == docs.where("doc_id IS NOT NULL").count()

@@ -110,7 +110,7 @@ def turn_to(owner: str) -> None:
     if _DOES[0] != owner:
         for kept in KEPT:
             kept.clear()
-        _POWERS[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+        _POWERS.clear()
         gc.collect()
         trim()
         _DOES[0] = owner
@@ -170,23 +170,25 @@ def gram_hashes(x: np.ndarray, n: int) -> np.ndarray:
     return out[: len(x) - n + 1]
 
 
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-_BASE = 0x2545F4914F6CDD1D  # odd, hence invertible modulo 2**64
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_BASES = (0x2545F4914F6CDD1D, 0xD1342543DE82EF95)  # odd, hence invertible modulo 2**64
 
 
-def _powers(n: int) -> list[np.ndarray]:
-    if len(_POWERS[0]) < n + 1:
+def _powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
+    if which not in _POWERS or len(_POWERS[which][0]) < n + 1:
         n = max(n, SLICE_BYTES + 4096)
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+        both = []
+        for base in (_BASES[which], pow(_BASES[which], -1, 1 << 64)):
             x = np.full(n + 1, u64(base))
             x[0] = 1
-            _POWERS[k] = np.cumprod(x, dtype=np.uint64)
-    return _POWERS
+            both.append(np.cumprod(x, dtype=np.uint64))
+        _POWERS[which] = tuple(both)
+    return _POWERS[which]
 
 
-def run_hashes(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of the runs codes[start:end], each by its content alone. codes: positive integers."""
-    up, down = _powers(len(codes))
+def run_hashes(codes: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
+    """Hashes of the runs codes[start:end], each by its content alone; `which` is one of two independent hashes. codes: positive integers."""
+    up, down = _powers(len(codes), which)
     sums = np.zeros(len(codes) + 1, np.uint64)
     np.multiply(codes, up[: len(codes)], out=sums[1:], dtype=np.uint64, casting="unsafe")
     np.cumsum(sums, out=sums)

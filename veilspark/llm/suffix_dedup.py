@@ -47,8 +47,12 @@ BLOCK_BYTES, FOLDER_BYTES = 2 << 20, 64 << 20
 BUCKET_KEYS, LEAST_BITS, MOST_BITS = 1 << 22, 8, 16
 #: Bits beyond its share of the key space that tell a sampled window from others in its bucket; a false tie costs time only.
 SPARE_BITS = 7
+#: A suffix's key is so long that all suffixes of the text would make 2**-FALSE_BITS false ties at most, as expected; two hashes bound it.
+FALSE_BITS, MOST_KEY_BYTES = 20, 16
 
 _BYTE = R.mix(np.arange(1, 257, dtype=np.uint64))
+#: Other codes for the second half of a key, so that the halves don't err together.
+_BYTE_2 = R.mix(np.arange(1001, 1257, dtype=np.uint64))
 
 
 @dataclass(frozen=True)
@@ -59,6 +63,7 @@ class Plan:
     narrow: int  # bytes of a sampled window's key that are sent
     folders: int
     block_bytes: int = BLOCK_BYTES
+    key_bytes: int = 8  # of a suffix's key, beyond 8 from a second hash
 
     @staticmethod
     def of(total: int, length: int, block_bytes: int = BLOCK_BYTES) -> Plan:
@@ -68,7 +73,15 @@ class Plan:
         keys = total * len(COVERS[v]) // v
         bits = min(MOST_BITS, max(LEAST_BITS, (keys // BUCKET_KEYS).bit_length()))
         in_bucket = max(1, keys >> bits)
-        return Plan(length, v, bits, min(7, -(-(in_bucket.bit_length() + SPARE_BITS) // 8)), max(1, total // FOLDER_BYTES), block_bytes)
+        key_bytes = max(8, -(-(2 * total.bit_length() - 1 + FALSE_BITS) // 8))
+        if key_bytes > MOST_KEY_BYTES:
+            raise ValueError(f"{total} bytes of text need keys of {key_bytes} bytes, which is more than the {MOST_KEY_BYTES} there are")
+        return Plan(length, v, bits, min(7, -(-(in_bucket.bit_length() + SPARE_BITS) // 8)), max(1, total // FOLDER_BYTES), block_bytes, key_bytes)
+
+    @property
+    def second(self) -> int:
+        """Bytes of the second hash in a suffix's key."""
+        return self.key_bytes - 8
 
     @property
     def window(self) -> int:
@@ -128,6 +141,21 @@ def blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[Block]:
         yield made()
 
 
+def _in_order(hashes: np.ndarray, second: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(order, which places in it start another key); a second half tells apart what the first one doesn't."""
+    order = np.argsort(hashes)
+    new = np.ones(len(order), bool)
+    new[1:] = hashes[order][1:] != hashes[order][:-1]
+    if second is not None and len(order):
+        apart = second[order][1:] != second[order][:-1]
+        if (apart & ~new[1:]).any():
+            order = np.lexsort((second, hashes))
+            apart = second[order][1:] != second[order][:-1]
+            new[1:] = hashes[order][1:] != hashes[order][:-1]
+        new[1:] |= apart
+    return order, new
+
+
 @dataclass
 class Keys:
     """Distinct keys of a block in order, with the place of each occurrence among them and the smallest doc_id of each."""
@@ -136,19 +164,18 @@ class Keys:
     place: np.ndarray
     least: np.ndarray
     most: np.ndarray
+    second: np.ndarray | None = None
 
     @staticmethod
-    def of(hashes: np.ndarray, doc_id: np.ndarray) -> Keys:
-        order = np.argsort(hashes)
+    def of(hashes: np.ndarray, doc_id: np.ndarray, second: np.ndarray | None = None) -> Keys:
+        order, new = _in_order(hashes, second)
         ordered, ids = hashes[order], doc_id[order]
-        new = np.ones(len(order), bool)
-        new[1:] = ordered[1:] != ordered[:-1]
         first = np.flatnonzero(new)
         place = np.empty(len(order), np.int64)
         place[order] = np.cumsum(new) - 1
         if not len(first):
-            return Keys(ordered, place, ids, ids)
-        return Keys(ordered[first], place, np.minimum.reduceat(ids, first), np.maximum.reduceat(ids, first))
+            return Keys(ordered, place, ids, ids, second)
+        return Keys(ordered[first], place, np.minimum.reduceat(ids, first), np.maximum.reduceat(ids, first), None if second is None else second[order[first]])
 
     def buckets(self, bits: int) -> Iterator[tuple[int, int, int]]:
         """(bucket, first, end) of the buckets that hold keys."""
@@ -186,7 +213,8 @@ def _sent(block: int, keys: Keys, plan: Plan, width: int, shift: int, with_docs:
             base = int(keys.least[a:b].min())
             away = keys.least[a:b].astype(np.uint64) - R.u64(base)
             docs = zstandard.compress(_packed(away, _width(int(away.max()))), 1)
-        rows.append((block, bucket, b - a, _packed(short[a:b], width), base, docs))
+        second = b"" if keys.second is None else _packed(keys.second[a:b], plan.second)
+        rows.append((block, bucket, b - a, _packed(short[a:b], width) + second, base, docs))
     cols = list(zip(*rows)) or [()] * 6
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.binary()))], _SENT.names)
 
@@ -228,20 +256,22 @@ def _rank_sample(plan: Plan):
     return run
 
 
-def _rank_suffixes(width: int):
+def _rank_suffixes(width: int, second: int):
     """Sort one bucket of suffixes; rank 1: a smaller doc_id than the block's own leads the tie."""
 
     def run(table: pa.Table) -> pa.Table:
-        keys = np.concatenate([_unpacked(x, width) for x in table.column("keys").to_pylist()])
+        raws = list(zip(table.column("keys").to_pylist(), table.column("n").to_pylist()))
+        keys = np.concatenate([_unpacked(x[: n * width], width) for x, n in raws])
+        more = np.concatenate([_unpacked(x[n * width :], second) for x, n in raws]) if second else None
+        del raws
         unzip = lambda d, n, base: (_unpacked(raw := zstandard.decompress(d), len(raw) // n) + R.u64(base)).astype(np.int64)
         docs = np.concatenate([unzip(*x) for x in zip(*[table.column(c).to_pylist() for c in ("docs", "n", "base")])])
-        order = np.argsort(keys)
-        ordered = keys[order]
-        first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+        order, new = _in_order(keys, more)
+        first = np.flatnonzero(new)
         leads = np.repeat(np.minimum.reduceat(docs[order], first), np.diff(np.r_[first, len(keys)]))
         found = np.empty(len(keys), bool)
         found[order] = leads < docs[order]
-        del keys, order
+        del keys, more, order
         R.trim()
         return _ranked_rows(table, found)
 
@@ -293,7 +323,9 @@ def _suffixes(block: Block, plan: Plan, sample_ranks: str) -> tuple[np.ndarray,
     open_ &= ~_spread(np.maximum(block.off[1:] - plan.length + 1, block.off[:-1]), block.off[1:], n)
     q = np.flatnonzero(open_)
     ids = block.doc_id[np.searchsorted(block.off, q, side="right") - 1]
-    return q, ids, Keys.of(R.run_hashes(codes, q, q + plan.length), ids)
+    first = R.run_hashes(codes, q, q + plan.length)
+    del codes
+    return q, ids, Keys.of(first, ids, R.run_hashes(_BYTE_2[block.data], q, q + plan.length, 1) if plan.second else None)
 
 
 def _suffix_width(plan: Plan) -> int:
@@ -374,7 +406,7 @@ def _passes(docs: DataFrame, length: int, block_bytes: int) -> tuple[DataFrame,
     total = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     plan = Plan.of(total, length, block_bytes)
     sample_ranks = _stored_ranks(docs.mapInArrow(_send_sample(plan), _SENT), _rank_sample(plan), plan)
-    suffix_ranks = _stored_ranks(docs.mapInArrow(_send_suffixes(plan, sample_ranks), _SENT), _rank_suffixes(_suffix_width(plan)), plan)
+    suffix_ranks = _stored_ranks(docs.mapInArrow(_send_suffixes(plan, sample_ranks), _SENT), _rank_suffixes(_suffix_width(plan), plan.second), plan)
     return docs, plan, sample_ranks, suffix_ranks
 
 
