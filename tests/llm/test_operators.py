@@ -101,6 +101,19 @@ def test_decontaminate_removes_spans_and_documents(docs, bench):
     assert next(r.n_chars for r in got.collect() if r.doc_id == 15) == len(texts[15])
 
 
+def test_decontaminate_is_the_same_in_blocks(spark):
+    """Hits of 30 % and 30 % in two blocks drop a document as 60 % in one do, and a cut that joins a window of another block is cut again."""
+    w = lambda k, n: " ".join(f"w{k}x{i}" for i in range(n))
+    a, b, c = w(1, 12), w(2, 12), w(3, 12)
+    bench = spark.createDataFrame([(1, a), (2, b), (3, c)], "item_id long, text string")
+    docs = [(1, f"{a} {b} {w(4, 16)}", 1), (2, f"{a} {w(5, 40)} {b}", 2), (3, f"{w(6, 40)} {w(3, 6)} {a} " + c.split(" ", 6)[6], 3), (4, None, 4), (5, w(7, 5), 5)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, n_chars long")
+    got = [{tuple(r) for r in decontaminate.decontaminate(df, bench, block_bytes=size).collect()} for size in (decontaminate.BLOCK_BYTES, 1)]
+    assert got[0] == got[1]
+    texts = {d: t for d, t, _ in got[1]}
+    assert texts.keys() == {2, 3, 4, 5} and texts[2].split() == w(5, 40).split() and texts[3].split() == w(6, 40).split()
+
+
 def test_decontaminate_empty(spark, docs, empty, bench):
     assert decontaminate.hits(empty, bench).count() == 0
     assert decontaminate.hits(docs, bench.limit(0)).where("n_hit > 0").count() == 0

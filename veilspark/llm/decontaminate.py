@@ -110,6 +110,19 @@ def _runs(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[np.r_[0, cut + 1]], at[np.r_[cut, len(at) - 1]]
 
 
+def _united(s: np.ndarray, e: np.ndarray, doc: np.ndarray, hit: np.ndarray, off: np.ndarray, earlier: list | None) -> tuple[np.ndarray, list[list]]:
+    """(hit words, spans of hit words) of each document, with the spans that earlier blocks found."""
+    for k, found in enumerate(earlier or ()):
+        for a, b in found:
+            hit[(doc == k) & (s >= off[k] + a) & (e <= off[k] + b)] = True
+    n_hit = np.bincount(doc[hit], minlength=len(off) - 1)
+    spans: list[list] = [[] for _ in range(len(off) - 1)]
+    for k in np.flatnonzero(n_hit).tolist():
+        first, last = _runs(np.flatnonzero(hit & (doc == k)))
+        spans[k] = (np.stack([s[first], e[last]], 1) - off[k]).tolist()
+    return n_hit, spans
+
+
 def _scan(windows_, carry: bool):
     """Arrow function: united with what earlier blocks found, the hits of one block; the text goes on if a block follows."""
 
@@ -117,16 +130,11 @@ def _scan(windows_, carry: bool):
         for rows, data, off in R.row_slices(batches, "decontaminate"):
             s, e, doc, hit, items = find_hits(data, off, windows_.value)
             n = len(off) - 1
-            spans: list[list] = [[] for _ in range(n)]
+            earlier = None
             if "spans" in rows.schema.names:
                 items = [x | set(y) for x, y in zip(items, rows.column("items").to_pylist())]
-                for k, earlier in enumerate(rows.column("spans").to_pylist()):
-                    for a, b in earlier:
-                        hit[(doc == k) & (s >= off[k] + a) & (e <= off[k] + b)] = True
-            n_hit = np.bincount(doc[hit], minlength=n)
-            for k in np.flatnonzero(n_hit).tolist():
-                first, last = _runs(np.flatnonzero(hit & (doc == k)))
-                spans[k] = (np.stack([s[first], e[last]], 1) - off[k]).tolist()
+                earlier = rows.column("spans").to_pylist()
+            n_hit, spans = _united(s, e, doc, hit, off, earlier)
             out = [rows.column("doc_id"), pa.array(np.bincount(doc, minlength=n)), pa.array(n_hit), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(spans, pa.list_(pa.list_(pa.int64())))]
             yield pa.RecordBatch.from_arrays(out + [rows.column("text")] * carry, [*_HITS.names, *["text"] * carry])
 
@@ -190,14 +198,68 @@ def remove_spans(text: bytes, windows_: WindowSet) -> str:
         text = b"".join(text[a:b] for a, b in zip(ends, [*s[first].tolist(), len(text)]))
 
 
+#: Columns that rows carry between the blocks of a larger benchmark: spans found, hit words, all words; whether the text may hold a window.
+_FOUND, _N_HIT, _N_WORDS, _OPEN = "__spans", "__n_hit", "__n_words", "__open"
+_MARKS = [T.StructField(_FOUND, _SPANS), T.StructField(_N_HIT, T.LongType()), T.StructField(_N_WORDS, T.LongType())]
+
+
+def _mark(windows_):
+    """Arrow function: the spans that one block hits join those of earlier blocks, in the rows that are open."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, off in R.row_slices(batches, "decontaminate"):
+            s, e, doc, hit, _ = find_hits(data, off, windows_.value)
+            n = len(off) - 1
+            hit &= np.array(rows.column(_OPEN).to_pylist(), bool)[doc]
+            n_hit, spans = _united(s, e, doc, hit, off, rows.column(_FOUND).to_pylist())
+            for name, values in ((_FOUND, pa.array(spans, pa.list_(pa.list_(pa.int64())))), (_N_HIT, pa.array(n_hit, pa.int64())), (_N_WORDS, pa.array(np.bincount(doc, minlength=n), pa.int64()))):
+                i = rows.schema.get_field_index(name)
+                rows = rows.set_column(i, rows.schema.field(i), values)
+            yield rows
+
+    return run
+
+
+def _cut_marked(drop_share: float | None):
+    """Arrow function: marked spans go, and documents with a share of hit words from drop_share on; rows that were cut stay open."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, off in R.row_slices(batches, "decontaminate"):
+            n_hit, n_words = (np.array(rows.column(c).to_pylist(), np.int64) for c in (_N_HIT, _N_WORDS))
+            keep = (n_hit == 0) | (drop_share is None) | (n_hit < (drop_share or 0) * n_words)
+            texts, found = rows.column("text").to_pylist(), rows.column(_FOUND).to_pylist()
+            for k in np.flatnonzero((n_hit > 0) & keep).tolist():
+                raw, ends = data[off[k] : off[k + 1]].tobytes(), [0, *[b for _, b in found[k]]]
+                texts[k] = b"".join(raw[a:b] for a, b in zip(ends, [*[a for a, _ in found[k]], len(raw)])).decode("utf-8", "surrogatepass")
+            new = {"text": texts, _FOUND: [[]] * len(texts), _OPEN: (n_hit > 0).tolist()}
+            if (j := rows.schema.get_field_index("n_chars")) >= 0:
+                new["n_chars"] = [m if c == 0 else len(t) for m, c, t in zip(rows.column(j).to_pylist(), n_hit, texts, strict=True)]
+            for name, values in new.items():
+                i = rows.schema.get_field_index(name)
+                rows = rows.set_column(i, rows.schema.field(i), pa.array(values, rows.schema.field(i).type))
+            yield rows.filter(pa.array(keep))
+
+    return run
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, drop_share: float = 0.5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs without benchmark passages: a document with at least drop_share of its words hit goes, from others the hit spans go.
 
     All columns stay; n_chars, if there, follows the text. Documents without a
-    hit, null and empty texts are untouched. Several benchmark blocks are
-    applied one after the other.
+    hit, null and empty texts are untouched. The hits of several benchmark blocks are
+    united before a document is dropped or cut; as cuts may bring the words of another window
+    together, the cut texts are scanned again until no block hits them.
     """
     sc = docs.sparkSession.sparkContext
-    for block in window_blocks(benchmark, n, block_bytes):
-        docs = docs.mapInArrow(_clean(sc.broadcast(block), drop_share), docs.schema)
-    return docs
+    blocks = [sc.broadcast(block) for block in window_blocks(benchmark, n, block_bytes)]
+    if len(blocks) == 1:
+        return docs.mapInArrow(_clean(blocks[0], drop_share), docs.schema)
+    out = docs.withColumns({_FOUND: F.array().cast(_SPANS), _N_HIT: F.lit(0).cast("long"), _N_WORDS: F.lit(0).cast("long"), _OPEN: F.lit(True)})
+    schema = T.StructType([*docs.schema.fields, *_MARKS, T.StructField(_OPEN, T.BooleanType())])
+    share: float | None = drop_share
+    while True:
+        for block in blocks:
+            out = out.mapInArrow(_mark(block), schema)
+        out, share = R.cut(out.mapInArrow(_cut_marked(share), schema)), None
+        if out.where(F.col(_OPEN)).isEmpty():
+            return R.picked(out, *docs.columns)
