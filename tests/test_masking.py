@@ -95,6 +95,15 @@ def test_dictionary_paths_agree(spark):
     assert by[0] == by[1]
 
 
+def test_keys_of_marks_alone_on_both_paths(spark):
+    r = random.Random(5)
+    keys = sorted({"---", "+++", "-+-+", "a--", "é-- b", "...", "@--", *("".join(r.choice("-+. ") for _ in range(r.randrange(3, 6))) for _ in range(20))})
+    texts = [(0, "x --- y"), (1, "a-----"), (2, "+++++++"), (3, "b---"), (4, "---b"), (5, ""), *((i, "".join(r.choice([*keys, "a", "é", " ", "@", "-"]) for _ in range(8))) for i in range(6, 80))]
+    df, kd = spark.createDataFrame(texts, "row_id int, text string"), spark.createDataFrame([(k,) for k in keys], "key string")
+    by = [{x.row_id: [(s.s, s.e, s.value) for s in x.spans] for x in D.dictionary_spans(df, kd, n).collect()} for n in (500, 0)]
+    assert by[0] == by[1] and any(v == "---" for _, _, v in by[1][0])
+
+
 def test_upper_case_names(spark):
     table = spark.createDataFrame([("LAST_NAME", "WEBER", "Keller", 1), ("IBAN", "ABCD", "xy", 2)], "data_type string, original_value string, replacement_value string, line int")
     texts = spark.createDataFrame([(1, "WEBER ABCD")], "row_id int, text string")

@@ -113,10 +113,15 @@ def token_join_spans(texts: DataFrame, keys: DataFrame) -> DataFrame:
 
     keys: one column `key`. No cost grows with keys times texts; frequent tokens
     are spread by AQE's skew handling. Rows without a hit are absent. By the
-    boundary rules every token of a key is a whole token of the text.
+    boundary rules every token of a key is a whole token of the text. A key of marks
+    alone lies in a run of marks and is found by its first LEAST_KEY marks.
     """
-    keyed = rarest_tokens(keys.where(F.length("key") >= LEAST_KEY).select("key").distinct())
+    listed = keys.where(F.length("key") >= LEAST_KEY).select("key").distinct()
+    marks = listed.where(F.size(matches(F.col("key"), r"\w")) == 0).select("key", F.left("key", F.lit(LEAST_KEY)).alias("token"), F.lit(0).alias("lead"))
+    keyed = rarest_tokens(listed).unionByName(marks)
     tokens = texts.select("row_id", "text", F.explode(matches(F.col("text"), r"\w+")).alias("t")).select("row_id", "text", F.col("t.s").alias("at"), F.col("t.value").alias("token"))
+    runs = texts.select("row_id", "text", F.explode(matches(F.col("text"), rf"\W{{{LEAST_KEY},}}")).alias("t")).select("row_id", "text", F.explode(F.sequence("t.s", F.col("t.e") - LEAST_KEY)).alias("at"))
+    tokens = tokens.unionByName(runs.withColumn("token", F.substr("text", F.col("at") + 1, F.lit(LEAST_KEY))))
     hit = tokens.join(keyed, "token").withColumn("s", (F.col("at") - F.col("lead")).cast("int")).withColumn("e", (F.col("s") + F.length("key")).cast("int"))
     exact = (F.col("s") >= 0) & (F.substr("text", F.col("s") + 1, F.length("key")) == F.col("key"))
     before, after = F.substr("text", F.col("s"), F.when(F.col("s") > 0, 1).otherwise(0)), F.substr("text", F.col("e") + 1, F.lit(1))
