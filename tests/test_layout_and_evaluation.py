@@ -81,6 +81,21 @@ def test_missing_documents_leak(spark):
     assert (v.leaks, v.absent, v.passed) == (1, 1, False)
 
 
+def test_examples_and_integrity(spark):
+    outputs = spark.createDataFrame([("a", "Keep K1 only"), ("b", "x")], "document string, text string")
+    decoys = spark.createDataFrame([("a", "K 1", 0), ("a", "", 1), *(("a", f"D{k:02}", 20 - k) for k in range(12)), ("b", "X", 1), ("c", "y", 1)], "document string, value string, decoy_id int")
+    got = {r.document: r.decoys_modified_examples for r in E.decoy_examples(outputs, decoys, order="decoy_id").collect()}
+    assert got == {"a": [f"D{k:02}" for k in range(11, 1, -1)]}
+    truth = [(f"{k:02}", "a", place, section, f"v{k // 2}", "PSEUDONYMIZE") for k in range(16) for place, section in [("text", "") if k % 2 else ("image", "header")]]
+    truth = spark.createDataFrame([*truth, ("90", "a", "text", "", "one", "PSEUDONYMIZE"), ("91", "z", "text", "", "v", "PSEUDONYMIZE"), ("92", "z", "cell", "", "v", "PSEUDONYMIZE")], "gt_id string, document string, location_type string, section string, value string, expected_action string")
+    rows = truth.withColumn("present", F.col("document") == "a")
+    assert sorted(tuple(r) for r in E.surface_examples(truth, rows).collect()) == [("a", f"v{k}", ["header", "text"]) for k in range(6)]
+    kind = "document string, text string, pages array<string>, stats map<string,long>"
+    before = spark.createDataFrame([("a", "x" * 1000, ["p", "q"], {"pages": 2, "images": 1}), ("b", None, None, {"sheets": 3})], kind)
+    after = spark.createDataFrame([("a", "x" * 985, ["p"], {"pages": 1, "images": 1}), ("b", "xy", None, {"sheets": 3}), ("c", "n", ["p"], {"pages": 1})], kind)
+    assert sorted(tuple(r) for r in E.integrity(before, after).collect()) == [("a", {"pages": 1, "images": 1}, {"pages": 2, "images": 1}, 0.985, False), ("b", {"sheets": 3}, {"sheets": 3}, 2.0, None), ("c", {"pages": 1}, None, None, None)]
+
+
 def test_upper_median_and_fidelity(spark):
     df = spark.createDataFrame([([3, 1, 2],), ([4, 1, 2, 3],), ([5],)], "v array<int>")
     assert [r.m for r in df.select(E.upper_median(F.col("v")).alias("m")).collect()] == [2, 3, 5]

@@ -115,6 +115,14 @@ def coherence(truth: DataFrame, rows: DataFrame) -> DataFrame:
     return multi.join(there, "document", "left_semi").join(leaked, ["document", "value"], "left").groupBy("document").agg(F.count("*").alias("values_multi_surface"), F.coalesce(F.sum("leaks"), F.lit(0)).alias("leaks_in_multi_surface_values"))
 
 
+def surface_examples(truth: DataFrame, rows: DataFrame, n: int = SURFACE_EXAMPLES) -> DataFrame:
+    """Per present document its first n values (by gt_id) that stand on two surfaces and more, with these in order."""
+    surface = F.coalesce(F.nullif("section", F.lit("")), "location_type")
+    multi = truth.where("expected_action = 'PSEUDONYMIZE'").groupBy("document", "value").agg(F.array_sort(F.collect_set(surface)).alias("surfaces"), F.min("gt_id").alias("first")).where(F.size("surfaces") >= 2)
+    there = multi.join(rows.where("present").select("document").distinct(), "document", "left_semi")
+    return there.withColumn("r", F.row_number().over(W.partitionBy("document").orderBy("first", "value"))).where(F.col("r") <= n).select("document", "value", "surfaces")
+
+
 def _found(text: Column, dtype: str) -> Column:
     return F.regexp_extract_all(text, F.lit(X.unicode_pattern(f"({dict(X.PATTERNS)[dtype]})")), 1)
 
@@ -140,8 +148,29 @@ def format_validity(outputs: DataFrame, decoys: DataFrame) -> DataFrame:
 def decoys_modified(outputs: DataFrame, decoys: DataFrame) -> DataFrame:
     """Per document: its decoys (document, value) and how many of them are no longer in its text."""
     rows = decoys.where("value <> ''").join(outputs.select("document", "text"), "document")
-    gone = ~F.contains(X.casefold(X.norm(F.col("text"))), X.casefold(X.norm(F.col("value"))))
-    return rows.groupBy("document").agg(F.count("*").alias("decoys_total"), F.count_if(gone).alias("decoys_modified"))
+    return rows.groupBy("document").agg(F.count("*").alias("decoys_total"), F.count_if(_gone()).alias("decoys_modified"))
+
+
+def _gone() -> Column:
+    return ~F.contains(X.casefold(X.norm(F.col("text"))), X.casefold(X.norm(F.col("value"))))
+
+
+def decoy_examples(outputs: DataFrame, decoys: DataFrame, n: int = DECOY_EXAMPLES, order: str = "value") -> DataFrame:
+    """Per document its first n modified decoys (document, value) by the decoys' column `order`."""
+    ranked = decoys.where("value <> ''").select("document", "value", F.col(order).alias("at"))
+    rows = ranked.join(outputs.select("document", "text"), "document").where(_gone())
+    rows = rows.withColumn("r", F.row_number().over(W.partitionBy("document").orderBy("at", "value"))).where(F.col("r") <= n)
+    return rows.groupBy("document").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "value"))), lambda x: x["value"]).alias("decoys_modified_examples"))
+
+
+def integrity(inbound: DataFrame, outputs: DataFrame) -> DataFrame:
+    """Per document of outputs (document, text, pages, stats): its stats, a map of counts (pages, images, paragraphs, tables, sheets), beside those of
+    the inbound document, the ratio of text lengths, and whether pages are as many. What has no inbound document, or no pages, is null there."""
+    a = inbound.select("document", F.col("text").alias("text_in"), F.col("pages").alias("pages_in"), F.col("stats").alias("inbound"), F.lit(True).alias("there"))
+    size = lambda c: F.coalesce(F.length(c), F.lit(0))
+    ratio = F.when(F.col("there"), F.bround(size("text") / F.greatest(F.lit(1), size("text_in")), 3))
+    equal = F.when(F.col("pages").isNotNull() & F.col("pages_in").isNotNull(), F.size("pages") == F.size("pages_in"))
+    return outputs.join(a, "document", "left").select("document", F.col("stats").alias("output"), "inbound", ratio.alias("text_length_ratio"), equal.alias("pages_equal"))
 
 
 def size_delta(before: DataFrame, after: DataFrame) -> DataFrame:
