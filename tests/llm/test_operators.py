@@ -401,7 +401,7 @@ def brute_repeats(table, length):
     return out
 
 
-@pytest.mark.parametrize(("length", "block_bytes"), [(50, suffix_dedup.BLOCK_BYTES), (50, 2000), (14, 700), (5, 700)])
+@pytest.mark.parametrize(("length", "block_bytes"), [(50, suffix_dedup.BLOCK_BYTES), (50, 2000), (50, 300), (14, 700), (5, 700)])
 def test_suffix_dedup(spark, docs, tmp_path, length, block_bytes):
     r = random.Random(length)
     passages = [words(20, k) for k in range(4)]
@@ -413,33 +413,53 @@ def test_suffix_dedup(spark, docs, tmp_path, length, block_bytes):
     assert got == Counter({(None if k[0] < 0 else k[0], *k[1:]): n for k, n in want.items()})
 
 
-def test_suffix_ties_need_the_second_hash(spark):
-    """Two windows that share their 64-bit hash and differ in the second one don't tie, within a block and across blocks."""
-    plan = suffix_dedup.Plan(50, 21, 8, 4, 1, key_bytes=12)
-    keys = [suffix_dedup.Keys.of(np.array([5, 5, 5, 9], np.uint64), np.array(ids), np.array(second, np.uint64)) for ids, second in (([4, 3, 8, 4], [1, 2, 1, 7]), ([6, 7, 6, 2], [3, 2, 3, 8]))]
-    assert [k.key.tolist() for k in keys] == [[5, 5, 9]] * 2 and [k.least.tolist() for k in keys] == [[4, 3, 4], [7, 6, 2]]
-    assert keys[0].place.tolist() == [0, 1, 0, 2]
-    sent = pa.Table.from_batches([suffix_dedup._sent(b, k, plan, 7, 0, True) for b, k in enumerate(keys)])
-    ranks = suffix_dedup._rank_suffixes(7, plan.second)(sent).to_pylist()
-    assert [np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=3).tolist() for r in ranks] == [[0, 0, 0], [1, 0, 0]]
-
-
-def test_suffix_dedup_with_second_hashes(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "FALSE_BITS", 60)
-    r = random.Random(8)
-    passages = [words(20, k) for k in range(4)]
-    table = [(k, " ".join([words(15, 1000 + k), r.choice(passages), r.choice(passages)[7:90]])) for k in range(40)]
-    assert suffix_dedup.Plan.of(sum(len(t) for _, t in table), 50).second > 0
-    spark.createDataFrame(table, "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/t")
-    assert collected(suffix_dedup.repeats(spark.read.parquet(f"{tmp_path}/t"), 50, 2000).drop("spans")) == brute_repeats(table, 50)
-
-
-def test_suffix_keys_grow_with_the_text(spark):
-    for total, width in ((10**5, 8), (860_000_000, 10), (51 * 10**9, 12)):
-        assert suffix_dedup.Plan.of(total, 50).key_bytes == width
-        assert total**2 / 2 ** (8 * width + 1) <= 2.0**-20
-    with pytest.raises(ValueError, match="need keys"):
-        suffix_dedup.Plan.of(1 << 60, 50)
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text("ab\0", max_size=130), min_size=1, max_size=6), st.sampled_from([(2, 1), (7, 3), (14, 7), (26, 13), (50, 21)]))
+def test_suffixes_of_a_bucket_are_sorted_by_their_bytes(texts, shape):
+    """Every string starts exactly one class, though ties beyond v bytes are resolved by ranks of the cover alone."""
+    length, v = shape
+    data = "".join(texts).encode()
+    at = np.array([i + sum(map(len, texts[:k])) for k, t in enumerate(texts) for i in range(len(t) - length + 1)], np.int64)
+    if not len(at):
+        return
+    order, new = suffix_dedup.sort_suffixes(suffix_dedup.padded(np.frombuffer(data, np.uint8)), at, length, v)
+    got = [data[i : i + length] for i in at[order].tolist()]
+    assert sorted(order.tolist()) == list(range(len(at))) and got == sorted(got)
+    assert [g for g, n in zip(got, new.tolist()) if n] == sorted(set(got))
+
+
+def test_equal_hashes_remove_nothing(monkeypatch):
+    """With one hash for all strings, runs and suffixes are still told apart by their bytes."""
+    texts = [words(30, 1), words(12, 2) + " " + words(30, 1), words(30, 3), words(30, 1)]
+    plan = suffix_dedup.Plan.of(1000, 50)
+    ids = np.array([5, 3, 9, 8])
+    off = np.cumsum([0, *[len(t.encode()) for t in texts]])
+    piece = suffix_dedup.Piece(0, 0, suffix_dedup.padded(np.frombuffer("".join(texts).encode(), np.uint8)), off, ids)
+    monkeypatch.setattr(suffix_dedup, "hashes", lambda buf, at, n: np.zeros(len(at), np.uint64))
+    monkeypatch.setattr(suffix_dedup, "all_hashes", lambda buf, end, n: np.zeros(end, np.uint64))
+    p, keys = suffix_dedup._sampled(piece, plan)
+    assert len(keys.key) == 1 and keys.shared.all()
+    runs = suffix_dedup._runs(piece, plan, np.ones(1, bool), p, keys)
+    content = [piece.buf[a : a + n + 49].tobytes() for a, n in zip(runs.start.tolist(), runs.size.tolist())]
+    assert len(set(zip(content, runs.which.tolist()))) == len(runs.sent) >= len(set(content))  # runs that are one are equal
+    text = b"".join(content[k] for k in runs.sent.tolist())
+    n = len(runs.sent)
+    raw = np.int64(0).tobytes() + suffix_dedup._packed(runs.size[runs.sent], 4) + suffix_dedup._packed(runs.least, 8) + text
+    table = pa.Table.from_batches([suffix_dedup._rows([(0, 0, n, suffix_dedup.zstandard.compress(raw))])])
+    (answer,) = suffix_dedup._rank_suffixes(plan)(table).to_pylist()
+    bits = np.unpackbits(np.frombuffer(answer["bits"], np.uint8), count=int(runs.size[runs.sent].sum())).tolist()
+    strings = [(content[k][i : i + 50], int(d)) for k, d in zip(runs.sent.tolist(), runs.least) for i in range(int(runs.size[k]))]
+    least = {}
+    for x, d in strings:
+        least[x] = min(least.get(x, d), d)
+    assert bits == [int(least[x] < d) for x, d in strings] and any(bits)
+
+
+def test_suffix_buckets_are_bounded():
+    for total in (10**5, 860_000_000, 51 * 10**9, 10**14):
+        plan = suffix_dedup.Plan.of(total, 50)
+        assert total >> plan.suffix_bits < suffix_dedup.BUCKET_BYTES and (total * 5 // 21) >> plan.bits <= suffix_dedup.BUCKET_KEYS
+        assert 2 ** (8 * plan.narrow + plan.bits) >= total
 
 
 def test_suffix_dedup_keeps_rows_and_columns(docs, empty):

@@ -22,15 +22,36 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 1 << 20
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """(file system, qualified path) as Hadoop resolves them: a path without scheme belongs to the default file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs_ = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs_, fs_.makeQualified(path)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """URI of a fresh folder that driver and executors share (below spark.checkpoint.dir)."""
+    """URI of a fresh folder below spark.checkpoint.dir, which driver and executors share; it is deleted when the driver ends.
+
+    Where the setting is missing, a local master gets a temporary folder for the
+    session, as in tests; a cluster gets an error, since executors share no local folder.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="veilspark-")
         spark.conf.set("spark.checkpoint.dir", base)
-    if "://" not in base and not base.startswith("file:"):
-        base = "file://" + base
-    return posixpath.join(base, f"veilspark-{uuid.uuid4().hex}")
+    fs_, path = _hadoop(spark, posixpath.join(base, f"veilspark-{uuid.uuid4().hex}"))
+    fs_.deleteOnExit(path)
+    uri = path.toString()
+    return "file://" + uri.removeprefix("file:") if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
+def drop(spark: SparkSession, *uris: str) -> None:
+    """Delete folders of shared_dir() that nothing will read again."""
+    for uri in uris:
+        fs_, path = _hadoop(spark, uri)
+        fs_.delete(path, True)
 
 
 _TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -47,19 +68,18 @@ def tidy(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(_TIDY, before)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, so a lost executor costs no recomputation."""
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """df written to the shared folder and read back, and the folder's URI: lineage ends there, so a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = shared_dir(spark)
     with tidy(spark):
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
-def is_plain_scan(df: DataFrame) -> bool:
-    """True if df only reads, filters and projects files, so that a second run sees the same rows in the same order."""
-    lines = df._jdf.queryExecution().optimizedPlan().toString().strip().splitlines()
-    return all(x.lstrip(" :+-").startswith(("Project", "Filter", "Relation")) for x in lines)
+def cut(df: DataFrame) -> DataFrame:
+    """df by way of a table in the shared folder, see stored()."""
+    return stored(df)[0]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -106,8 +126,9 @@ def trim() -> None:
 
 
 def turn_to(owner: str) -> None:
-    """A reused worker that turns to another operator forgets what the former kept."""
+    """A reused worker that turns to another operator forgets what the former kept. Arrow's memory comes from the C library, so that trim() frees it too."""
     if _DOES[0] != owner:
+        pa.set_memory_pool(pa.system_memory_pool())
         for kept in KEPT:
             kept.clear()
         _POWERS.clear()
@@ -213,21 +234,43 @@ def picked(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def with_texts(rows: pa.RecordBatch, texts: list, lengths: dict[int, int]) -> pa.RecordBatch:
+    """rows with these texts; where there is a column n_chars, the rows in `lengths` get theirs."""
+    columns = {"text": texts}
+    if lengths and "n_chars" in rows.schema.names:
+        columns["n_chars"] = [lengths.get(k, n) for k, n in enumerate(rows.column("n_chars").to_pylist())]
+    for name, values in columns.items():
+        i = rows.schema.get_field_index(name)
+        rows = rows.set_column(i, rows.schema.field(i), pa.array(values, rows.schema.field(i).type))
+    return rows
+
+
 class Memo(dict):
-    """Remembers fn(key) of the keys used last, in two generations of bounded size. With `listed`, `fresh` holds what was computed until it is emptied."""
+    """Remembers fn(key) of the keys used last, in two generations of at most `most` bytes each (keys, values and the table's own share).
+
+    A result of fn for a key longer than a sixteenth of that isn't kept. With
+    `listed`, `fresh` holds what was computed until it is emptied.
+    """
+
+    #: Bytes of an entry besides the characters: two objects' heads and the table's slots.
+    ENTRY = 180
 
     def __init__(self, fn, most: int, listed: bool = False):
         super().__init__()
-        self.fn, self.most, self.old, self.fresh, self.listed = fn, most, {}, [], listed
+        self.fn, self.most, self.size, self.old, self.fresh, self.listed = fn, most, 0, {}, [], listed
 
     def __missing__(self, key):
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
         value = self.old.get(key)
         if value is None:
             value = self.fn(key)
             if self.listed:
                 self.fresh.append((key, value))
+        size = self.ENTRY + len(value) + (len(key) if key.isascii() else 4 * len(key))
+        if size * 16 > self.most:
+            return value
+        if self.size + size > self.most:
+            self.old, self.size = dict(self), 0
+            self.clear()
+        self.size += size
         self[key] = value
         return value
