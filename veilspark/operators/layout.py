@@ -98,9 +98,26 @@ def overlap_area(a: str, b: str) -> Column:
     return side("x0", "x1") * side("y0", "y1")
 
 
-def best_cover(rects: DataFrame, spans: DataFrame) -> DataFrame:
-    """Per rectangle (page, rect_id, x0..y1) the span (page, span_id, x0..y1) that covers most of it; smaller ids on ties."""
-    joined = rects.alias("a").join(spans.alias("b"), F.col("a.page") == F.col("b.page")).withColumn("area", overlap_area("a", "b")).where("area > 0")
+def _in_cells(boxes: DataFrame, x: tuple[Column, Column], y: tuple[Column, Column], cell: int) -> DataFrame:
+    """boxes once for each cell of a square grid (cx, cy) that the ranges x and y touch."""
+    touched = lambda lo, hi: F.explode(F.sequence(F.floor(lo / cell), F.floor(F.greatest(lo, hi) / cell)))
+    return boxes.withColumn("cx", touched(*x)).withColumn("cy", touched(*y))
+
+
+#: Side of a grid cell in pixels: boxes of one page meet only in the cells that both touch.
+CELL = 128
+
+
+def best_cover(rects: DataFrame, spans: DataFrame, cell: int = CELL) -> DataFrame:
+    """Per rectangle (page, rect_id, x0..y1) the span (page, span_id, x0..y1) that covers most of it; smaller ids on ties.
+
+    A pair is counted in the one cell that holds the upper left corner of its overlap.
+    """
+    sides = (F.col("x0"), F.col("x1")), (F.col("y0"), F.col("y1"))
+    a, b = _in_cells(rects, *sides, cell).alias("a"), _in_cells(spans, *sides, cell).alias("b")
+    corner = (F.floor(F.greatest("a.x0", "b.x0") / cell) == F.col("a.cx")) & (F.floor(F.greatest("a.y0", "b.y0") / cell) == F.col("a.cy"))
+    meet = (F.col("a.page") == F.col("b.page")) & (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy")) & corner
+    joined = a.join(b, meet).withColumn("area", overlap_area("a", "b")).where("area > 0")
     return joined.groupBy("a.page", "a.rect_id").agg(F.max_by("b.span_id", F.struct("area", -F.col("b.span_id"))).alias("span_id"), F.max("area").alias("area"))
 
 
@@ -116,11 +133,22 @@ def suppressed(boxes: Column, share: float = 0.5) -> Column:
 
 
 def near_labels(boxes: DataFrame, labels: DataFrame, reach: int = 250) -> DataFrame:
-    """Boxes (file, box_id, x0..y1) that start at most `reach` right of or below the end of a label (file, x0..y1), and are no further from it in the other direction."""
-    a, b = boxes.alias("a"), labels.alias("b")
-    right = (F.col("a.x0") - F.col("b.x1")).between(0, reach) & (F.col("a.y0") <= F.col("b.y1") + reach) & (F.col("a.y1") >= F.col("b.y0") - reach)
-    below = (F.col("a.y0") - F.col("b.y1")).between(0, reach) & (F.col("a.x0") <= F.col("b.x1") + reach) & (F.col("a.x1") >= F.col("b.x0") - reach)
-    return a.join(b, (F.col("a.file") == F.col("b.file")) & (right | below), "left_semi")
+    """Boxes (file, box_id, x0..y1) that start at most `reach` right of or below the end of a label (file, x0..y1), and are no further from it in the other direction.
+
+    Boxes meet labels in grid cells of side `reach`, by their left and their upper edge.
+    """
+    a, b = boxes.select("file", "box_id", "x0", "y0", "x1", "y1"), labels.select("file", *[F.col(c).alias(f"l{c}") for c in ("x0", "y0", "x1", "y1")])
+    right = (F.col("x0") - F.col("lx1")).between(0, reach) & (F.col("y0") <= F.col("ly1") + reach) & (F.col("y1") >= F.col("ly0") - reach)
+    below = (F.col("y0") - F.col("ly1")).between(0, reach) & (F.col("x0") <= F.col("lx1") + reach) & (F.col("x1") >= F.col("lx0") - reach)
+    found = None
+    for condition, x, y, lx, ly in (
+        (right, ("x0", "x0"), ("y0", "y1"), (F.col("lx1"), F.col("lx1") + reach), (F.col("ly0") - reach, F.col("ly1") + reach)),
+        (below, ("x0", "x1"), ("y0", "y0"), (F.col("lx0") - reach, F.col("lx1") + reach), (F.col("ly1"), F.col("ly1") + reach)),
+    ):
+        own = _in_cells(a, tuple(map(F.col, x)), tuple(map(F.col, y)), reach)
+        hit = own.join(_in_cells(b, lx, ly, reach), ["file", "cx", "cy"]).where(condition).select("file", "box_id")
+        found = hit if found is None else found.unionByName(hit)
+    return boxes.join(found.distinct(), ["file", "box_id"], "left_semi")
 
 
 def trusted_words(words: DataFrame, sure: float = 75, least: float = 30, cap: int = 1) -> DataFrame:
