@@ -221,7 +221,7 @@ def test_token_counts_any_text(texts):
 
 
 def test_token_counts_forget(monkeypatch):
-    monkeypatch.setattr(token_counts, "MEMO_PIECES", 5)
+    monkeypatch.setattr(token_counts, "MEMO_BYTES", 2000)
     m = token_counts.Merges(BYTES)
     texts = [words(20, k) for k in range(10)]
     for _ in range(2):
@@ -279,6 +279,34 @@ def test_word_encoder_any_text(text):
     assert np.frombuffer(e.encode(text), "<u2").tolist() == e.lib.encode(text, add_special_tokens=False).ids
 
 
+def test_token_files_with_another_tokenizer(docs):
+    """A tokenizer that does not work word by word gets whole texts."""
+    lib = library(BYTES)
+    folder = runtime.shared_dir(docs.sparkSession)
+    got = token_files.read(token_files.write(docs, BYTES, 1, folder), folder).collect()
+    want = Counter((d, zlib.crc32(np.array([*lib.encode(t or "", add_special_tokens=False).ids, 1], "<u4").tobytes())) for d, t, *_ in rows())
+    assert Counter((r.doc_id, r.ids_crc32) for r in got) == want and token_files.encoder(WORDS).by_word
+
+
+def test_memories_are_bounded_in_bytes(monkeypatch):
+    """Long words without spaces make no worker's memory grow beyond its two generations."""
+    import tracemalloc
+
+    r = random.Random(2)
+    long_words = ["".join(r.choices("abcdefghijklmnop", k=300)) for _ in range(6000)]
+    for make, module in ((lambda: sentencepiece_bpe.Vocabulary(PIECES).encode, sentencepiece_bpe), (lambda: token_files.Encoder(WORDS).encode, token_files), (lambda: token_counts.Merges(BYTES).tokens, token_counts)):
+        monkeypatch.setattr(module, "MEMO_BYTES", 1 << 20)
+        encode = make()
+        tracemalloc.start()
+        for i in range(0, len(long_words), 200):
+            encode([" ".join(long_words[i : i + 200])] if module is not token_files else " ".join(long_words[i : i + 200]))
+        held, _ = tracemalloc.get_traced_memory()
+        tracemalloc.stop()
+        assert held < 4 << 20, (module.__name__, held)
+    memo = runtime.Memo(lambda k: k.encode(), 1 << 20)
+    assert memo["x" * 100_000] and not memo.size and memo["y"] == b"y" == memo["y"] and memo.size
+
+
 # media
 
 
@@ -498,6 +526,24 @@ def test_langid_edges(spark, docs, empty):
     assert {r.lang_pred for r in langid.predict(docs, langid.fit(empty)).collect()} == {"und"}
 
 
+def test_langid_learns_every_label(spark):
+    """A hundred labels, each with an alphabet of its own, and fewer buckets where the matrix would be too large."""
+    r = random.Random(4)
+    table = [(i, "".join(chr(0x4E00 + 40 * (i % 100) + r.randrange(40)) for _ in range(60)), f"l{i % 100:02}") for i in range(1200)]
+    docs = spark.createDataFrame(table, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert len(model.languages) == 100 and model.matrix.shape == (langid.BUCKETS, 100)
+    names, _ = model.score([t for _, t, _ in table])
+    assert names == [x for _, _, x in table]
+
+
+def test_langid_matrix_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MATRIX_BYTES", 4 * 3 * (1 << 12))
+    table = [(i, ("abc", "xyz", "mno")[i % 3] * 20, ("a", "x", "m")[i % 3]) for i in range(30)]
+    model = langid.fit(spark.createDataFrame(table, "doc_id long, text string, lang string"))
+    assert model.matrix.shape == (1 << 12, 3) and model.score(["abcabc", "zyxxyz", "nom"])[0] == ["a", "x", "m"]
+
+
 def test_langid_score_is_the_posterior():
     m = langid.Model(["a", "b"], np.log([0.5, 0.5]), np.log(np.random.default_rng(1).dirichlet(np.ones(langid.BUCKETS), 2).T).astype(np.float32))
     b, o, _ = langid.features(["Héy you", "", "12"])

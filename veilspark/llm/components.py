@@ -31,12 +31,15 @@ def components(edges: DataFrame) -> DataFrame:
     shared folder, so lineage stays short; rounds grow with the logarithm of the
     longest chain. Only two numbers a round reach the driver.
     """
-    at = R.cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("v < u").distinct())
+    spark = edges.sparkSession
+    at, path = R.stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("v < u").distinct())
     state = None
     while True:
         now = at.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
         if now == state or not now[0]:
             break
         state = now
-        at = R.cut(_star(_star(at, True), False))
+        before = path
+        at, path = R.stored(_star(_star(at, True), False))
+        R.drop(spark, before)
     return at.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(at.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -22,8 +22,8 @@ from pyspark.sql import types as T
 from . import runtime as R
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-#: Bytes of normalised windows in one broadcast block.
-BLOCK_BYTES = 64 << 20
+#: Bytes of normalised windows in one broadcast block, with what the tables of an entry take besides its characters.
+BLOCK_BYTES, ENTRY_BYTES = 64 << 20, 400
 
 _B = np.arange(256)
 _UPPER = (_B >= 0x41) & (_B <= 0x5A)
@@ -91,7 +91,7 @@ def window_blocks(benchmark: DataFrame, n: int, block_bytes: int = BLOCK_BYTES)
     block, size = {}, 0
     for row in R.picked(benchmark, "item_id", "text").where("text IS NOT NULL").toLocalIterator():
         for w in set(windows(normal_words(row.text), n)):
-            size += 0 if w in block else len(w) + 64
+            size += 0 if w in block else len(w) + ENTRY_BYTES
             block.setdefault(w, set()).add(str(row.item_id))
         if size > block_bytes:
             yield WindowSet(block)
@@ -114,11 +114,12 @@ def _united(s: np.ndarray, e: np.ndarray, doc: np.ndarray, hit: np.ndarray, off:
     """(hit words, spans of hit words) of each document, with the spans that earlier blocks found."""
     for k, found in enumerate(earlier or ()):
         for a, b in found:
-            hit[(doc == k) & (s >= off[k] + a) & (e <= off[k] + b)] = True
+            hit[np.searchsorted(s, off[k] + a) : np.searchsorted(e, off[k] + b, side="right")] = True
     n_hit = np.bincount(doc[hit], minlength=len(off) - 1)
     spans: list[list] = [[] for _ in range(len(off) - 1)]
+    bounds = np.searchsorted(doc, np.arange(len(off)))
     for k in np.flatnonzero(n_hit).tolist():
-        first, last = _runs(np.flatnonzero(hit & (doc == k)))
+        first, last = _runs(bounds[k] + np.flatnonzero(hit[bounds[k] : bounds[k + 1]]))
         spans[k] = (np.stack([s[first], e[last]], 1) - off[k]).tolist()
     return n_hit, spans
 
@@ -149,16 +150,35 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_bytes: int =
     item_id is the item "None". Texts are read whole, however long. A benchmark
     of several blocks sends the rows through one scan for each block.
     """
-    spark = docs.sparkSession
-    out = R.picked(docs, "doc_id", "text")
-    blocks = list(window_blocks(benchmark, n, block_bytes))
-    for k, block in enumerate(blocks):
-        carry = k < len(blocks) - 1
-        schema = T.StructType([*_HITS.fields, *[T.StructField("text", T.StringType())] * carry])
-        out = out.mapInArrow(_scan(spark.sparkContext.broadcast(block), carry), schema)
+    out, held = R.picked(docs, "doc_id", "text"), None
+    schema = T.StructType([*_HITS.fields, T.StructField("text", T.StringType())])
+    for block, last in _each(window_blocks(benchmark, n, block_bytes)):
+        sent = docs.sparkSession.sparkContext.broadcast(block)
+        if last:
+            out = out.mapInArrow(_scan(sent, False), _HITS)
+        else:
+            out, held = _step(out.mapInArrow(_scan(sent, True), schema), sent, held)
     return out
 
 
+def _each(blocks: Iterator[WindowSet]) -> Iterator[tuple[WindowSet, bool]]:
+    """(block, whether it is the last): the driver holds one and the one after it."""
+    block = next(blocks)
+    for following in blocks:
+        yield block, False
+        block = following
+    yield block, True
+
+
+def _step(df: DataFrame, sent, held: str | None) -> tuple[DataFrame, str]:
+    """df as a table, so that the block it was scanned with can be given up before the next one is sent; the table before goes too."""
+    out, path = R.stored(df)
+    sent.destroy()
+    if held:
+        R.drop(df.sparkSession, held)
+    return out, path
+
+
 def digest(found: DataFrame) -> DataFrame:
     """The contract's columns from hits()."""
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
@@ -246,20 +266,26 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, drop_share
     """docs without benchmark passages: a document with at least drop_share of its words hit goes, from others the hit spans go.
 
     All columns stay; n_chars, if there, follows the text. Documents without a
-    hit, null and empty texts are untouched. The hits of several benchmark blocks are
+    hit, null and empty texts are untouched, repeated rows are treated alike, and an empty
+    table or benchmark leaves docs as it is. The hits of several benchmark blocks are
     united before a document is dropped or cut; as cuts may bring the words of another window
-    together, the cut texts are scanned again until no block hits them.
+    together, the cut texts are scanned again until no block hits them. One block at a time is broadcast.
     """
     sc = docs.sparkSession.sparkContext
-    blocks = [sc.broadcast(block) for block in window_blocks(benchmark, n, block_bytes)]
-    if len(blocks) == 1:
-        return docs.mapInArrow(_clean(blocks[0], drop_share), docs.schema)
+    block, last = next(_each(window_blocks(benchmark, n, block_bytes)))
+    if last:
+        return docs.mapInArrow(_clean(sc.broadcast(block), drop_share), docs.schema)
     out = docs.withColumns({_FOUND: F.array().cast(_SPANS), _N_HIT: F.lit(0).cast("long"), _N_WORDS: F.lit(0).cast("long"), _OPEN: F.lit(True)})
     schema = T.StructType([*docs.schema.fields, *_MARKS, T.StructField(_OPEN, T.BooleanType())])
     share: float | None = drop_share
+    held = None
     while True:
-        for block in blocks:
-            out = out.mapInArrow(_mark(block), schema)
-        out, share = R.cut(out.mapInArrow(_cut_marked(share), schema)), None
+        for block in window_blocks(benchmark, n, block_bytes):
+            sent = sc.broadcast(block)
+            out, held = _step(out.mapInArrow(_mark(sent), schema), sent, held)
+        marked = held
+        out, held = R.stored(out.mapInArrow(_cut_marked(share), schema))
+        R.drop(docs.sparkSession, marked)
+        share = None
         if out.where(F.col(_OPEN)).isEmpty():
             return R.picked(out, *docs.columns)

@@ -20,10 +20,10 @@ from pyspark.sql import types as T
 
 from . import runtime as R
 
-#: Hash buckets for n-grams of 1 to ORDERS characters; also bounds the broadcast: BUCKETS * MAX_LANGUAGES * 4 bytes.
+#: Hash buckets for n-grams of 1 to ORDERS characters.
 BUCKETS, ORDERS = 1 << 16, 3
-#: The most frequent labels that are learned.
-MAX_LANGUAGES = 64
+#: Bytes of the matrix that is broadcast: beyond 256 labels its buckets are halved until it fits, down to LEAST_BUCKETS (16,384 labels); every label is learned.
+MATRIX_BYTES, LEAST_BUCKETS = 64 << 20, 1 << 10
 #: Expected number of labelled rows sampled for each language (the bound of the training sample).
 SAMPLE_ROWS = 2000
 UNDETERMINED = "und"
@@ -62,13 +62,14 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Model:
     languages: list[str]
     prior: np.ndarray  # log, by language
-    matrix: np.ndarray  # log-probabilities, BUCKETS x languages
+    matrix: np.ndarray  # log-probabilities, buckets (a power of two) x languages
 
     def score(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """The likeliest language of each text (the first in order of names on a tie) and its posterior probability."""
         if not self.languages or not texts:
             return [UNDETERMINED] * len(texts), np.zeros(len(texts))
         bucket, owner, letters = features(texts)
+        bucket &= self.matrix.shape[0] - 1
         logs = np.tile(self.prior, (len(texts), 1))
         for k in range(len(self.languages)):
             logs[:, k] += np.bincount(owner, self.matrix[:, k][bucket], len(texts))
@@ -83,38 +84,45 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, data, off in R.row_slices(batches, "langid"):
-        bucket, owner, _ = features(R.texts_of(data, off))
-        names, lang = np.unique(np.array(rows.column("lang").to_pylist(), object).astype(str), return_inverse=True)
-        cell, n = np.unique(lang[owner].astype(np.int64) * BUCKETS + bucket, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(names[cell // BUCKETS].tolist(), pa.string()), pa.array(cell % BUCKETS), pa.array(n)], ["lang", "bucket", "n"])
+def _count(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, off in R.row_slices(batches, "langid"):
+            bucket, owner, _ = features(R.texts_of(data, off))
+            names, lang = np.unique(np.array(rows.column("lang").to_pylist(), object).astype(str), return_inverse=True)
+            cell, n = np.unique(lang[owner].astype(np.int64) * buckets + (bucket & (buckets - 1)), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(names[cell // buckets].tolist(), pa.string()), pa.array(cell % buckets), pa.array(n)], ["lang", "bucket", "n"])
+
+    return run
 
 
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Learn from text and non-null lang of the rows that aren't held out.
 
-    About sample_rows rows of each of the MAX_LANGUAGES most frequent labels
-    are taken, those whose hash of (doc_id, text length) is smallest; rows with
-    equal hashes come together. Every label needs one text with a letter to be
-    predicted. Without labelled rows the model predicts `und` only.
+    About sample_rows rows of each label are taken, those whose hash of (doc_id,
+    text length) is smallest; rows with equal hashes, repeated rows among them, come
+    together. A label needs one text with a letter to be predicted; null and empty texts
+    teach nothing. Without labelled rows the model predicts `und` only.
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", "text", "lang")
-    sizes = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    sizes = usable.groupBy("lang").count().orderBy("lang").limit(MATRIX_BYTES // (4 * LEAST_BUCKETS) + 1).collect()
     if not sizes:
         return Model([], np.zeros(0), np.zeros((BUCKETS, 0), np.float32))
+    buckets = BUCKETS
+    while buckets * len(sizes) * 4 > MATRIX_BYTES:
+        buckets //= 2
+    if buckets < LEAST_BUCKETS:
+        raise ValueError(f"more than {MATRIX_BYTES // (4 * LEAST_BUCKETS)} labels")
     spread = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 30))
-    chosen = F.lit(False)
-    for r in sizes:
-        chosen |= (F.col("lang") == r.lang) & (spread < int(min(1.0, sample_rows / r["count"]) * (1 << 30)))
-    cells = usable.where(chosen).mapInArrow(_count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    bounds = docs.sparkSession.createDataFrame([(r.lang, int(min(1.0, sample_rows / r["count"]) * (1 << 30))) for r in sizes], "lang string, below long")
+    chosen = usable.join(F.broadcast(bounds), "lang").where(spread < F.col("below")).select("text", "lang")
+    cells = chosen.mapInArrow(_count(buckets), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     languages = sorted({r.lang for r in sizes} & set(cells.column("lang").unique().to_pylist()))
-    counts = np.zeros((BUCKETS, len(languages)))
+    counts = np.zeros((buckets, len(languages)), np.float32)
     place = {x: k for k, x in enumerate(languages)}
     counts[cells.column("bucket").to_numpy(), [place[x] for x in cells.column("lang").to_pylist()]] = cells.column("n").to_numpy()
     total = {r.lang: r["count"] for r in sizes}
     prior = np.log(np.array([total[x] for x in languages], float) / sum(total[x] for x in languages)) if languages else np.zeros(0)
-    return Model(languages, prior, np.log((counts + 0.5) / (counts.sum(0) + 0.5 * BUCKETS)).astype(np.float32))
+    return Model(languages, prior, np.log((counts + 0.5) / (counts.sum(0, dtype=float) + 0.5 * buckets)).astype(np.float32))
 
 
 def _predict(model):
@@ -147,5 +155,9 @@ def _kept(model, least: float):
 
 
 def keep_identified(docs: DataFrame, model: Model, least_score: float = 0.4) -> DataFrame:
-    """The rows of docs, with all their columns, whose language is determined with at least least_score."""
+    """The rows of docs, with all their columns, whose language is determined with at least least_score.
+
+    Null, empty and letterless texts go, as does every row if the model knows no
+    language; repeated rows are judged alike.
+    """
     return docs.mapInArrow(_kept(docs.sparkSession.sparkContext.broadcast(model), least_score), docs.schema)

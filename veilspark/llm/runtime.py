@@ -149,9 +149,17 @@ def row_slices(batches: Iterator[pa.RecordBatch], owner: str, text: str = "text"
     trim()
 
 
+def text_of(raw: bytes) -> str:
+    """The text of UTF-8 bytes; bytes that are none (a string column may hold such) become U+FFFD."""
+    try:
+        return raw.decode("utf-8", "surrogatepass")
+    except UnicodeDecodeError:
+        return raw.decode("utf-8", "replace")
+
+
 def texts_of(data: np.ndarray, off: np.ndarray) -> list[str]:
     raw, at = data.tobytes(), off.tolist()
-    return [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(at, at[1:])]
+    return [text_of(raw[a:b]) for a, b in zip(at, at[1:])]
 
 
 def u64(x: int) -> np.uint64:
@@ -230,8 +238,8 @@ def word_runs(is_word: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def picked(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, so that other columns can't clash with an operator's own."""
-    return df.select(*[F.col(f"`{n}`") for n in names])
+    """Only the named columns, so that other columns can't clash with an operator's own; a doc_id of another integer type becomes a long."""
+    return df.select(*[F.col(f"`{n}`").cast("long").alias(n) if n == "doc_id" else F.col(f"`{n}`") for n in names])
 
 
 def with_texts(rows: pa.RecordBatch, texts: list, lengths: dict[int, int]) -> pa.RecordBatch:

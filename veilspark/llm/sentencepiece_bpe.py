@@ -24,8 +24,8 @@ from pyspark.sql import types as T
 from . import runtime as R
 
 MARK = "▁"
-#: Distinct units in each of the two generations that a worker remembers.
-MEMO_UNITS = 400_000
+#: Bytes of units and ids in each of the two generations that a worker remembers.
+MEMO_BYTES = 40 << 20
 #: Up to so many symbols the agenda is a flat list; beyond, a heap.
 FLAT_SYMBOLS = 48
 _UNIT = re.compile(f"{MARK}+[^{MARK}]*")
@@ -50,7 +50,7 @@ class Vocabulary:
         # byte values of what each id decodes to; control ids decode to nothing
         back = {i: bytes([b]) for b, i in self.bytes.items()}
         self.plain = [back.get(i, b"" if i in special else p.replace(MARK, " ").encode()) for i, p in enumerate(self.pieces)]
-        self.memo = R.Memo(lambda word: array("I", self.merge(MARK + word)).tobytes(), MEMO_UNITS, listed=True)
+        self.memo = R.Memo(lambda word: array("I", self.merge(MARK + word)).tobytes(), MEMO_BYTES, listed=True)
 
     def merge(self, unit: str) -> list[int]:
         """Ids of one unit by the agenda: the best-scored adjacent pair is joined, the leftmost of equals first."""

@@ -49,6 +49,8 @@ COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (3, 6, 7, 12,
 BLOCK_BYTES, TASK_BYTES, FOLDER_BYTES = 2 << 20, 32 << 20, 128 << 20
 #: Sampled windows, and bytes of text for each suffix bucket, from which on there are more buckets; the least number of buckets as a power of two.
 BUCKET_KEYS, BUCKET_BYTES, LEAST_BITS = 1 << 22, 4 << 20, 8
+#: Bytes of text for each partition of buckets, from which on there are more partitions than spark.sql.shuffle.partitions says.
+PART_BYTES = 64 << 20
 #: Bits beyond its share of the key space that tell a sampled window from others in its bucket; a false tie costs time only.
 SPARE_BITS = 7
 #: Bytes of an anchor.
@@ -63,6 +65,7 @@ class Plan:
     narrow: int  # bytes of a sampled window's key that are sent
     suffix_bits: int  # suffixes: likewise
     folders: int
+    parts: int  # partitions of buckets
     block_bytes: int = BLOCK_BYTES
 
     @staticmethod
@@ -73,7 +76,7 @@ class Plan:
         keys = total * len(COVERS[v]) // v
         bits = max(LEAST_BITS, (keys // BUCKET_KEYS).bit_length())
         narrow = min(8, -(-(max(1, keys >> bits).bit_length() + SPARE_BITS) // 8))
-        return Plan(length, v, bits, narrow, max(LEAST_BITS, (total // BUCKET_BYTES).bit_length()), max(1, total // FOLDER_BYTES), block_bytes)
+        return Plan(length, v, bits, narrow, max(LEAST_BITS, (total // BUCKET_BYTES).bit_length()), max(1, total // FOLDER_BYTES), max(1, total // PART_BYTES), block_bytes)
 
     @property
     def window(self) -> int:
@@ -575,7 +578,8 @@ def _rank_suffixes(plan: Plan):
 
 def _stored_ranks(sent: DataFrame, rank: Callable[[pa.Table], pa.Table], plan: Plan) -> str:
     """Answer every bucket; the folder's URI where a piece's answers are found again."""
-    ranks = sent.groupBy("bucket").applyInArrow(rank, _RANKS)
+    parts = max(int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions")), plan.parts)
+    ranks = sent.repartition(parts, "bucket").groupBy("bucket").applyInArrow(rank, _RANKS)
     path = R.shared_dir(sent.sparkSession)
     with R.tidy(sent.sparkSession):
         ranks.repartition(plan.folders, "folder").sortWithinPartitions("folder", "block").write.partitionBy("folder").option("compression", "zstd").parquet(path)
@@ -659,7 +663,7 @@ def repeats(docs: DataFrame, length: int = 50, block_bytes: int = BLOCK_BYTES) -
     whole, long ones in overlapping pieces; matches stay within a text. An empty
     table gives no rows.
     """
-    docs, *rest = _passes(R.picked(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")), length, block_bytes)
+    docs, *rest = _passes(R.picked(docs, "doc_id", "text"), length, block_bytes)
     return docs.mapInArrow(_report(*rest), REPEATS)
 
 

@@ -21,8 +21,8 @@ from pyspark.sql import types as T
 
 from . import runtime as R
 
-#: Distinct pieces in each of the two generations that a worker remembers.
-MEMO_PIECES = 500_000
+#: Bytes of pieces in each of the two generations that a worker remembers, of an entry besides its characters, and of the longest piece that is kept.
+MEMO_BYTES, ENTRY_BYTES, LONGEST = 40 << 20, 150, 4096
 #: The pre-tokenizer's pattern for byte-level vocabularies of this kind (a fixed value of the format).
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _ODD_SPACE = re.compile(r" (?=\s|$)")
@@ -57,6 +57,7 @@ class Merges:
         self.special = re.compile("|".join(special)) if special else None
         self.memo: dict[str, int] = {}
         self.old: dict[str, int] = {}
+        self.size = 0
 
     def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a * self.n + b
@@ -109,18 +110,20 @@ class Merges:
     def learn(self, pieces: set[str]) -> None:
         """Remember the counts of pieces (texts that are tokenized on their own)."""
         new = []
-        if len(self.memo) >= MEMO_PIECES:
-            self.memo, self.old = {}, self.memo
+        if self.size >= MEMO_BYTES:
+            self.memo, self.old, self.size = {}, self.memo, 0
         for x in pieces:
             if x not in self.memo:
                 if (n := self.old.get(x)) is None:
                     new.append(x)
                 else:
                     self.memo[x] = n
+                    self.size += ENTRY_BYTES + len(x)
         split = [PRE_TOKEN.findall(x) for x in new]
         distinct = list({t for x in split for t in x})
         counts = dict(zip(distinct, self.count([t.encode("utf-8", "surrogatepass") for t in distinct]).tolist())) if distinct else {}
         self.memo.update((x, sum([counts[t] for t in s])) for x, s in zip(new, split))
+        self.size += sum([ENTRY_BYTES + (len(x) if x.isascii() else 4 * len(x)) for x in new])
 
     def tokens(self, texts: list[str]) -> list[int]:
         """Tokens of whole texts; an added token's string in a text is one token, as by the library's default."""
@@ -142,7 +145,11 @@ class Merges:
             cut.append(pieces)
         self.learn(set().union(*cut))
         get = self.memo.__getitem__
-        return [sum(map(get, x)) + n for x, n in zip(cut, extra)]
+        out = [sum(map(get, x)) + n for x, n in zip(cut, extra)]
+        for x in {x for pieces in cut for x in pieces if len(x) > LONGEST}:
+            del self.memo[x]
+            self.size -= ENTRY_BYTES + (len(x) if x.isascii() else 4 * len(x))
+        return out
 
 
 _MERGES: dict[str, Merges] = {}

@@ -13,6 +13,7 @@ frames that hold the documents it wants; every frame read is checked.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -34,14 +35,14 @@ from .token_counts import byte_symbols
 
 #: Plain bytes of ids after which a frame ends, and of all frames after which a file ends (both at a document's end).
 FRAME_BYTES, FILE_BYTES = 128 << 10, 64 << 20
-#: Distinct words in each of the two generations that a worker remembers.
-MEMO_WORDS = 500_000
+#: Bytes of words and ids in each of the two generations that a worker remembers.
+MEMO_BYTES = 40 << 20
 #: Lower-case letters of Latin-1: words of these alone are one pre-token in normal form.
 PLAIN_LETTERS = "".join(chr(c) for c in [*range(0x61, 0x7B), *range(0xDF, 0x100)] if c != 0xF7)
 #: ASCII marks.
 MARKS = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum())
 _SKIPPABLE, _SEEKABLE = 0x184D2A5E, 0x8F92EAB1
-_ODD = re.compile("[\x1c-\x1f]")
+_ODD, _SPACE = re.compile("[\x1c-\x1f]"), re.compile(r"\s")
 
 
 class Writer:
@@ -129,19 +130,35 @@ class Reader:
         return np.frombuffer(self.held[1][at : at + b - a], f"<u{self.width}")
 
 
+#: What a tokenizer must do before its model for words to be encoded one by one (fixed values of the format): each step looks at single
+#: words only, and white space goes.
+BY_WORD = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
+
+
 class Encoder:
-    """The tokenizers library behind a memory of words: a tokenizer whose pre-tokenizer drops white space encodes each word by itself."""
+    """The tokenizers library behind a memory of words, where the tokenizer's file shows that it encodes each word by itself; other tokenizers get whole texts."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.by_word = (
+            all(spec[k] == v for k, v in BY_WORD.items()) and spec["truncation"] is None and spec["padding"] is None and spec["model"]["type"] == "BPE" and not spec["model"]["dropout"]
+            and all(t["content"].startswith("<|") and not _SPACE.search(t["content"]) and not (t["lstrip"] or t["rstrip"]) for t in spec["added_tokens"])
+        )
         self.model = self.lib.model
         self.width = 2 if self.lib.get_vocab_size() <= 1 << 16 else 4
         self.kind, self.code = f"<u{self.width}", "H" if self.width == 2 else "I"
         self.symbols = str.maketrans(dict(enumerate(byte_symbols())))
-        self.memo = R.Memo(self._word, MEMO_WORDS)
+        self.memo = R.Memo(self._word, MEMO_BYTES)
 
     def plain(self, text: str) -> bytes:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
@@ -163,6 +180,8 @@ class Encoder:
         return self.plain(word)
 
     def encode(self, text: str) -> bytes:
+        if not self.by_word:
+            return self.plain(text)
         if _ODD.search(text):  # white space to Python, but not to the tokenizer
             return self.plain(text)
         return b"".join(map(self.memo.__getitem__, text.split()))
@@ -223,8 +242,9 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = Non
     spark = docs.sparkSession
     folder = folder or R.shared_dir(spark)
     order = ["doc_id", "veilspark_tie"]
-    tied = R.picked(docs, "doc_id", "text").withColumn("veilspark_tie", F.xxhash64("text"))
-    ordered = tied.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
+    # repeated rows may go to several tasks: which of them comes first makes no difference
+    tied = R.picked(docs, "doc_id", "text").withColumns({"veilspark_tie": F.xxhash64("text"), "veilspark_salt": F.monotonically_increasing_id() % 64})
+    ordered = tied.repartitionByRange(*order, "veilspark_salt").sortWithinPartitions(*order).select("doc_id", "text")
     return R.cut(ordered.mapInArrow(_written(folder, tokenizer, end_id), MANIFEST))
 
 
