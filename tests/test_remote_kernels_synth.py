@@ -148,6 +148,35 @@ def test_skew_and_slant():
             word[y, int(k + 0.3 * (29 - y)) : int(k + 0.3 * (29 - y)) + 3] = 0
     assert abs(N.slant(word, (255, 255, 255)) - 0.3) <= 0.06
     assert N.slant(word[:5], (255, 255, 255)) is None
+    assert N.skew(np.full((100, 200), 255, np.uint8)) == 0.0
+
+
+@pytest.mark.parametrize("lean", [-0.1, 0.0, 0.2, 0.4])
+def test_slant_of_drawn_letters(lean):
+    """Stems, a bowl and a bar, drawn upright and then sheared."""
+    upright = np.zeros((40, 120), bool)
+    upright[:, 10:14] = upright[:, 90:93] = True  # stems
+    upright[18:22, 90:118] = True  # a bar
+    y, x = np.mgrid[:40, :120]
+    ring = np.hypot(y - 20, x - 50)
+    upright |= (ring > 14) & (ring < 18)  # a bowl
+    word = np.full((40, 160, 3), 255, np.uint8)
+    at = np.nonzero(upright)
+    word[at[0], at[1] + 20 + np.floor(lean * (39 - at[0])).astype(int)] = 0
+    assert abs(N.slant(word, (255, 255, 255)) - lean) <= 0.05
+
+
+def test_skew_of_noisy_words():
+    r = np.random.default_rng(5)
+    for degrees in (-2.4, -0.6, 0.35, 1.4):
+        gray = r.integers(225, 256, (500, 700)).astype(np.uint8)
+        for y0 in range(60, 440, 24):
+            for x0 in range(30, 640, 50):
+                x = np.arange(x0, x0 + int(r.integers(15, 45)))
+                y = np.round(y0 + np.tan(np.radians(degrees)) * (x - 350)).astype(int)
+                for d in range(int(r.integers(6, 11))):
+                    gray[y + d, x] = r.integers(0, 60)
+        assert abs(N.skew(gray) - degrees) <= 0.15
 
 
 def test_signature_zones(spark):
@@ -178,6 +207,12 @@ def test_tighten_and_ratio():
     image = np.full((40, 60, 3), 255, np.uint8)
     image[12:30, 10:14] = 0
     assert N.tightened(image, (5, 2, 55, 38), (255, 255, 255)) == (5, 12, 55, 30)
+    image[4] = 0  # a rule and a speck far from the word make no difference
+    image[36, 20] = 0
+    assert N.tightened(image, (5, 2, 55, 38), (255, 255, 255)) == (5, 12, 55, 30)
+    image[4] = image[36, 20] = 255
+    assert N.tightened(image, (5, 12, 55, 30), (255, 255, 255)) == (5, 12, 55, 30)  # nothing to gain
+    assert N.tightened(image, (20, 2, 55, 38), (255, 255, 255)) == (20, 2, 55, 38)  # no ink
     assert N.ink_ratio(image, (10, 12, 14, 30)) == 1.0 and N.ink_ratio(image, (20, 0, 30, 10)) == 0.0
 
 

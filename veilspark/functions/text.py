@@ -44,8 +44,6 @@ def unicode_pattern(pattern: str) -> str:
     return "(?U)" + pattern
 
 
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body of a value that is computed once, however often body uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)
