@@ -111,3 +111,41 @@ def test_run_and_log_summaries(spark):
     found = spark.createDataFrame([("d", "x"), ("d", "y")], "document string, name string")
     logged = spark.createDataFrame([("d", "x", "processed")], "document string, name string, status string")
     assert {(r.name, r.status) for r in E.embedded_against_log(found, logged).collect()} == {("x", "processed"), ("y", "not logged")}
+
+
+def test_visual_lines_against_a_loop(spark):
+    r = random.Random(6)
+    for n in (0, 1, 2, 30):
+        boxes = [(y, y + r.randrange(1, 15), r.randrange(200)) for y in (r.randrange(80) for _ in range(n))]
+        lines = []
+        for b in sorted(boxes, key=lambda b: (b[0] + b[1], b[2])):
+            for line in lines:
+                a = line[-1]
+                if (min(a[1], b[1]) - max(a[0], b[0])) / max(1, min(a[1] - a[0], b[1] - b[0])) >= 0.6:
+                    line.append(b)
+                    break
+            else:
+                lines.append([b])
+        df = spark.createDataFrame([(boxes,)], "b array<struct<y0:int,y1:int,x0:int>>")
+        got = df.select(L.visual_lines(F.col("b")).alias("k")).head().k
+        assert [[b.x0 for b in line] for line in got] == [sorted(b[2] for b in line) for line in lines]
+
+
+def test_run_growth_against_a_loop(spark):
+    r = random.Random(7)
+    words = [(i, x, r.randrange(0, 300), x + r.randrange(5, 40)) for i, x in ((i, r.randrange(600)) for i in range(120))]
+    words = [(i, x0, y, x1, y + r.randrange(8, 14)) for i, x0, y, x1 in words]
+    boxes = [(k, *w[1:]) for k, w in enumerate(words[::9])]
+    want = set()
+    for k, x0, y0, x1, y1 in boxes:
+        reach = max(12, 1.2 * (y1 - y0))
+        rest = [w for w in words if (min(y1, w[4]) - max(y0, w[2])) / max(1, min(y1 - y0, w[4] - w[2])) >= 0.6]
+        lo, hi, run, grown = x0, x1, [], True
+        while grown:
+            near = [w for w in rest if w[3] >= lo - reach and w[1] <= hi + reach]
+            rest, grown = [w for w in rest if w not in near], bool(near)
+            run += near
+            lo, hi = min([lo, *[w[1] for w in near]]), max([hi, *[w[3] for w in near]])
+        want |= {(k, w[0]) for w in run if not (w[3] > x0 + 2 and w[1] < x1 - 2)}
+    df = lambda rows, name: spark.createDataFrame([("f", *x) for x in rows], f"file string, {name} int, x0 int, y0 int, x1 int, y1 int")
+    assert {(x.box_id, x.word_id) for x in L.run_growth(df(boxes, "box_id"), df(words, "word_id")).collect()} == want and want

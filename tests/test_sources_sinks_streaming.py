@@ -6,6 +6,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from veilspark.operators import mapping as M
 from veilspark.sinks import sizes as S
 from veilspark.sources import files as FILES
 from veilspark.sources import tables as TABLES
@@ -58,6 +59,59 @@ def test_office_units_and_rewriting(spark, tmp_path):
         assert [t for _, _, t in FILES.xlsx_units(z)] == ["new <1>", "inline"] and 's="3"' in z.read("xl/worksheets/sheet1.xml").decode()
 
 
+def test_paragraphs_in_paragraphs_and_broken_parts():
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        inner = "<w:txbxContent><w:p><w:r><w:t>box</w:t></w:r></w:p></w:txbxContent>"
+        z.writestr("word/document.xml", f'<w:p w:rsidR="1"/><w:p><w:pPr/><w:r><w:t>before </w:t></w:r>{inner}<w:r><w:t>after</w:t></w:r></w:p><w:p w:x="1"><w:t/><w:t>last</w:t></w:p>')
+        z.writestr("word/embeddings/broken.xlsx", b"no package")
+    rows = [(r[2], r[3], r[5].split(":")[0]) for r in FILES._walk("a.docx", out.getvalue(), 0, ())]
+    assert rows == [("word/document.xml#1", "before after", "processed"), ("word/document.xml#2", "box", "processed"), ("word/document.xml#3", "last", "processed"), (None, None, "error")]
+    new = FILES.rewritten(out.getvalue(), "a.docx", {"word/document.xml#1": "new", "word/document.xml#3": "<end>"})
+    with zipfile.ZipFile(io.BytesIO(new)) as z:
+        assert [t for _, _, t in FILES.docx_units(z)] == ["new", "box", "<end>"]
+
+
+def test_zones_and_scanned_documents(spark):
+    data = docx([("An", "ne"), ("Be", "a")], embedded=xlsx())
+    units = FILES.text_units(spark.createDataFrame([("a.docx", data), ("b.xlsx", xlsx()), ("c.pdf", b"x")], "path string, content binary"))
+    assert {(r.path, r.zone): (r.n, r.texts) for r in FILES.zones(units).collect() if r.path == "a.docx"} == {("a.docx", "body"): (2, ["Anne", "Bea"]), ("a.docx", "header"): (1, ["Head Weber"])}
+    got = {r.document: r for r in FILES.scanned(units).collect()}
+    assert got["a.docx"].locs == {"paragraph:0": "Anne", "paragraph:1": "Bea"} and got["a.docx"].text == "Anne\nBea\nHead Weber" and got["a.docx"].embedded_text == "shared & one\ninline"
+    assert got["b.xlsx"].locs == {"sheet1!A1": "shared & one", "sheet1!B1": "inline"} and "c.pdf" not in got
+
+
+def test_settled_size():
+    raw = docx([("x", "")])
+    grown = lambda more: (lambda data: len(data) + more)
+    data, stored, ok = S.settled(raw, "a.docx", len(raw) + 500, grown(100))
+    assert ok and stored == len(raw) + 500 and len(data) == len(raw) + 400
+    assert S.settled(raw, "a.docx", len(raw) + 500, lambda data: None)[1:] == (None, False)
+    sizes = []
+    S.settled(raw, "a.docx", len(raw) + 900, lambda data: sizes.append(len(data)) or len(data) + 100 * len(sizes))
+    assert len(sizes) <= 1 + S.TRIES  # a store that adds more each time doesn't hold the run
+
+
+def test_generated_pairs_are_kept(spark, tmp_path):
+    pairs = lambda *rows: spark.createDataFrame(rows, "original_value string, replacement_value string")
+    path = f"{tmp_path}/generated"
+    for batch, rows in ((1, [("a", "X"), ("b", "Y")]), (2, [("a", "Z"), ("c", "W")]), (2, [("a", "Z"), ("c", "W")])):
+        S.append_generated(pairs(*rows), path, batch)
+    table = S.generated_table(spark, path)
+    assert {(r.original_value, r.replacement_value) for r in table.collect()} == {("a", "X"), ("b", "Y"), ("c", "W")}
+    both = M.with_generated(spark.createDataFrame([("T", "a", "Q")], "data_type string, original_value string, replacement_value string"), table)
+    assert [r.json for r in S.mapping_page(both).collect()][-1] == '{"data_type":"T","original_value":"a","replacement_value":"Q","origin":"table"}' and both.count() == 3
+
+
+def test_worker_counters(spark):
+    def handle(path, content):
+        return 1 // len(content) and "done"
+
+    done = T.worked(spark.createDataFrame([("a", b"x"), ("b", b""), ("c", b"y")], "path string, content binary"), handle)
+    assert tuple(T.counters(done).head()) == (2, 1, "ZeroDivisionError: integer division or modulo by zero")
+    assert tuple(T.counters(done.limit(0)).head()) == (0, 0, None)
+
+
 def test_embedded_loops_end():
     data = docx([("x", "")])
     for _ in range(5):
@@ -135,9 +189,23 @@ def test_poll_baseline_and_new_jobs(spark, tmp_path):
     row = lambda i, ids='["9"]', s=3: (ids, s, "Post-Processing Complete", i, "s", "n", "t")
     listing = lambda *rows: spark.createDataFrame(list(rows), "instance_ids string, last_job_status int, last_job_sub_state string, last_job_id string, scan_id string, scan_name string, last_job_scan_time string")
     seen = f"{tmp_path}/seen"
-    assert T.poll(spark, listing(row("1")), "9", seen).count() == 0
-    assert [r.job_id for r in T.poll(spark, listing(row("1"), row("2"), row("2"), row("3", '["8"]'), row("4", s=1)), "9", seen).collect()] == ["2"]
-    assert T.poll(spark, listing(row("1"), row("2")), "9", seen).count() == 0
+    started = []
+
+    def polled(*rows, take=lambda jobs: started.append([(r.kind, r.job_id) for r in jobs.collect()])):
+        started.clear()
+        T.poll(spark, listing(*rows), "9", seen, take)
+        return sum(started, [])
+
+    assert polled(row("1")) == []
+    now = row("1"), row("2"), row("2"), row("3", '["8"]'), row("4", s=1)
+
+    def fails(jobs):
+        raise OSError("queue is full")
+
+    with pytest.raises(OSError):
+        polled(*now, take=fails)
+    assert polled(*now) == [("all", "2")]  # a failed hand-over is made up for
+    assert polled(row("1"), row("2")) == []
 
 
 def test_stream_of_scans_has_each_job_once(spark, tmp_path):

@@ -37,10 +37,6 @@ def _loose(lines: DataFrame, pattern: str) -> DataFrame:
     return lines.select("file", "line", F.explode(detect.matches(F.col("text"), pattern)).alias("m")).select("file", "line", "m.s", "m.e", "m.value")
 
 
-LOOSE_IBAN = r"\b[A-Z]{2}[0-9OoQDIlSZB]{2}(?:[ ]?[A-Z0-9]{2,4}){3,8}\b"
-LOOSE_AHV = r"\b756[.,]\s?(?:\d\s?){4}[.,]\s?(?:\d\s?){4}[.,]\s?\d{2}\b"
-
-
 def candidates(words: DataFrame, table: DataFrame, key: bytes, order: str = "line_no") -> DataFrame:
     """Spans to replace in words (file, line, x, y, w, h, conf, text) as boxes with their method.
 
@@ -48,7 +44,7 @@ def candidates(words: DataFrame, table: DataFrame, key: bytes, order: str = "lin
     entry within two edits if it is the only one, else generated: never left clear); AHV
     shapes with stray spaces likewise; unsure words close to a name of the table. A later
     stage's span that overlaps an earlier one on its line is dropped. An IBAN shape is taken with the
-    following token too where that brings it nearer to a table entry.
+    one or two tokens after it too where that brings it nearer to a table entry.
     """
     words = layout.word_offsets(words)
     lines = layout.line_texts(words)
@@ -58,10 +54,8 @@ def candidates(words: DataFrame, table: DataFrame, key: bytes, order: str = "lin
     normalized = _as_written(_masked_spans(fixed, table, key, order), lines).withColumn("method", F.lit("ocr_normalized"))
     found = raw.unionByName(layout.uncovered(normalized, raw).select(*raw.columns))
 
-    ibans = _loose(fixed, LOOSE_IBAN).where(F.size(layout.loose_ibans(F.col("value"))) > 0).join(fixed.select("file", "line", "text"), ["file", "line"])
-    tail = F.regexp_extract(F.substr("text", F.col("e") + 1), r"^ ?[A-Z0-9]{1,4}", 0)
-    longer = F.filter(F.array(tail), lambda t: t != "")
-    ibans = ibans.withColumn("more", F.explode(F.concat(F.array(F.lit("")), longer))).withColumns({"e": (F.col("e") + F.length("more")).cast("int"), "value": F.concat("value", "more")})
+    ibans = _loose(fixed, layout.LOOSE_IBAN).where(F.size(layout.loose_ibans(F.col("value"))) > 0).join(fixed.select("file", "line", "text"), ["file", "line"])
+    ibans = ibans.withColumn("more", F.explode(layout.with_tails(F.substr("text", F.col("e") + 1)))).withColumns({"e": (F.col("e") + F.length("more")).cast("int"), "value": F.concat("value", "more")})
     ibans = ibans.withColumn("canon", F.upper(X.norm(F.col("value"))))
     near = _unique_best(ibans, exact.where("data_type = 'IBAN'"), F.upper(X.norm(F.col("original_value"))), 2)
     nearest = F.min_by(F.struct("e", "value", "canon", "near", "distance"), F.struct(F.coalesce("distance", F.lit(99)), F.length("more")))
@@ -71,7 +65,7 @@ def candidates(words: DataFrame, table: DataFrame, key: bytes, order: str = "lin
     found = found.unionByName(_as_written(layout.uncovered(iban.select(*COLUMNS), found), lines).select(*COLUMNS))
 
     digits = F.regexp_replace("value", "[^0-9]", "")
-    ahvs = _loose(fixed, LOOSE_AHV).withColumn("canon", digits)
+    ahvs = _loose(fixed, layout.LOOSE_AHV).withColumn("canon", digits)
     near = _unique_best(ahvs, exact.where("data_type = 'AHV_NUMBER'"), F.regexp_replace("original_value", "[^0-9]", ""), 2)
     form = F.regexp_replace("canon", r"^(...)(....)(....)(..)$", "$1.$2.$3.$4")
     ahv = near.withColumn("replacement", F.coalesce("near", generate("AHV_NUMBER", form, key))).withColumn("dtype", F.lit("AHV_NUMBER"))
@@ -93,6 +87,12 @@ def candidates(words: DataFrame, table: DataFrame, key: bytes, order: str = "lin
     return boxes.select("file", "line", "x0", "y0", "x1", "y1", "conf", "span_id.*").withColumn("rank", rank)
 
 
+def safety_net(found: DataFrame, matched: DataFrame) -> DataFrame:
+    """Values of a page's whole text (page, s, value, dtype, replacement) that no line of it matched (page, value): to be searched for again, each with its first type and replacement."""
+    first = found.groupBy("page", "value").agg(F.min_by(F.struct("dtype", "replacement"), F.struct("s", "dtype")).alias("r")).select("page", "value", "r.*")
+    return first.join(matched.select("page", "value").distinct(), ["page", "value"], "left_anti")
+
+
 def leak_suspects(found: DataFrame, replacements: DataFrame) -> DataFrame:
     """Candidates (.., value) read from masked output that are no known replacement (replacement).
 

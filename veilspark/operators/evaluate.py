@@ -173,6 +173,19 @@ def integrity(inbound: DataFrame, outputs: DataFrame) -> DataFrame:
     return outputs.join(a, "document", "left").select("document", F.col("stats").alias("output"), "inbound", ratio.alias("text_length_ratio"), equal.alias("pages_equal"))
 
 
+def dropped_members(before: DataFrame, after: DataFrame, folder: str = "word/embeddings/") -> DataFrame:
+    """Embedded objects of packages (file, name) that the rewritten package lacks, as entries of the run's log."""
+    gone = before.where(F.startswith("name", F.lit(folder))).select("file", "name").join(after.select("file", "name").distinct(), ["file", "name"], "left_anti")
+    return gone.select("file", "name", F.lit("dropped").alias("status"))
+
+
+def zones_kept(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Per file and zone (body, header, footer, table, ...) of text units (file, zone, text): how many stood before and stand after, and whether the zone survived."""
+    a, b = (df.groupBy("file", "zone").agg(F.count("*").alias(n)) for df, n in ((before, "n_before"), (after, "n_after")))
+    both = a.join(b, ["file", "zone"], "full").select("file", "zone", F.coalesce("n_before", F.lit(0)).alias("n_before"), F.coalesce("n_after", F.lit(0)).alias("n_after"))
+    return both.withColumn("survived", (F.col("n_before") == 0) | (F.col("n_after") > 0))
+
+
 def size_delta(before: DataFrame, after: DataFrame) -> DataFrame:
     """Per path in both listings (path, length): bytes before, after and the difference in thousandths of the input, toward zero."""
     a, b = before.select("path", F.col("length").alias("bytes_in")), after.select("path", F.col("length").alias("bytes_out"))

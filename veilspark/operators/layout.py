@@ -154,11 +154,90 @@ def near_labels(boxes: DataFrame, labels: DataFrame, reach: int = 250) -> DataFr
 def trusted_words(words: DataFrame, sure: float = 75, least: float = 30, cap: int = 1) -> DataFrame:
     """Words (file, pass, word_id, x0..y1, conf, text) of two characters and more that are surely read, or that another pass reads alike: more than half of the box, edit distance at most cap."""
     usable = words.where((F.col("conf") >= least) & (F.length("text") >= 2)).withColumn("folded", X.casefold(X.norm(F.col("text"))))
-    a, b = usable.where(F.col("conf") < sure).alias("a"), usable.alias("b")
+    sides = (F.col("x0"), F.col("x1")), (F.col("y0"), F.col("y1"))
+    a, b = _in_cells(usable.where(F.col("conf") < sure), *sides, CELL).alias("a"), _in_cells(usable, *sides, CELL).alias("b")
+    meet = (F.col("a.file") == F.col("b.file")) & (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy")) & (F.col("a.pass") != F.col("b.pass"))
     alike = X.distance(F.col("a.folded"), F.col("b.folded"), cap) <= cap
     most = overlap_area("a", "b") > 0.5 * (F.col("a.x1") - F.col("a.x0")) * (F.col("a.y1") - F.col("a.y0"))
-    stable = a.join(b, (F.col("a.file") == F.col("b.file")) & (F.col("a.pass") != F.col("b.pass")) & most & alike, "left_semi")
-    return usable.where(F.col("conf") >= sure).unionByName(stable).drop("folded")
+    key = ["file", "pass", "word_id"]
+    stable = a.join(b, meet & most & alike, "left_semi").select(*key).distinct()
+    return usable.where(F.col("conf") >= sure).unionByName(usable.where(F.col("conf") < sure).join(stable, key, "left_semi")).drop("folded")
+
+
+def ocr_union(words: DataFrame) -> DataFrame:
+    """Words of several recognition passes (file, scale, psm, block, par, line, word, seq, left, top, width, height, conf, text) in the original's pixels.
+
+    Of a pass's repeated words the first by seq stays; corners round down and sizes up,
+    so that a scaled-back box still covers its ink. `pass` and `line_id` tell passes and their lines apart.
+    """
+    key = ["file", "scale", "psm", "block", "par", "line", "word"]
+    one = words.groupBy(*key).agg(F.min_by(F.struct("left", "top", "width", "height", "conf", "text"), "seq").alias("r")).select(*key, "r.*")
+    down, up = lambda c: F.floor(F.col(c) / F.col("scale")).cast("int"), lambda c: F.ceil(F.col(c) / F.col("scale")).cast("int")
+    return one.select(
+        "file", F.concat_ws("/", "scale", "psm").alias("pass"), F.concat_ws("/", "scale", "psm", "block", "par", "line").alias("line_id"), "word",
+        down("left").alias("x"), down("top").alias("y"), up("width").alias("w"), up("height").alias("h"), F.coalesce("conf", F.lit(0.0)).alias("conf"), F.trim("text").alias("text"),
+    )
+
+
+def run_growth(boxes: DataFrame, words: DataFrame, gap: float = 1.2, least: float = 12, overlap: float = 0.6) -> DataFrame:
+    """(file, box_id, word_id) of the words of a box's run: of its visual line, and linked to it by gaps of at most `gap` times its height.
+
+    boxes: file, box_id, x0..y1; words: file, word_id, x0..y1, surely read ones. A run grows over
+    words that it reaches, which is a merge of intervals: words and box in order of their left ends, cut
+    where a gap is too wide. Words that lie in the box itself are not part of the run.
+    """
+    a, b = boxes.alias("a"), words.alias("b")
+    height = F.least(F.col("a.y1") - F.col("a.y0"), F.col("b.y1") - F.col("b.y0"))
+    shared = F.least("a.y1", "b.y1") - F.greatest("a.y0", "b.y0")
+    same = (F.col("a.file") == F.col("b.file")) & (shared / F.greatest(F.lit(1), height) >= overlap)
+    cells = _in_cells(a, (F.col("y0"), F.col("y0")), (F.col("y0"), F.col("y1")), CELL).drop("cx").alias("a"), _in_cells(b, (F.col("y0"), F.col("y0")), (F.col("y0"), F.col("y1")), CELL).drop("cx").alias("b")
+    once = (F.col("a.cy") == F.col("b.cy")) & (F.floor(F.greatest("a.y0", "b.y0") / CELL) == F.col("a.cy"))
+    lined = cells[0].join(cells[1], same & once).select("a.file", "a.box_id", "b.word_id", F.col("b.x0").alias("x0"), F.col("b.x1").alias("x1"), F.col("a.x0").alias("bx0"), F.col("a.x1").alias("bx1"), F.greatest(F.lit(least), F.lit(gap) * (F.col("a.y1") - F.col("a.y0"))).alias("reach"))
+    own = lined.select("file", "box_id", F.lit(None).cast(dict(words.dtypes)["word_id"]).alias("word_id"), F.col("bx0").alias("x0"), F.col("bx1").alias("x1"), "bx0", "bx1", "reach").distinct()
+    w = W.partitionBy("file", "box_id").orderBy("x0", "x1", F.col("word_id").asc_nulls_first())
+    far = F.coalesce((F.col("x0") - F.max("x1").over(w.rowsBetween(W.unboundedPreceding, -1)) > F.col("reach")).cast("int"), F.lit(0))
+    parted = lined.unionByName(own).withColumn("far", far).withColumn("part", F.sum("far").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    home = F.max(F.when(F.col("word_id").isNull(), F.col("part"))).over(W.partitionBy("file", "box_id"))
+    inside = (F.col("x1") > F.col("bx0") + 2) & (F.col("x0") < F.col("bx1") - 2)
+    return parted.withColumn("home", home).where((F.col("part") == F.col("home")) & F.col("word_id").isNotNull() & ~inside).select("file", "box_id", "word_id")
+
+
+def visual_lines(boxes: Column, overlap: float = 0.6) -> Column:
+    """An array of boxes struct(y0, y1, x0, ...) of one page as an array of lines, each from left to right.
+
+    Boxes come by the height of their middle, then from left to right; each joins the
+    first line whose latest box it overlaps vertically by `overlap` of the smaller height, else starts one.
+    """
+    by = F.array_sort(boxes, lambda a, b: F.when(a["y0"] + a["y1"] < b["y0"] + b["y1"], -1).when(a["y0"] + a["y1"] > b["y0"] + b["y1"], 1).when(a["x0"] < b["x0"], -1).when(a["x0"] > b["x0"], 1).otherwise(0))
+
+    def level(a: Column, b: Column) -> Column:
+        smaller = F.greatest(F.lit(1), F.least(a["y1"] - a["y0"], b["y1"] - b["y0"]))
+        return (F.least(a["y1"], b["y1"]) - F.greatest(a["y0"], b["y0"])) / smaller >= overlap
+
+    def step(lines: Column, box: Column) -> Column:
+        fits = F.transform(lines, lambda line: level(F.element_at(line, -1), box))
+        at = F.array_position(fits, True)
+        joined = F.transform(lines, lambda line, i: F.when(i + 1 == at, F.concat(line, F.array(box))).otherwise(line))
+        return F.when(at > 0, joined).otherwise(F.concat(lines, F.array(F.array(box))))
+
+    lines = F.aggregate(by, F.slice(F.array(by), 1, 0), step)
+    return F.transform(lines, lambda line: F.array_sort(line, lambda a, b: F.when(a["x0"] < b["x0"], -1).when(a["x0"] > b["x0"], 1).otherwise(0)))
+
+
+def linked_chains(items: DataFrame, words: DataFrame, gap: float = 0.8, least: float = 10, overlap: float = 0.6) -> DataFrame:
+    """items (file, line, item_id, x0..y1) with the chain they are laid out in: an item joins the one left of it if the gap is no
+    more than `gap` times its own height and no surely read word (file, x0..y1) of their line stands between them."""
+    w = W.partitionBy("file", "line").orderBy("x0", "item_id")
+    placed = items.withColumn("left", F.lag("x1").over(w))
+    a, b = placed.where("left IS NOT NULL").alias("a"), words.alias("b")
+    height = F.greatest(F.lit(1), F.least(F.col("a.y1") - F.col("a.y0"), F.col("b.y1") - F.col("b.y0")))
+    level = (F.least("a.y1", "b.y1") - F.greatest("a.y0", "b.y0")) / height >= overlap
+    between = (F.col("a.file") == F.col("b.file")) & (F.col("b.x0") >= F.col("a.left") - 2) & (F.col("b.x1") <= F.col("a.x0") + 2) & level
+    parted = a.join(b, between, "left_semi").select("file", "line", "item_id", F.lit(True).alias("parted"))
+    joined = placed.join(parted, ["file", "line", "item_id"], "left")
+    away = F.col("x0") - F.col("left")
+    new = F.coalesce(F.col("parted") | (away < 0) | (away > F.greatest(F.lit(least), F.lit(gap) * (F.col("y1") - F.col("y0")))), F.lit(False)).cast("int")
+    return joined.withColumn("new", new).withColumn("chain", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0))).select(*items.columns, "chain")
 
 
 def deletions(s: Column, cap: int) -> Column:
@@ -185,19 +264,33 @@ def fuzzy_best(values: DataFrame, table: DataFrame, cap: int) -> DataFrame:
     return best.select("value", "key", "replacement", "distance")
 
 
+#: Shapes of misread IBANs and AHV numbers, the countries of the former, and what may follow one (fixed values).
+LOOSE_IBAN = r"\b[A-Z]{2}[0-9OoQDIlSZB]{2}(?:[ ]?[A-Z0-9]{2,4}){3,8}\b"
+LOOSE_AHV = r"\b756[.,]\s?(?:\d\s?){4}[.,]\s?(?:\d\s?){4}[.,]\s?\d{2}\b"
+IBAN_COUNTRIES = ("CH", "LI", "DE", "AT", "FR", "IT", "ES", "PT", "NL", "BE", "LU", "GB", "IE", "DK", "SE", "NO", "FI", "PL", "CZ", "MC")
+TAIL = r"^ ?[A-Z0-9]{1,4}"
+
+
 def loose_ibans(line: Column) -> Column:
     """IBAN-shaped runs of a line of recognised text whose country is known and whose account is mostly digits."""
-    shaped = F.regexp_extract_all(line, F.lit(X.unicode_pattern(r"(\b[A-Z]{2}[0-9OoQDIlSZB]{2}(?:[ ]?[A-Z0-9]{2,4}){3,8}\b)")), 1)
-    countries = ("CH", "LI", "DE", "AT", "FR", "IT", "ES", "PT", "NL", "BE", "LU", "GB", "IE", "DK", "SE", "NO", "FI", "PL", "CZ", "MC")
 
     def plausible(v: Column) -> Column:
         body = F.substr(X.norm(v), F.lit(5))
-        return F.substr(v, F.lit(1), F.lit(2)).isin(*countries) & (F.length(F.regexp_replace(body, "[^0-9]", "")) >= 0.6 * F.length(body))
+        return F.substr(v, F.lit(1), F.lit(2)).isin(*IBAN_COUNTRIES) & (F.length(F.regexp_replace(body, "[^0-9]", "")) >= 0.6 * F.length(body))
+
+    return F.filter(F.regexp_extract_all(line, F.lit(X.unicode_pattern(f"({LOOSE_IBAN})")), 1), plausible)
+
 
-    return F.filter(shaped, plausible)
+def with_tails(rest: Column) -> Column:
+    """What an IBAN-shaped run may be longer by, from what follows it: nothing, the next token, or the next two; a token that is joined on without a space is the last."""
+    first = F.regexp_extract(rest, TAIL, 0)
+    second = F.regexp_extract(F.substr(rest, F.length(first) + 1), TAIL, 0)
+    both = F.startswith(first, F.lit(" ")) & (second != "")
+    tails = F.array(F.lit(""), F.when(first != "", first), F.when(both, F.concat(first, second)))
+    return F.filter(tails, lambda t: t.isNotNull())
 
 
 def loose_ahv(line: Column) -> Column:
     """AHV-shaped runs with stray spaces or commas, in canonical form."""
-    shaped = F.regexp_extract_all(line, F.lit(X.unicode_pattern(r"(\b756[.,]\s?(?:\d\s?){4}[.,]\s?(?:\d\s?){4}[.,]\s?\d{2}\b)")), 1)
+    shaped = F.regexp_extract_all(line, F.lit(X.unicode_pattern(f"({LOOSE_AHV})")), 1)
     return F.transform(shaped, lambda v: F.regexp_replace(F.regexp_replace(v, "[^0-9]", ""), r"^(...)(....)(....)(..)$", "$1.$2.$3.$4"))

@@ -66,6 +66,11 @@ def dictionary_keys(*tables: DataFrame) -> DataFrame:
     return out.where(F.length("key") >= 3).distinct()
 
 
+def first_value_wins(rows: DataFrame, order: str) -> DataFrame:
+    """Of rows (entity_id, data_type, value, replacement, ...) the first by `order` for each entity and type."""
+    return rows.groupBy("entity_id", "data_type").agg(F.min_by(F.struct("value", "replacement"), order).alias("r")).select("entity_id", "data_type", "r.*")
+
+
 def long_mapping(entities: DataFrame, fields: dict[str, tuple[str, str]]) -> DataFrame:
     """Unpivot wide entities (entity_id, role, ...) to (entity_id, role, field, original, replacement); fields: name to (column, replacement column)."""
     rows = F.array(*[F.struct(F.lit(f).alias("field"), F.col(a).cast("string").alias("original"), F.col(b).cast("string").alias("replacement")) for f, (a, b) in fields.items()])

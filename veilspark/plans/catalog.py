@@ -629,3 +629,6 @@ def q_inbound_rel(spark, d):
     path = F.when(k == 0, "/sites/x/Inbound/a/Inbound/b.pdf").when(k == 1, "Inbound/c.pdf").otherwise("elsewhere/d.pdf")
     name = F.when(k == 0, "a/x.PDF").when(k == 1, "a.b/x.Jpeg").otherwise("a.pdf/x.txt")
     return table(spark, d, "pages").select("page_id", X.inbound_rel(path).alias("rel"), X.route(name).alias("handler"))
+
+
+from . import survey_queries  # noqa: E402, F401  (registers its queries here)

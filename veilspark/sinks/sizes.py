@@ -6,10 +6,10 @@ import io
 import struct
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _COM = 65_533  # most payload bytes of a JPEG comment
@@ -94,6 +94,29 @@ def next_target(size_in: int, size_stored: int) -> int:
     return size_in - (size_stored - size_in)
 
 
+#: Attempts to reach a size in a store that changes files.
+TRIES = 3
+
+
+def settled(raw: bytes, path: str, size_in: int, store: Callable[[bytes], int | None], tries: int = TRIES) -> tuple[bytes, int | None, bool]:
+    """Write raw, padded to size_in, so that the *stored* file has that size: (what was written last, its stored size, whether it fits).
+
+    store writes a file and returns its size as stored, null if unknown. A store only ever adds bytes, so a
+    stored size above size_in lowers the next target by the difference; an unknown or smaller one ends the attempts.
+    """
+    data, _ = match_size(raw, path, size_in)
+    stored = store(data)
+    for _ in range(tries):
+        if stored is None or stored <= size_in:
+            break
+        again, ok = match_size(raw, path, next_target(size_in, stored))
+        if not ok or again == data:
+            break
+        data = again
+        stored = store(data)
+    return data, stored, stored == size_in
+
+
 def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = [match_size(c, p, n) for c, p, n in zip(*[b.column(x).to_pylist() for x in ("content", "path", "length_in")])]
@@ -107,6 +130,22 @@ def matched_files(outputs: DataFrame, inputs: DataFrame) -> DataFrame:
     return joined.mapInArrow(_matched, "path string, content binary, length_in long, length_before long, length_out long, matched boolean")
 
 
+def append_generated(pairs: DataFrame, path: str, batch: int) -> None:
+    """Add generated pairs (original_value, replacement_value) of one batch to the table at path; a batch that is written again replaces itself."""
+    rows = pairs.select("original_value", "replacement_value").distinct().withColumn("batch", F.lit(batch).cast("long"))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+
+def generated_table(spark: SparkSession, path: str) -> DataFrame:
+    """The pairs of all batches at path; of one value the first batch's stays, so that a pseudonym never changes."""
+    rows = spark.read.schema("original_value string, replacement_value string, batch long").parquet(path)
+    return rows.groupBy("original_value").agg(F.min_by("replacement_value", F.struct("batch", "replacement_value")).alias("replacement_value"))
+
+
+def mapping_page(table: DataFrame) -> DataFrame:
+    """The rows of a mapping with its origins (with_generated()) as JSON lines in order of their values."""
+    return table.orderBy("origin", "data_type", "original_value").select(F.to_json(F.struct("data_type", "original_value", "replacement_value", "origin")).alias("json"))
+
+
 def write_report(files: DataFrame, path: str) -> None:
     """The run's report: one JSON line a file."""
     files.write.mode("overwrite").json(path)

@@ -11,10 +11,11 @@ import html
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -37,8 +38,7 @@ def listing(spark: SparkSession, folder: str, only: str | None = None, content:
     return files.select("path", "length", *["content"] * content, X.route(F.col("path")).alias("handler"))
 
 
-_PARAGRAPH = re.compile(r"<w:p[ >].*?</w:p>", re.S)
-_TEXT = re.compile(r"<w:t(?: [^>]*)?>(.*?)</w:t>|<w:t(?: [^>]*)?/>", re.S)
+_DOCX_TAGS = re.compile(r"</w:p>|<w:p(?: [^>]*?)?(?P<empty>/?)>|<w:t(?: [^>]*?)?(?:/>|>(?P<text>.*?)</w:t>)", re.S)
 _CELL = re.compile(r"<c( [^>]*?)(?:/>|>(.*?)</c>)", re.S)
 _DOCX_PARTS = re.compile(r"word/(document|header\d*|footer\d*)\.xml$")
 _SHEET = re.compile(r"xl/worksheets/(sheet\d+)\.xml$")
@@ -56,14 +56,31 @@ def _shared_strings(z: zipfile.ZipFile) -> list[str]:
     return [html.unescape("".join(re.findall(r"<t(?: [^>]*)?>(.*?)</t>", si, re.S))) for si in re.findall(r"<si(?: [^>]*)?>(.*?)</si>", xml, re.S)]
 
 
+def _docx_texts(xml: str) -> Iterator[tuple[int, re.Match]]:
+    """(paragraph, text element) in order; a text belongs to the innermost paragraph around it, paragraphs count by where they open."""
+    opened, n = [], 0
+    for m in _DOCX_TAGS.finditer(xml):
+        if m[0] == "</w:p>":
+            if opened:
+                opened.pop()
+        elif m[0].startswith("<w:t"):
+            yield (opened[-1] if opened else -1), m
+        else:
+            if not m["empty"]:
+                opened.append(n)
+            n += 1
+
+
 def docx_units(z: zipfile.ZipFile) -> Iterator[tuple[str, str, str]]:
     """(zone, unit, text) of paragraphs with text in the body, headers and footers."""
     for name in sorted(n for n in z.namelist() if _DOCX_PARTS.match(n)):
         zone = re.sub(r"\d+$", "", _DOCX_PARTS.match(name)[1]).replace("document", "body")
-        for k, p in enumerate(_PARAGRAPH.finditer(z.read(name).decode("utf-8"))):
-            text = html.unescape("".join(t or "" for t in _TEXT.findall(p[0])))
-            if text:
-                yield zone, f"{name}#{k}", text
+        texts: dict[int, str] = {}
+        for k, m in _docx_texts(z.read(name).decode("utf-8")):
+            texts[k] = texts.get(k, "") + html.unescape(m["text"] or "")
+        for k in sorted(texts):
+            if texts[k]:
+                yield zone, f"{name}#{k}", texts[k]
 
 
 def xlsx_units(z: zipfile.ZipFile) -> Iterator[tuple[str, str, str]]:
@@ -121,6 +138,9 @@ def rtf_text(data: bytes) -> str:
     return "".join(out)
 
 
+_BROKEN = (zipfile.BadZipFile, KeyError, ValueError, IndexError, NotImplementedError, zlib.error)
+
+
 def _walk(path: str, data: bytes, depth: int, ancestors: tuple[str, ...]) -> Iterator[tuple]:
     """(path, zone, unit, text, depth, status) of a file and the office files in it."""
     ext = "." + path.rsplit(".", 1)[-1].lower()
@@ -138,7 +158,10 @@ def _walk(path: str, data: bytes, depth: int, ancestors: tuple[str, ...]) -> Ite
         for zone, unit, text in (docx_units if ext == ".docx" else xlsx_units)(z):
             yield path, zone, unit, text, depth, "processed"
         for name in sorted(n for n in z.namelist() if "/embeddings/" in n):
-            yield from _walk(f"{path}!{name}", z.read(name), depth + 1, (*ancestors, mark))
+            try:
+                yield from list(_walk(f"{path}!{name}", z.read(name), depth + 1, (*ancestors, mark)))
+            except _BROKEN as e:  # what the file around it says is kept
+                yield f"{path}!{name}", None, None, None, depth + 1, f"error: {e}"
 
 
 UNITS = "path string, zone string, unit string, text string, depth int, status string"
@@ -150,7 +173,7 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
             try:
                 rows += list(_walk(path, content, 0, ()))
-            except (zipfile.BadZipFile, KeyError, ValueError, IndexError) as e:
+            except _BROKEN as e:
                 rows.append((path, None, None, None, 0, f"error: {e}"))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(),) * 4 + (pa.int32(), pa.string()))], ["path", "zone", "unit", "text", "depth", "status"])
@@ -161,6 +184,31 @@ def text_units(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(_units, UNITS)
 
 
+def zones(units: DataFrame) -> DataFrame:
+    """Per file and zone of text_units(): how many units, and their texts in order of their places."""
+    return units.where("status = 'processed'").groupBy("path", "zone").agg(F.count("*").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct(_place(), "unit", "text"))), lambda u: u["text"]).alias("texts"))
+
+
+def _place() -> Column:
+    """A unit's number in its part; cells keep their name."""
+    return F.coalesce(F.try_to_number(F.element_at(F.split("unit", "#"), -1), F.lit("999999999")).cast("long"), F.lit(0)).alias("place")
+
+
+def scanned(units: DataFrame) -> DataFrame:
+    """text_units() as the evaluation reads documents: document, text, locs (paragraph:N and sheet!cell to text), embedded_text.
+
+    Paragraphs of the body count from 0 by their place. Columns that need a page or image reader are null.
+    """
+    own = F.col("depth") == 0
+    last, part = F.element_at(F.split("unit", "#"), -1), F.element_at(F.split("unit", "#"), 1)
+    loc = F.when(part == "word/document.xml", F.concat(F.lit("paragraph:"), last)).when(F.startswith(part, F.lit("xl/worksheets/")), F.concat("zone", F.lit("!"), last))
+    rows = units.where("status = 'processed'").select(F.element_at(F.split("path", "!"), 1).alias("document"), own.alias("own"), loc.alias("loc"), F.struct("path", "zone", _place(), "unit", "text").alias("u"))
+    joined = lambda which: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(which, F.col("u")))), lambda u: u["text"]), "\n")
+    found = F.map_from_entries(F.array_distinct(F.collect_list(F.when(F.col("own") & F.col("loc").isNotNull(), F.struct("loc", "u.text")))))
+    out = rows.groupBy("document").agg(joined(F.col("own")).alias("text"), found.alias("locs"), joined(~F.col("own")).alias("embedded_text"))
+    return out.withColumns({"pages": F.lit(None).cast("array<string>"), "image_text": F.lit(None).cast("string"), "page_ocr": F.lit(None).cast("map<int,string>")})
+
+
 def rewritten(content: bytes, path: str, texts: dict[str, str]) -> bytes:
     """An office package with the texts of the given units replaced. The first run of a paragraph takes the text, the others are emptied; a cell becomes an inline string."""
     ext, out = "." + path.rsplit(".", 1)[-1].lower(), io.BytesIO()
@@ -169,14 +217,15 @@ def rewritten(content: bytes, path: str, texts: dict[str, str]) -> bytes:
         part, _, place = unit.partition("#")
         by_part.setdefault(part, {})[place] = html.escape(text, quote=False)
 
-    def paragraph(p: str, new: str) -> str:
-        state = {"first": True}
-
-        def run(_: re.Match) -> str:
-            text, state["first"] = (new if state["first"] else ""), False
-            return f'<w:t xml:space="preserve">{text}</w:t>'
-
-        return _TEXT.sub(run, p)
+    def paragraphs(xml: str, new: dict[str, str]) -> str:
+        out, at, begun = [], 0, set()
+        for k, m in _docx_texts(xml):
+            if str(k) in new:
+                text = "" if k in begun else new[str(k)]
+                begun.add(k)
+                out += [xml[at : m.start()], f'<w:t xml:space="preserve">{text}</w:t>']
+                at = m.end()
+        return "".join([*out, xml[at:]])
 
     def cell(m: re.Match, new: dict[str, str]) -> str:
         ref = _attribute(m[1], "r")
@@ -189,15 +238,9 @@ def rewritten(content: bytes, path: str, texts: dict[str, str]) -> bytes:
         for info in z.infolist():
             data = z.read(info)
             if new := by_part.get(info.filename):
-                xml, k = data.decode("utf-8"), -1
+                xml = data.decode("utf-8")
                 if ext == ".docx":
-
-                    def each(m: re.Match, new: dict[str, str] = new) -> str:
-                        nonlocal k
-                        k += 1
-                        return paragraph(m[0], new[str(k)]) if str(k) in new else m[0]
-
-                    xml = _PARAGRAPH.sub(each, xml)
+                    xml = paragraphs(xml, new)
                 else:
                     xml = _CELL.sub(lambda m, new=new: cell(m, new), xml)
                 data = xml.encode("utf-8")

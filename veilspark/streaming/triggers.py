@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -42,19 +44,55 @@ def run_jobs(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkp
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def poll(spark: SparkSession, listing: DataFrame, datasource: str, seen_path: str) -> DataFrame:
-    """Jobs to start for one poll of the scan listing. The first poll only records what is there; seen ids are appended to a table at seen_path."""
+def poll(spark: SparkSession, listing: DataFrame, datasource: str, seen_path: str, hand_over: Callable[[DataFrame], None]) -> None:
+    """One poll of the scan listing: unseen jobs are handed over, then recorded as seen in a table at seen_path; the first poll only records what is there.
+
+    hand_over must have taken the jobs when it returns. If it or the poll fails, nothing is
+    recorded and the next poll hands the jobs over again: a trigger comes twice
+    rather than never.
+    """
     done = completed_scans(listing, datasource).dropDuplicates(["job_id"])
+    path = spark._jvm.org.apache.hadoop.fs.Path(seen_path)
+    known = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    new = unseen(done, spark.read.schema("job_id string").parquet(seen_path)) if known else done
+    new = new.persist()
     try:
-        seen = spark.read.schema("job_id string").parquet(seen_path)
-        known = seen.limit(1).count() >= 0
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        known, seen = False, spark.createDataFrame([], "job_id string")
-    new = spark.createDataFrame(unseen(done, seen).collect(), "job_id string, scan_id string, scan_name string, finished_at string") if known else spark.createDataFrame([], "job_id string, scan_id string, scan_name string, finished_at string")
-    (unseen(done, seen) if known else done).select("job_id").write.mode("append").parquet(seen_path)
-    return new.select(F.monotonically_increasing_id().alias("seq"), F.lit("all").alias("kind"), F.lit(None).cast("string").alias("path"), "job_id")
+        if known:
+            hand_over(new.select(F.monotonically_increasing_id().alias("seq"), F.lit("all").alias("kind"), F.lit(None).cast("string").alias("path"), "job_id"))
+        new.select("job_id").write.mode("append").parquet(seen_path)
+    finally:
+        new.unpersist()
+
+
+WORKED = "path string, ok boolean, error string, seconds double, summary string"
+
+
+def worked(files: DataFrame, handle: Callable[[str, bytes], str]) -> DataFrame:
+    """handle(path, content) for each file, where it lies: path, ok, error, seconds and what it returned.
+
+    A file that fails is a row with its error and doesn't stop the others. A repeated task
+    handles its files again, so handle should write a file as a whole.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
+                began, said, error = time.perf_counter(), None, None
+                try:
+                    said = handle(path, content)
+                except Exception as e:  # noqa: BLE001
+                    error = f"{type(e).__name__}: {e}"
+                rows.append((path, error is None, error, time.perf_counter() - began, said))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.bool_(), pa.string(), pa.float64(), pa.string()))], ["path", "ok", "error", "seconds", "summary"])
+
+    return files.select("path", "content").mapInArrow(run, WORKED)
+
+
+def counters(done: DataFrame) -> DataFrame:
+    """One row: files done, failed, and the last error by path."""
+    return done.agg(F.count_if("ok").alias("done"), F.count_if(~F.col("ok")).alias("failed"), F.max_by("error", F.when(~F.col("ok"), F.col("path"))).alias("last_error"))
 
 
 def stream_unseen(scans: DataFrame, watermark: str | None = None) -> DataFrame:
