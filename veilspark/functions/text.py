@@ -185,16 +185,30 @@ def squeeze(s: Column) -> Column:
     return casefold(norm(s))
 
 
-def contains_prepared(folded: Column, squeezed: Column, value: Column, dtype: Column, is_ocr: Column) -> Column:
-    """contains_value() on a haystack whose collapse() and squeeze() are at hand; the expression with boundaries runs only where the plain text is there."""
+_EDGE = "\u0001"
+
+
+def edged(s: Column) -> Column:
+    """s with a mark wherever a word begins or ends, so that a search between marks is one between word boundaries."""
+    return F.regexp_replace(F.translate(s, _EDGE, " "), r"(?U)(?<![\w])(?=[\w])|(?<=[\w])(?![\w])", _EDGE)
+
+
+def contains_prepared(folded: Column, squeezed: Column, edges: Column, value: Column, dtype: Column, is_ocr: Column) -> Column:
+    """contains_value() on a haystack whose collapse(), squeeze() and edged(collapse()) are at hand.
+
+    A value that begins and ends with a word is looked for between marks, by plain
+    search; an expression with boundaries runs for other values only, and where the plain text is there.
+    """
     found = collapse(value)
     bounded = F.regexp_like(folded, F.concat(F.lit(r"(?U)(?<![\w])"), escape_regex(found), F.lit(r"(?![\w])")))
-    return F.when(dtype.isin(*WORD_TYPES) & ~is_ocr, F.contains(folded, found) & bounded).otherwise(F.contains(squeezed, squeeze(value)))
+    words = found.rlike(r"(?Us)^[\w](.*[\w])?$")
+    whole = F.when(words, F.contains(edges, edged(found))).otherwise(F.contains(folded, found) & bounded)
+    return F.when(dtype.isin(*WORD_TYPES) & ~is_ocr, whole).otherwise(F.contains(squeezed, squeeze(value)))
 
 
 def contains_value(haystack: Column, value: Column, dtype: Column, is_ocr: Column) -> Column:
     """Whether value is in haystack: word types between word boundaries, others (and all recognised text) without regard to white space."""
-    return contains_prepared(collapse(haystack), squeeze(haystack), value, dtype, is_ocr)
+    return contains_prepared(collapse(haystack), squeeze(haystack), edged(collapse(haystack)), value, dtype, is_ocr)
 
 
 def placeholders(text: Column) -> Column:

@@ -119,15 +119,20 @@ def token_join_spans(texts: DataFrame, keys: DataFrame) -> DataFrame:
     listed = keys.where(F.length("key") >= LEAST_KEY).select("key").distinct()
     marks = listed.where(F.size(matches(F.col("key"), r"\w")) == 0).select("key", F.left("key", F.lit(LEAST_KEY)).alias("token"), F.lit(0).alias("lead"))
     keyed = rarest_tokens(listed).unionByName(marks)
-    tokens = texts.select("row_id", "text", F.explode(matches(F.col("text"), r"\w+")).alias("t")).select("row_id", "text", F.col("t.s").alias("at"), F.col("t.value").alias("token"))
-    runs = texts.select("row_id", "text", F.explode(matches(F.col("text"), rf"\W{{{LEAST_KEY},}}")).alias("t")).select("row_id", "text", F.explode(F.sequence("t.s", F.col("t.e") - LEAST_KEY)).alias("at"))
-    tokens = tokens.unionByName(runs.withColumn("token", F.substr("text", F.col("at") + 1, F.lit(LEAST_KEY))))
-    hit = tokens.join(keyed, "token").withColumn("s", (F.col("at") - F.col("lead")).cast("int")).withColumn("e", (F.col("s") + F.length("key")).cast("int"))
-    exact = (F.col("s") >= 0) & (F.substr("text", F.col("s") + 1, F.length("key")) == F.col("key"))
-    before, after = F.substr("text", F.col("s"), F.when(F.col("s") > 0, 1).otherwise(0)), F.substr("text", F.col("e") + 1, F.lit(1))
-    free = ~before.rlike(r"(?U)[\w@.]") & ~after.rlike(r"(?U)[\w@]")
-    span = F.struct("s", "e", F.lit("").alias("dtype"), F.col("key").alias("value"), F.lit(0).alias("rank"))
-    return hit.where(exact & free).groupBy("row_id").agg(F.collect_list(span).alias("spans")).withColumn("spans", resolve(F.col("spans").cast(SPANS)))
+    tokens = texts.select("row_id", F.explode(matches(F.col("text"), r"\w+")).alias("t")).select("row_id", F.col("t.s").alias("at"), F.col("t.value").alias("token"))
+    runs = texts.select("row_id", F.explode(matches(F.col("text"), rf"\W{{{LEAST_KEY},}}")).alias("t")).select("row_id", "t.*", F.explode(F.sequence("t.s", F.col("t.e") - LEAST_KEY)).alias("at"))
+    tokens = tokens.unionByName(runs.select("row_id", "at", F.substr("value", F.col("at") - F.col("s") + 1, F.lit(LEAST_KEY)).alias("token")))
+    hit = tokens.join(keyed, "token").select("row_id", (F.col("at") - F.col("lead")).cast("int").alias("s"), "key").where("s >= 0")
+    # the text joins in once a row, where it has a candidate at all
+    listed_hits = hit.groupBy("row_id").agg(F.collect_list(F.struct("s", (F.col("s") + F.length("key")).cast("int").alias("e"), F.lit("").alias("dtype"), F.col("key").alias("value"), F.lit(0).alias("rank"))).alias("spans"))
+    text = F.col("text")
+
+    def holds(p: Column) -> Column:
+        before, after = F.substr(text, p["s"], F.when(p["s"] > 0, 1).otherwise(0)), F.substr(text, p["e"] + 1, F.lit(1))
+        return (F.substr(text, p["s"] + 1, F.length(p["value"])) == p["value"]) & ~before.rlike(r"(?U)[\w@.]") & ~after.rlike(r"(?U)[\w@]")
+
+    found = texts.select("row_id", "text").join(listed_hits, "row_id").select("row_id", F.filter("spans", holds).alias("spans")).where(F.size("spans") > 0)
+    return found.select("row_id", resolve(F.col("spans").cast(SPANS)).alias("spans"))
 
 
 def dictionary_spans(texts: DataFrame, keys: DataFrame, regex_keys: int = REGEX_KEYS) -> DataFrame:

@@ -17,11 +17,11 @@ from ..functions import text as X
 LEAK_EXAMPLES, DECOY_EXAMPLES, SURFACE_EXAMPLES, TOKEN_EXAMPLES = 15, 10, 6, 20
 
 
-_FORMS = {"text": lambda t: t, "folded": X.collapse, "squeezed": X.squeeze}
+_FORMS = {"text": lambda t: t, "folded": X.collapse, "squeezed": X.squeeze, "edges": lambda t: X.edged(X.collapse(t))}
 
 
 def _prepared(outputs: DataFrame) -> DataFrame:
-    """outputs with each text as struct(text, folded, squeezed), so that a document is normalized once and not once a ground truth row."""
+    """outputs with each text as struct(text, folded, squeezed, edges), so that a document is normalized once and not once a ground truth row."""
     forms = lambda t: F.struct(*[f(t).alias(n) for n, f in _FORMS.items()])
     blank = lambda c: F.coalesce(c, F.lit(""))
     return outputs.select(
@@ -38,7 +38,7 @@ def _scope(form: str) -> Column:
     """
     filled = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
     gap = F.lit("" if form == "squeezed" else " ")
-    single = (lambda c: F.regexp_replace(c, " +", " ")) if form == "folded" else (lambda c: c)
+    single = (lambda c: F.regexp_replace(c, " +", " ")) if form in ("folded", "edges") else (lambda c: c)
     page, whole = F.col("page").cast("int"), F.col("text")[form]
     ocr, images = F.element_at("page_ocr", page)[form], F.col("image_text")[form]
     image = F.when(F.col("pages").isNotNull() & filled("page") & ocr.isNotNull(), single(F.concat(ocr, gap, images))).otherwise(images)
@@ -70,8 +70,8 @@ def judged(truth: DataFrame, outputs: DataFrame, strict: bool = False) -> DataFr
     """Ground truth with present, is_ocr, must_hide, leaked, replaced and kept; a missing document leaks all it had to hide."""
     hide = (F.col("expected_action") == "PSEUDONYMIZE") | (F.lit(strict) & F.col("present"))
     target = F.when(F.lit(strict) & (F.col("expected_action") == "KEEP"), F.col("strict_replacement")).otherwise(F.col("expected_replacement"))
-    folded, squeezed = (F.coalesce(_scope(f), F.lit("")) for f in ("folded", "squeezed"))
-    has = lambda v: F.coalesce(X.contains_prepared(folded, squeezed, v, F.col("data_type"), F.col("is_ocr")), F.lit(False))
+    folded, squeezed, edges = (F.coalesce(_scope(f), F.lit("")) for f in ("folded", "squeezed", "edges"))
+    has = lambda v: F.coalesce(X.contains_prepared(folded, squeezed, edges, v, F.col("data_type"), F.col("is_ocr")), F.lit(False))
     there, swapped = has(F.col("value")), has(target)
     rows = _joined(truth, outputs)
     return rows.select(*truth.columns, "present", "is_ocr", hide.alias("must_hide"), (hide & F.when(F.col("present"), there).otherwise(True)).alias("leaked"), (hide & F.col("present") & swapped).alias("replaced"), (~hide & F.col("present") & there).alias("kept"))
