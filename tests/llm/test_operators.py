@@ -685,3 +685,45 @@ def test_slices_are_whole_rows():
     assert list(runtime.slices(off, 10)) == [(0, 2), (2, 3), (3, 5)]
     data, at = runtime.text_views(pa.array(["é", None, "", "ab"])[1:])
     assert data.tobytes() == b"ab" and at.tolist() == [0, 0, 0, 2]
+
+
+def test_components_with_hubs(spark, monkeypatch):
+    monkeypatch.setattr(components, "HUB", 3)
+    r = random.Random(9)
+    edges = [(0, k) for k in range(1, 40)] + [(500, k) for k in range(501, 530)] + [(3, 503)] + [(r.randrange(600, 640), r.randrange(600, 640)) for _ in range(25)]
+    got = {x.node: x.component for x in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    up = {n: n for e in edges for n in e}
+    for _ in range(60):
+        for a, b in edges:
+            up[a] = up[b] = min(up[a], up[b])
+    assert got == {n: c for n, c in up.items() if any(n in e and e[0] != e[1] for e in edges)}
+
+
+def template_sets(n, seed=11):
+    """Texts that share a third of their shingles with each other: far from duplicates."""
+    r = random.Random(seed)
+    base = words(100, seed).split()
+    return [(k, " ".join(base + [f"t{k}x{r.randrange(10**6)}" for _ in range(100)])) for k in range(n)]
+
+
+def test_templates_are_no_candidates(spark, monkeypatch):
+    """Texts of one template share bands here and there, but are never verified against each other; true links among them are found all the same."""
+    table = template_sets(300)
+    table += [(1000 + k, t.replace("t", "T", 1)) for k, t in table[:20]] + [(2000 + k, t + " more words") for k, t in table[:20]]
+    docs = spark.createDataFrame(table, "doc_id long, text string").repartition(4)
+    sketch = runtime.cut(docs.mapInArrow(minhash._sketched(2, minhash.BANDS, minhash.ROWS), minhash.SKETCH))
+    nodes = sketch.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"))
+    edges = {(r.u, r.v) for r in minhash._candidates(sketch, nodes, 288, 80, 7).collect()}
+    assert {tuple(sorted((a % 1000, b % 1000))) for a, b in edges} == {(k, k) for k in range(20)}
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, shingle=2, bucket_classes=7).collect()}
+    assert got == {d: d % 1000 if d >= 1000 else d for d, _ in table}
+
+
+def test_classes_far_from_the_least_one_of_a_bucket():
+    """One task: what agrees with another class is tied to it, once for all that are tied already."""
+    base = np.arange(288, dtype=np.uint8)
+    other = (base + 7).astype(np.uint8)
+    rows = [(1, base, False, True), (2, base, False, True), (5, other, True, False), (6, other, True, False), (8, np.r_[base[:250], other[250:]], True, False), (9, (base + 99).astype(np.uint8), True, False)]
+    table = pa.table({"node": pa.array([x[0] for x in rows]), "slots": pa.array([x[1].tobytes() for x in rows]), "far": pa.array([x[2] for x in rows]), "tied": pa.array([x[3] for x in rows])})
+    got = minhash._bucket_links(190)(table).to_pylist()
+    assert {(x["u"], x["v"]) for x in got} == {(6, 5), (8, 1)}

@@ -5,8 +5,10 @@
    round j all elements of a document offer rank j plus a fraction to one slot
    each, and a slot takes the least. A document stops as soon as its slots are full.
 2. Classes. Documents with equal sets are one class from here on, known by their least doc_id.
-3. Bands. Classes that share a band's key are tied to the least of them (no pairs), which
-   gives candidate components.
+3. Bands. Classes that share a band's key are compared, by one byte of each slot of their
+   signatures, with the least of them; those that don't agree with it well enough
+   are compared with all others that share the key, in blocks of bounded size. What then agrees
+   makes candidate components, so that texts which share no more than a template don't.
 4. Verification. A candidate component's texts meet in one task if they are few;
    a larger one is laid out on a grid of block pairs of bounded size. Links are
    found on full sets by search from one member to all those not yet reached.
@@ -28,6 +30,11 @@ from .components import components
 
 #: At a similarity of 0.8 a pair shares none of 48 bands of 6 slots with a chance below 5e-7.
 BANDS, ROWS = 48, 6
+#: Slots of two signatures agree in a share of about their similarity; candidates have so many standard deviations less than the least similarity at most.
+#: A pair that just has it falls short with a chance of about 1e-9.
+DEVIATIONS = 6
+#: Classes of one bucket that a task compares with as many others.
+BUCKET_CLASSES = 4096
 #: Shingles of one block of the verification grid; a task holds two blocks at most.
 BLOCK_SHINGLES = 2_000_000
 #: Rounds whose permutations are traced through the earlier draws; later rounds, of short documents only, keep them in a table.
@@ -106,23 +113,98 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return R.mix(h)
 
 
-SKETCH = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+SKETCH = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("slots", T.BinaryType())])
 
 
 def _sketched(k: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, off in R.row_slices(batches, "minhash"):
             sets = shingle_sets(data, off, k)
-            keys = band_keys(super_minhash(sets, bands * rows), bands, rows).view(np.int64)
+            sig = super_minhash(sets, bands * rows)
+            keys = band_keys(sig, bands, rows).view(np.int64)
+            slots = (R.mix(sig) >> R.u64(56)).astype(np.uint8)
             n = [len(s) for s in sets]
             sums = np.array([[s.sum(dtype=np.uint64), R.mix(s).sum(dtype=np.uint64)] for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
             full = np.array(n) > 0
             keys, at = keys[full], np.r_[0, np.cumsum(full * bands)].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(sums[:, 0]), pa.array(sums[:, 1]), pa.ListArray.from_arrays(pa.array(at), pa.array(keys.ravel()))], SKETCH.names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(sums[:, 0]), pa.array(sums[:, 1]), pa.ListArray.from_arrays(pa.array(at), pa.array(keys.ravel())), pa.array([x.tobytes() for x in slots], pa.binary())], SKETCH.names)
 
     return run
 
 
+def least_agreement(slots: int, percent: int) -> int:
+    """Agreeing slots from which on two classes are candidates."""
+    p = percent / 100
+    return max(1, int(slots * p - DEVIATIONS * (slots * p * (1 - p)) ** 0.5))
+
+
+def _slots(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1) if len(column) else np.zeros((0, 1), np.uint8)
+
+
+def _agree(least: int):
+    """Arrow function: whether the slots of u and v agree in so many places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        R.turn_to("minhash")
+        for b in batches:
+            near = np.zeros(b.num_rows, bool)
+            for i in range(0, b.num_rows, 4096):
+                part = b.slice(i, 4096)
+                near[i : i + 4096] = (_slots(part.column("su")) == _slots(part.column("sv"))).sum(1) >= least
+            yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v"), pa.array(near)], ["u", "v", "near"])
+
+    return run
+
+
+def _bucket_links(least: int):
+    """Arrow function: a bucket's block of classes against a block of those that its least one doesn't agree with: (u, v) that span
+    what agrees. Classes that agree with the least one are tied to it already, so one of them stands for all."""
+
+    def run(table: pa.Table) -> pa.Table:
+        R.turn_to("minhash")
+        node, slots, far, tied = (table.column(c).combine_chunks() for c in ("node", "slots", "far", "tied"))
+        node, far, tied, slots = node.to_numpy(), far.to_numpy(zero_copy_only=False), tied.to_numpy(zero_copy_only=False), _slots(slots)
+        u, v = [], []
+        for i in np.flatnonzero(far).tolist():
+            near = np.flatnonzero((slots == slots[i]).sum(1) >= least)
+            near = near[node[near] != node[i]]
+            others = np.concatenate([near[tied[near]][:1], near[~tied[near]]])
+            others = others[~far[others] | (node[others] < node[i])]
+            u += [node[i]] * len(others)
+            v += node[others].tolist()
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return run
+
+
+def _candidates(real: DataFrame, nodes: DataFrame, slots: int, percent: int, block: int) -> DataFrame:
+    """Edges (u, v) between classes that share a band's key and whose slots agree, spanning all such pairs."""
+    least = least_agreement(slots, percent)
+    own = real.join(nodes, ["doc_id", "h1", "h2"], "left_semi").select(F.col("doc_id").alias("node"), "bands", "slots")
+    keyed = own.select("node", F.explode("bands").alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("key", "least")
+    # rows of one doc_id and text give the same slots, so a repeated row makes a repeated edge
+    tied = R.cut(keyed.join(shared, "key").select("key", "node", "least").distinct())
+    pairs = tied.where("node > least").select(F.col("node").alias("u"), F.col("least").alias("v")).distinct()
+    by = lambda name, s: own.select(F.col("node").alias(name), F.col("slots").alias(s))
+    judged = R.cut(pairs.join(by("u", "su"), "u").join(by("v", "sv"), "v").select("u", "v", "su", "sv").mapInArrow(_agree(least), "u long, v long, near boolean"))
+    near, far = judged.where("near").select("u", "v"), judged.where("NOT near").select(F.col("u").alias("node"), F.col("v").alias("least")).distinct()
+    if far.isEmpty():
+        return near
+    # a class is far from the least one of a key, or tied to it (the least one is tied to itself)
+    marked = tied.join(far.withColumn("far", F.lit(True)), ["node", "least"], "left").select("key", "node", F.coalesce("far", F.lit(False)).alias("far"))
+    sizes = marked.groupBy("key").agg(F.count("*").alias("n"), F.count_if("far").alias("n_far")).where("n_far > 0")
+    blocks = sizes.select("key", F.ceil(F.col("n") / block).cast("int").alias("m"), F.ceil(F.col("n_far") / block).cast("int").alias("f"))
+    laid = marked.join(blocks, "key").withColumn("h", F.xxhash64("node"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    others = laid.where("NOT far OR f > 1 OR m > 1").withColumn("i", F.pmod("h", "m").cast("int")).withColumn("j", each(F.col("f"))).select("key", "i", "j", "node", F.lit(False).alias("far"), (~F.col("far")).alias("tied"))
+    sought = laid.where("far").withColumn("j", F.pmod("h", "f").cast("int")).withColumn("i", each(F.col("m"))).select("key", "i", "j", "node", F.lit(True).alias("far"), F.lit(False).alias("tied"))
+    rows = others.unionByName(sought).join(own.select("node", "slots"), "node")
+    found = rows.groupBy("key", "i", "j").applyInArrow(_bucket_links(least), "u long, v long")
+    return near.unionByName(R.cut(found))
+
+
 def linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links (i, j) that span the components of "100 * intersection >= percent * union" among the sets, all pairs considered.
 
@@ -171,7 +253,7 @@ def _verified(k: int, percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, block_shingles: int = BLOCK_SHINGLES, bucket_classes: int = BUCKET_CLASSES) -> DataFrame:
     """Per row of docs (doc_id, text): n_shingles, component_id (least doc_id reachable over links) and kept.
 
     Two documents are linked if 100 * intersection >= percent * union of their
@@ -185,10 +267,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     real = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = R.cut(real.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("node")))
     nodes = classes.select("h1", "h2", F.col("node").alias("doc_id"))
-    keyed = real.join(nodes, ["doc_id", "h1", "h2"], "left_semi").select(F.col("doc_id").alias("node"), F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("key", "least")
-    tied = keyed.join(shared, "key").where("node > least").select(F.col("node").alias("u"), F.col("least").alias("v"))
-    candidates = R.cut(components(tied))
+    candidates = R.cut(components(_candidates(real, nodes, bands * rows, percent, bucket_classes)))
     sized = candidates.join(classes.select("node", "n_shingles"), "node")
     blocks = sized.groupBy("component").agg(F.ceil(F.sum("n_shingles") / F.lit(block_shingles)).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")

@@ -53,8 +53,8 @@ BUCKET_KEYS, BUCKET_BYTES, LEAST_BITS = 1 << 22, 4 << 20, 8
 PART_BYTES = 64 << 20
 #: Bits beyond its share of the key space that tell a sampled window from others in its bucket; a false tie costs time only.
 SPARE_BITS = 7
-#: Bytes of an anchor.
-GRAM = 16
+#: Bytes of an anchor, and of text whose anchors are looked for at once.
+GRAM, STRETCH = 16, 256 << 10
 
 
 @dataclass(frozen=True)
@@ -150,9 +150,10 @@ def _same(buf: np.ndarray, a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 
 def _spread(at: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
     """Which of n places lie in one of the ranges [at, end)."""
-    step = np.bincount(at, minlength=n + 1).astype(np.int32)
-    step -= np.bincount(end, minlength=n + 1).astype(np.int32)
-    return np.cumsum(step[:n], dtype=np.int32) > 0
+    step = np.zeros(n + 1, np.int32)
+    np.add.at(step, at, 1)
+    np.subtract.at(step, end, 1)
+    return np.cumsum(step, out=step)[:n] > 0
 
 
 def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -382,7 +383,7 @@ def sort_suffixes(buf: np.ndarray, at: np.ndarray, length: int, v: int) -> tuple
         size = np.diff(np.r_[first, len(g)])
         pivot = np.repeat(p[first + size // 2], size)
         d = shifts[p % v, pivot % v]
-        key = g * 3 + 1 + np.sign(rank[p + d] - rank[pivot + d])
+        key = g.astype(np.int64) * 3 + 1 + np.sign(rank[p + d] - rank[pivot + d])
         by = np.argsort(key, kind="stable")
         order[slots] = order[slots][by]
         key = key[by]
@@ -405,7 +406,7 @@ def _open(group: np.ndarray) -> np.ndarray:
 
 def _sorted_by(buf: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(order by the first n bytes, group of equals by place in the order): by the first word, then ties by the next one."""
-    order, group = np.arange(len(at)), np.zeros(len(at), np.int64)
+    order, group = np.arange(len(at), dtype=np.int32), np.zeros(len(at), np.int32)
     slots = order.copy()
     for i, size in _cuts(n):
         if not len(slots):
@@ -418,7 +419,7 @@ def _sorted_by(buf: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.
         new[0] = True
         new[1:] = group[1:] != group[:-1]
         new[slots[1:]] |= (w[1:] != w[:-1]) | (g[1:] != g[:-1])
-        group = np.cumsum(new) - 1
+        group = np.cumsum(new, dtype=np.int32) - 1
         slots = slots[_open(group[slots])]
     return order, group
 
@@ -448,17 +449,7 @@ def _runs(piece: Piece, plan: Plan, ranks: np.ndarray, p: np.ndarray, keys: Keys
     if not len(q):
         none = np.zeros(0, np.int64)
         return Runs(none, none, none, none, none, none, none)
-    # anchors: the least hash of a gram in each suffix, the leftmost of equals
-    least = all_hashes(piece.buf, n - plan.gram + 1, plan.gram)
-    least &= R.u64(0xFFFFFFFF00000000)
-    least |= np.arange(len(least), dtype=np.uint64)
-    width, have = length - plan.gram + 1, 1
-    while have < width:
-        step = min(have, width - have)
-        least = np.minimum(least[: len(least) - step], least[step:])
-        have += step
-    anchor = (least[q] & R.u64(0xFFFFFFFF)).astype(np.int64)
-    del least
+    anchor = _anchors(piece, plan, q)
     first = np.flatnonzero(np.r_[True, (np.diff(q) != 1) | (np.diff(anchor) != 0)])
     start, size = q[first], np.diff(np.r_[first, len(q)])
     doc_id = piece.doc_id[np.searchsorted(piece.off, start, side="right") - 1]
@@ -478,6 +469,26 @@ def _runs(piece: Piece, plan: Plan, ranks: np.ndarray, p: np.ndarray, keys: Keys
     return Runs(start, size, doc_id, which, np.minimum.reduceat(doc_id[order], heads), order[heads], bucket[order[heads]])
 
 
+def _anchors(piece: Piece, plan: Plan, q: np.ndarray) -> np.ndarray:
+    """Where the least-hashed gram of each suffix stands, the leftmost of equals; the text is gone through in stretches."""
+    width, out = plan.length - plan.gram + 1, np.empty(len(q), np.int64)
+    for a in range(0, piece.n, STRETCH):
+        i, j = np.searchsorted(q, (a, a + STRETCH)).tolist()
+        if i == j:
+            continue
+        end = int(q[j - 1]) + width  # of the grams of these suffixes
+        least = all_hashes(piece.buf[a:], end - a, plan.gram)
+        least &= R.u64(0xFFFFFFFF00000000)
+        least |= np.arange(len(least), dtype=np.uint64)
+        have = 1
+        while have < width:
+            step = min(have, width - have)
+            least = np.minimum(least[: len(least) - step], least[step:])
+            have += step
+        out[i:j] = (least[q[i:j] - a] & R.u64(0xFFFFFFFF)).astype(np.int64) + a
+    return out
+
+
 def _bits_of(ranks: dict[int, bytes], sizes: list[tuple[int, int]]) -> np.ndarray:
     """The answers of all buckets, in order; sizes: (bucket, answers)."""
     return np.concatenate([np.unpackbits(np.frombuffer(ranks[b], np.uint8), count=n) for b, n in sizes] or [np.zeros(0, np.uint8)]).astype(bool)
