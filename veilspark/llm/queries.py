@@ -66,6 +66,27 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def _feistel_sql(x: str, source: str) -> str:
+    """SQL: the rows of source with y, one pass of the Feistel network over x in a domain of 2 * h bits."""
+    out = f"SELECT *, CAST({x} >> h AS UBIGINT) AS l0, CAST({x} & ((1 << h) - 1) AS UBIGINT) AS r0 FROM {source}"
+    for k, key in enumerate(sharding.ROUND_KEYS):
+        out = f"SELECT *, ((r{k} + {key}) & 4294967295) * 2654435761 & 4294967295 AS a{k} FROM ({out})"
+        out = f"SELECT *, xor(a{k}, a{k} >> 15) * 2246822507 & 4294967295 AS b{k} FROM ({out})"
+        out = f"SELECT *, r{k} AS l{k + 1}, xor(l{k}, xor(b{k}, b{k} >> 13) & CAST((1 << h) - 1 AS UBIGINT)) AS r{k + 1} FROM ({out})"
+    return f"SELECT doc_id, size, crc, n, h, CAST((l4 << h) | r4 AS BIGINT) AS y FROM ({out})"
+
+
+ORACLE_SQL["op5_sharding"] = f"""
+WITH RECURSIVE tab AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda a, b: CASE WHEN a % 2 = 1 THEN xor(3988292384, a >> 1) ELSE a >> 1 END) AS c FROM range(256) r(i))),
+byte AS (SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) + 8 AS size, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS b FROM documents),
+key AS (SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295, b), lambda a, x: xor(a >> 8, t[xor(a & 255, x) + 1])), 4294967295) AS crc FROM byte, tab),
+row AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, crc, size) - 1 AS x, count(*) OVER () AS n FROM key),
+num AS (SELECT *, greatest(1, (length(bin(greatest(n, 2) - 1)) + 1) // 2) AS h FROM row),
+walk AS ({_feistel_sql("x", "num")} UNION ALL {_feistel_sql("y", "(SELECT * FROM walk WHERE y >= n)")})
+SELECT doc_id, size, crc AS text_crc32, 'rows' AS law, CAST(y % 24 AS INTEGER) AS shard, y // 24 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM walk WHERE y < n
+"""
+
+
 @_register
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
