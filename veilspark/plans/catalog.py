@@ -515,9 +515,11 @@ def q_best_cover(spark, d):
     return L.best_cover(rects, b.withColumnsRenamed({"file": "page", "box_id": "span_id"}))
 
 
-@query()
+@query(f"""{_SQL_BOXES}, g AS (SELECT file, list([{{'box_id': box_id, 'x0': x0, 'y0': y0, 'x1': x1 + 45, 'y1': y1}}] ORDER BY box_id) AS b FROM b GROUP BY file, box_id // 10),
+k AS (SELECT file, list_reduce(b, lambda acc, x: CASE WHEN len(list_filter(acc, lambda k: greatest(0, least(x[1].x1, k.x1) - greatest(x[1].x0, k.x0)) * greatest(0, least(x[1].y1, k.y1) - greatest(x[1].y0, k.y0)) > 0.5 * (x[1].x1 - x[1].x0) * (x[1].y1 - x[1].y0))) > 0 THEN acc ELSE list_concat(acc, x) END) AS kept FROM g)
+SELECT file, k.box_id AS box_id FROM (SELECT file, unnest(kept) AS k FROM k)""")
 def q_nms(spark, d):
-    """Greedy suppression follows the order of boxes; tests hold it against a loop."""
+    """Greedy suppression follows the order of boxes of a line."""
     boxes = _boxes(spark, d).withColumn("x1", F.col("x1") + 45).withColumn("line", F.floor(F.col("box_id") / 10))
     arrays = boxes.groupBy("file", "line").agg(F.array_sort(F.collect_list(F.struct("box_id", "x0", "y0", "x1", "y1"))).alias("b"))
     return arrays.select("file", F.explode(F.transform(L.suppressed(F.col("b")), lambda s: s["box_id"])).alias("box_id"))
