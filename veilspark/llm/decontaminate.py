@@ -180,7 +180,7 @@ def _step(df: DataFrame, sent, held: str | None) -> tuple[DataFrame, str]:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """The contract's columns from hits()."""
+    """The contract's columns from hits(): a row for each row, nulls and repeats as there; no items give the digest of an empty string."""
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 

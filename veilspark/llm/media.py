@@ -362,5 +362,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_features(media: DataFrame) -> DataFrame:
-    """From a media column (doc_id, n_bytes, media): the payload read back from the thumbnails, its digests, and the feature string. Broken media raise ValueError."""
+    """From a media column (doc_id, n_bytes, media): the payload read back from the thumbnails, its digests, and the feature string.
+
+    Broken media raise ValueError, null media (which store() never makes) a TypeError; repeated rows each give a row, a null doc_id stays null.
+    """
     return R.picked(media, "doc_id", "n_bytes", "media").mapInArrow(_read, FEATURES)

@@ -285,6 +285,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs, with all their columns, less those that near_duplicates() doesn't keep."""
+    """docs, with all their columns, less those that near_duplicates() doesn't keep: null, empty and blank texts and rows without a doc_id stay."""
     gone = near_duplicates(docs, **options).where("NOT kept").select(F.col("doc_id").alias("veilspark_gone")).distinct()
     return docs.join(gone, docs["doc_id"] == F.col("veilspark_gone"), "left_anti")

@@ -82,6 +82,15 @@ def cut(df: DataFrame) -> DataFrame:
     return stored(df)[0]
 
 
+#: Tasks that read files, for each core there is.
+TASKS_A_CORE = 8
+
+
+def tasks_for(files: DataFrame) -> int:
+    """Tasks for a table with a row a file: one a file, as long as there are cores for them."""
+    return max(1, min(files.count(), TASKS_A_CORE * files.sparkSession.sparkContext.defaultParallelism))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -4,8 +4,8 @@ A text is cut into units at its word marks (no piece but runs of marks holds
 one after its first symbol, which is checked when the vocabulary is loaded), and
 each distinct unit is merged once by an agenda of adjacent symbol pairs ordered
 by score, then by position. Symbols without a piece fall back to their bytes.
-In every Arrow batch, the units met for the first time are checked against the
-sentencepiece library, encoded and decoded; a difference stops the job.
+In every Arrow batch, the units met for the first time and one whole text are checked against the
+sentencepiece library, the units encoded and decoded; a difference stops the job.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from . import runtime as R
 MARK = "▁"
 #: Bytes of units and ids in each of the two generations that a worker remembers.
 MEMO_BYTES = 40 << 20
+#: Of each slice, the first text that isn't longer is compared with the library as a whole.
+WHOLE_CHARACTERS = 2000
 #: Up to so many symbols the agenda is a flat list; beyond, a heap.
 FLAT_SYMBOLS = 48
 _UNIT = re.compile(f"{MARK}+[^{MARK}]*")
@@ -115,6 +117,9 @@ class Vocabulary:
                 words = text.split(" ")
             out.append(head + b"".join(map(get, words)) + tail)
         self.check()
+        whole = next((k for k, t in enumerate(texts) if 0 < len(t) <= WHOLE_CHARACTERS), None)
+        if whole is not None and self.lib.encode(texts[whole], add_bos=True, add_eos=True) != list(memoryview(out[whole]).cast("I")):
+            raise ValueError(f"the library encodes {texts[whole]!r} in another way")
         return out
 
     def decode(self, ids: bytes) -> str:
@@ -143,13 +148,21 @@ def _encoded(path: str):
     return run
 
 
+def _freed(df: DataFrame, name: str) -> DataFrame:
+    """df without a column of that name: one that it has is renamed, as often as its new name is taken too."""
+    other = f"{name}_before"
+    while other in df.columns:
+        other += "_before"
+    return df.withColumnRenamed(name, other)
+
+
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """docs with a column `ids`: the ids of the whole text as little-endian unsigned 32-bit integers.
 
     Null text counts as empty (begin and end ids only); other columns, repeated
-    rows and nulls stay as they are; an own column named ids is replaced.
+    rows and nulls stay as they are; an own column named ids becomes `ids_before`.
     """
-    docs = docs.drop("ids")
+    docs = _freed(docs, "ids")
     return docs.mapInArrow(_encoded(path), T.StructType([*docs.schema.fields, T.StructField("ids", T.BinaryType())]))
 
 
@@ -163,8 +176,8 @@ def _decoded(path: str):
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """encoded with a column `decoded`, the text of its `ids` (null of null)."""
-    encoded = encoded.drop("decoded")
+    """encoded with a column `decoded`, the text of its `ids`: null of null, empty of none; an own column of that name becomes `decoded_before`."""
+    encoded = _freed(encoded, "decoded")
     return encoded.mapInArrow(_decoded(path), T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())]))
 
 
@@ -184,5 +197,8 @@ DIGEST = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_t
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    """Per row of docs (doc_id, text): number and SHA-256 of the ids, and SHA-256 of the text decoded from them; both steps in one pass, so that ids needn't go through the JVM."""
+    """Per row of docs (doc_id, text): number and SHA-256 of the ids, and SHA-256 of the text decoded from them; both steps in one pass, so that ids needn't go through the JVM.
+
+    Null text counts as empty, repeated rows each give a row, texts are encoded whole, an empty table gives no rows.
+    """
     return R.picked(docs, "doc_id", "text").mapInArrow(_digests(path), DIGEST)

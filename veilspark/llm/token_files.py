@@ -27,6 +27,7 @@ import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -268,12 +269,13 @@ def _read(folder: str):
 
 
 def read(manifest: DataFrame, folder: str) -> DataFrame:
-    """Per document in the manifest's files: where its ids start among all, their number and CRC-32, read back from the files."""
-    spark = manifest.sparkSession
-    files = sorted(manifest.select("part", "seq", "path", "bytes", "ids").collect())  # a row for each file, that is for FILE_BYTES of ids
-    starts = np.cumsum([0, *[f.ids for f in files]]).tolist()
-    listed = spark.createDataFrame([(f.path, f.bytes, s) for f, s in zip(files, starts)], "path string, bytes long, start long")
-    return listed.repartition(max(1, len(files)), F.col("path")).mapInArrow(_read(folder), ROWS)
+    """Per document in the manifest's files: where its ids start among all, their number and CRC-32, read back from the files.
+
+    Repeated documents each give a row, a null doc_id stays null; an empty manifest gives no rows.
+    """
+    before = W.orderBy("part", "seq").rowsBetween(W.unboundedPreceding, -1)  # a row for each file, that is for FILE_BYTES of ids
+    listed = manifest.select("path", "bytes", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("start"))
+    return listed.repartition(R.tasks_for(manifest)).mapInArrow(_read(folder), ROWS)
 
 
 def documents_of(path: str, wanted: Iterable[int]) -> dict[int, np.ndarray]:

@@ -277,5 +277,8 @@ _ARROW = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("pa
 
 
 def read(manifest: DataFrame, folder: str) -> DataFrame:
-    """The records of the manifest's files, each validated: page_id, size and SHA-1 of the full payload, record type, what it refers to, and url."""
-    return manifest.repartition(max(1, manifest.count()), "path").mapInArrow(_read(folder), ROWS)
+    """The records of the manifest's files, each validated: page_id, size and SHA-1 of the full payload, record type, what it refers to, and url.
+
+    Repeated records each give a row, absent ids are null; an empty manifest gives no rows.
+    """
+    return manifest.repartition(R.tasks_for(manifest)).mapInArrow(_read(folder), ROWS)
