@@ -57,8 +57,15 @@ def _scope(form: str) -> Column:
     )
 
 
+#: Ground truth rows of one document that a task judges; a document with more goes to several.
+TRUTH_ROWS = 1000
+
+
 def _joined(truth: DataFrame, outputs: DataFrame) -> DataFrame:
-    return truth.join(_prepared(outputs), "document", "left").withColumn("present", F.coalesce("present", F.lit(False))).withColumn("is_ocr", F.col("present") & (F.col("location_type") == "image"))
+    parts = truth.groupBy("document").agg(F.ceil(F.count("*") / TRUTH_ROWS).cast("int").alias("parts"))
+    own = truth.join(parts, "document", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("gt_id"), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
+    laid = _prepared(outputs).join(parts, "document").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    return own.join(laid, ["document", "part"], "left").drop("part").withColumn("present", F.coalesce("present", F.lit(False))).withColumn("is_ocr", F.col("present") & (F.col("location_type") == "image"))
 
 
 def scoped(truth: DataFrame, outputs: DataFrame) -> DataFrame:
