@@ -727,3 +727,39 @@ def test_classes_far_from_the_least_one_of_a_bucket():
     table = pa.table({"node": pa.array([x[0] for x in rows]), "slots": pa.array([x[1].tobytes() for x in rows]), "far": pa.array([x[2] for x in rows]), "tied": pa.array([x[3] for x in rows])})
     got = minhash._bucket_links(190)(table).to_pylist()
     assert {(x["u"], x["v"]) for x in got} == {(6, 5), (8, 1)}
+
+
+# the shared folder
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda name, default=None: default), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        runtime.shared_dir(session)
+
+
+def test_a_local_session_gets_a_folder():
+    from types import SimpleNamespace
+
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda name, default=None: default), sparkContext=SimpleNamespace(master="local[4]"))
+    assert runtime.base_dir(session).startswith("file:///") and runtime.base_dir(session) == runtime.base_dir(session)
+
+
+def test_rounds_leave_one_table(spark, tmp_path, monkeypatch):
+    import os
+
+    monkeypatch.setattr(runtime, "base_dir", lambda s: str(tmp_path))  # without a scheme: on the default file system
+    edges = spark.createDataFrame([(k, k + 1) for k in range(40)], "u long, v long")
+    assert {r.component for r in components.components(edges).collect()} == {0}
+    assert len(os.listdir(tmp_path)) == 1
+    assert runtime.shared_dir(spark).startswith(f"file://{tmp_path}/veilspark-")
+
+
+def test_invalid_bytes_in_a_string_column(spark):
+    """A string column may hold bytes that are no UTF-8; they count as U+FFFD where a text is needed."""
+    docs = spark.sql("SELECT 1 AS doc_id, CAST(X'61FF62' AS STRING) AS text, 'en' AS lang")
+    assert docs.select("doc_id").dtypes == [("doc_id", "int")]
+    assert token_counts.token_counts(docs, BYTES).head().n_tokens == len(_LIB7.encode("a�b", add_special_tokens=False).ids)
+    assert minhash.near_duplicates(docs).head().doc_id == 1 and suffix_dedup.repeats(docs).head().n_bytes == 3

@@ -29,19 +29,29 @@ def _hadoop(spark: SparkSession, path: str):
     return fs_, fs_.makeQualified(path)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """URI of a fresh folder below spark.checkpoint.dir, which driver and executors share; it is deleted when the driver ends.
+#: The temporary folder of a local session without spark.checkpoint.dir.
+_OWN: list[str] = []
+
+
+def base_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, as the session has it.
 
-    Where the setting is missing, a local master gets a temporary folder for the
-    session, as in tests; a cluster gets an error, since executors share no local folder.
+    Where the setting is missing, a local master gets a temporary folder, as in
+    tests; a cluster gets an error, since its machines share no local folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="veilspark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    fs_, path = _hadoop(spark, posixpath.join(base, f"veilspark-{uuid.uuid4().hex}"))
+    if base:
+        return base
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if not _OWN:
+        _OWN.append("file://" + tempfile.mkdtemp(prefix="veilspark-"))
+    return _OWN[0]
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """URI of a fresh folder below base_dir(); it is deleted when the driver ends."""
+    fs_, path = _hadoop(spark, posixpath.join(base_dir(spark), f"veilspark-{uuid.uuid4().hex}"))
     fs_.deleteOnExit(path)
     uri = path.toString()
     return "file://" + uri.removeprefix("file:") if uri.startswith("file:/") and not uri.startswith("file://") else uri
