@@ -149,3 +149,10 @@ def test_run_growth_against_a_loop(spark):
         want |= {(k, w[0]) for w in run if not (w[3] > x0 + 2 and w[1] < x1 - 2)}
     df = lambda rows, name: spark.createDataFrame([("f", *x) for x in rows], f"file string, {name} int, x0 int, y0 int, x1 int, y1 int")
     assert {(x.box_id, x.word_id) for x in L.run_growth(df(boxes, "box_id"), df(words, "word_id")).collect()} == want and want
+
+
+def test_chain_layout(spark):
+    """Items that grow push the ones after them; a chain beyond its space is set smaller as a whole."""
+    items = spark.createDataFrame([("f", 1, 1, 0, 40, 60, 500), ("f", 1, 2, 50, 80, 30, 500), ("f", 1, 3, 200, 240, 10, 500), ("f", 2, 4, 100, 140, 90, 190), ("f", 2, 5, 150, 180, 80, 190)], "file string, chain int, item_id int, x0 int, x1 int, width int, free int")
+    got = {r.item_id: (round(r.x, 3), round(r.scale, 3)) for r in L.chain_layout(items).collect()}
+    assert got == {1: (0.0, 1.0), 2: (70.0, 1.0), 3: (220.0, 1.0), 4: (100.0, 0.5), 5: (150.0, 0.5)}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from veilspark.operators import mapping as M
 from veilspark.sinks import sizes as S
 from veilspark.sources import files as FILES
+from veilspark.sources import pages as PAGES
 from veilspark.sources import tables as TABLES
 from veilspark.streaming import triggers as T
 
@@ -215,3 +216,23 @@ def test_stream_of_scans_has_each_job_once(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert spark.table("scans").select(F.count("*")).head()[0] == 2
+
+
+def test_pages_by_a_codec(spark):
+    def read(content):
+        if content == b"bad":
+            raise ValueError("no such codec")
+        for k, word in enumerate(content.decode().split()):
+            yield 1, k // 3, 50 * (k % 3), 20 * (k // 3), 8 * len(word), 12, 90.0, word
+
+    files = spark.createDataFrame([("a.pdf", b"Anna Weber lives here now"), ("b.pdf", b""), ("c.pdf", b"bad")], "path string, content binary")
+    words = PAGES.page_words(files, read, batch=2).collect()
+    assert sorted((w.file, w.text or "", w.status) for w in words) == [("a.pdf", t, "processed") for t in sorted("Anna Weber lives here now".split())] + [("b.pdf", "", "blank"), ("c.pdf", "", "error: ValueError: no such codec")]
+
+
+def test_edits_of_a_page(spark):
+    rects = spark.createDataFrame([(1, 0, 7, 10, 10, 40, 22, "Clara"), (1, 0, 8, 44, 10, 90, 22, ""), (1, 5, 9, 10, 110, 60, 122, "Rey")], "page int, line int, rect_id int, x0 int, y0 int, x1 int, y1 int, replacement string")
+    spans = spark.createDataFrame([(1, 1, 8, 9, 95, 23, "Times-Bold", 16, 11.0, 255)], "page int, span_id int, x0 int, y0 int, x1 int, y1 int, font string, flags int, size double, color int")
+    erase, write = PAGES.edits(rects, spans, rects)
+    assert {tuple(r) for r in erase.select("line", "x0", "x1").collect()} == {(0, 10, 90), (5, 10, 60)}
+    assert {tuple(r) for r in write.select("rect_id", "text", "font", "size", "color").collect()} == {(7, "Clara", "tibo", 11.0, 255), (9, "Rey", "helv", 12.0, 0)}

@@ -240,6 +240,25 @@ def linked_chains(items: DataFrame, words: DataFrame, gap: float = 0.8, least: f
     return joined.withColumn("new", new).withColumn("chain", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0))).select(*items.columns, "chain")
 
 
+def chain_layout(items: DataFrame) -> DataFrame:
+    """Where the replacements of chains are written: items (file, chain, item_id, x0, x1, width, free) with `x` and the chain's `scale`.
+
+    width: of the replacement as it is set; free: where the space that the chain may fill ends. An item starts
+    where it stood, or is pushed to the end of the one before it and the original gap between the two. A
+    chain that doesn't fit is set smaller by one factor, so that no single word takes all the loss.
+    """
+    w = W.partitionBy("file", "chain").orderBy("x0", "item_id")
+    gap = F.coalesce(F.greatest(F.lit(0), F.col("x0") - F.lag("x1").over(w)), F.lit(0))
+    up_to, whole = w.rowsBetween(W.unboundedPreceding, 0), W.partitionBy("file", "chain")
+    # pushed start: the largest of all "an earlier item's start, plus widths and gaps since"
+    laid = items.withColumn("gap", gap).withColumn("taken", F.sum(F.col("gap") + F.coalesce(F.lag("width").over(w), F.lit(0))).over(up_to))
+    laid = laid.withColumn("x", F.col("taken") + F.max(F.col("x0") - F.col("taken")).over(up_to))
+    first, end = F.min("x0").over(whole), F.max(F.col("x") + F.col("width")).over(whole)
+    room = F.max("free").over(whole) - first
+    scaled = laid.withColumn("first", first).withColumn("scale", F.when(end - first > room, room / (end - first)).otherwise(F.lit(1.0)))
+    return scaled.select(*items.columns, (F.col("first") + (F.col("x") - F.col("first")) * F.col("scale")).alias("x"), "scale")
+
+
 def deletions(s: Column, cap: int) -> Column:
     """s and all strings that up to cap deletions make of it (cap 0 to 2): two strings within cap edits share one of them."""
     out = F.array(s)

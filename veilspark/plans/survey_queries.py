@@ -180,6 +180,19 @@ def q_linked_chains(spark, d):
     return L.linked_chains(items, b.where("box_id % 5 = 2").drop("box_id")).select("file", "line", "item_id", "chain")
 
 
+@query(f"""{_SQL_BOXES}, i AS (SELECT file, box_id // 10 AS chain, box_id AS item_id, x0, x1, x1 - x0 + box_id % 7 * 5 AS width, 480 AS free FROM b),
+g AS (SELECT *, coalesce(greatest(0, x0 - lag(x1) OVER w), 0) AS gap, coalesce(lag(width) OVER w, 0) AS before FROM i WINDOW w AS (PARTITION BY file, chain ORDER BY x0, item_id)),
+t AS (SELECT *, sum(gap + before) OVER (PARTITION BY file, chain ORDER BY x0, item_id ROWS UNBOUNDED PRECEDING) AS taken FROM g),
+p AS (SELECT *, taken + max(x0 - taken) OVER (PARTITION BY file, chain ORDER BY x0, item_id ROWS UNBOUNDED PRECEDING) AS px FROM t),
+e AS (SELECT *, min(x0) OVER c AS first, max(px + width) OVER c AS stop, max(free) OVER c AS room FROM p WINDOW c AS (PARTITION BY file, chain)),
+s AS (SELECT *, CASE WHEN stop - first > room - first THEN CAST(room - first AS DOUBLE) / (stop - first) ELSE 1.0 END AS scale FROM e)
+SELECT file, item_id, round(first + (px - first) * scale, 6) AS x, round(scale, 9) AS scale FROM s""")
+def q_chain_layout(spark, d):
+    b = _boxes(spark, d).withColumn("chain", F.floor(F.col("box_id") / 10))
+    items = b.select("file", "chain", F.col("box_id").alias("item_id"), "x0", "x1", (F.col("x1") - F.col("x0") + F.col("box_id") % 7 * 5).alias("width"), F.lit(480).alias("free"))
+    return L.chain_layout(items).select("file", "item_id", F.round("x", 6).alias("x"), F.round("scale", 9).alias("scale"))
+
+
 @query("""SELECT file, page, x0, y0, value, line FROM (SELECT l_orderkey AS file, 1 AS page, l_suppkey + 0.25 AS x0, CAST(l_linenumber % 2 AS DOUBLE) AS y0, l_returnflag AS value, l_linenumber AS line,
  row_number() OVER (PARTITION BY l_orderkey, l_suppkey, l_linenumber % 2, l_returnflag ORDER BY 1 + l_linenumber % 2, l_linenumber) AS r FROM lineitem) WHERE r = 1""")
 def q_first_match(spark, d):
