@@ -121,6 +121,16 @@ def best_cover(rects: DataFrame, spans: DataFrame, cell: int = CELL) -> DataFram
     return joined.groupBy("a.page", "a.rect_id").agg(F.max_by("b.span_id", F.struct("area", -F.col("b.span_id"))).alias("span_id"), F.max("area").alias("area"))
 
 
+def residuals(boxes: DataFrame, objects: DataFrame, cell: int = CELL) -> DataFrame:
+    """Per box (page, box_id, x0..y1) how many objects (page, kind, x0..y1: curves, images) still overlap it, by kind; a clean box has a row with kind null and 0."""
+    sides = (F.col("x0"), F.col("x1")), (F.col("y0"), F.col("y1"))
+    a, b = _in_cells(boxes, *sides, cell).alias("a"), _in_cells(objects, *sides, cell).alias("b")
+    corner = (F.floor(F.greatest("a.x0", "b.x0") / cell) == F.col("a.cx")) & (F.floor(F.greatest("a.y0", "b.y0") / cell) == F.col("a.cy"))
+    meet = (F.col("a.page") == F.col("b.page")) & (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy")) & corner
+    left = a.join(b, meet).where(overlap_area("a", "b") > 0).groupBy("a.page", "a.box_id", "b.kind").agg(F.count("*").alias("n"))
+    return boxes.select("page", "box_id").join(left, ["page", "box_id"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
 def suppressed(boxes: Column, share: float = 0.5) -> Column:
     """Greedy non-maximum suppression of an array of struct(x0, y0, x1, y1, ...) in order: a box goes if more than `share` of it lies in one that stays."""
 

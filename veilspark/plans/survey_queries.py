@@ -193,6 +193,15 @@ def q_chain_layout(spark, d):
     return L.chain_layout(items).select("file", "item_id", F.round("x", 6).alias("x"), F.round("scale", 9).alias("scale"))
 
 
+@query(f"""{_SQL_BOXES}, s AS (SELECT file AS page, box_id, x0 - 20 AS x0, y0 - 10 AS y0, x1 + 60 AS x1, y1 + 10 AS y1 FROM b WHERE box_id % 31 = 0), o AS (SELECT file AS page, CASE WHEN box_id % 2 = 0 THEN 'curve' ELSE 'image' END AS kind, x0, y0, x1, y1 FROM b WHERE box_id % 4 < 2),
+n AS (SELECT s.page, s.box_id, kind, count(*) AS n FROM s JOIN o ON s.page = o.page AND least(s.x1, o.x1) > greatest(s.x0, o.x0) AND least(s.y1, o.y1) > greatest(s.y0, o.y0) GROUP BY ALL)
+SELECT s.page, s.box_id, kind, coalesce(n, 0) AS n FROM s LEFT JOIN n ON s.page = n.page AND s.box_id = n.box_id""")
+def q_residuals(spark, d):
+    b = _boxes(spark, d).withColumnRenamed("file", "page")
+    areas = b.where("box_id % 31 = 0").select("page", "box_id", (F.col("x0") - 20).alias("x0"), (F.col("y0") - 10).alias("y0"), (F.col("x1") + 60).alias("x1"), (F.col("y1") + 10).alias("y1"))
+    return L.residuals(areas, b.where("box_id % 4 < 2").withColumn("kind", F.when(F.col("box_id") % 2 == 0, "curve").otherwise("image")))
+
+
 @query("""SELECT file, page, x0, y0, value, line FROM (SELECT l_orderkey AS file, 1 AS page, l_suppkey + 0.25 AS x0, CAST(l_linenumber % 2 AS DOUBLE) AS y0, l_returnflag AS value, l_linenumber AS line,
  row_number() OVER (PARTITION BY l_orderkey, l_suppkey, l_linenumber % 2, l_returnflag ORDER BY 1 + l_linenumber % 2, l_linenumber) AS r FROM lineitem) WHERE r = 1""")
 def q_first_match(spark, d):
