@@ -727,6 +727,8 @@ def test_classes_far_from_the_least_one_of_a_bucket():
     table = pa.table({"node": pa.array([x[0] for x in rows]), "slots": pa.array([x[1].tobytes() for x in rows]), "far": pa.array([x[2] for x in rows]), "tied": pa.array([x[3] for x in rows])})
     got = minhash._bucket_links(190)(table).to_pylist()
     assert {(x["u"], x["v"]) for x in got} == {(6, 5), (8, 1)}
+    many = pa.table({"node": pa.array(range(2, 302)), "slots": pa.array([other.tobytes()] * 300), "far": pa.array([True] * 300), "tied": pa.array([False] * 300)})
+    assert minhash._bucket_links(190)(many).num_rows == 299  # copies of each other don't make all pairs
 
 
 # the shared folder

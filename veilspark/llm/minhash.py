@@ -159,21 +159,24 @@ def _agree(least: int):
 
 def _bucket_links(least: int):
     """Arrow function: a bucket's block of classes against a block of those that its least one doesn't agree with: (u, v) that span
-    what agrees. Classes that agree with the least one are tied to it already, so one of them stands for all."""
+    what agrees, fewer than there are classes. Those that agree with the least one are tied to it already, and so to each other."""
 
     def run(table: pa.Table) -> pa.Table:
         R.turn_to("minhash")
         node, slots, far, tied = (table.column(c).combine_chunks() for c in ("node", "slots", "far", "tied"))
         node, far, tied, slots = node.to_numpy(), far.to_numpy(zero_copy_only=False), tied.to_numpy(zero_copy_only=False), _slots(slots)
-        u, v = [], []
+        _, first, which = np.unique(node, return_index=True, return_inverse=True)
+        group = first[which]
+        group[np.isin(group, group[tied])] = -1
+        links = []
         for i in np.flatnonzero(far).tolist():
             near = np.flatnonzero((slots == slots[i]).sum(1) >= least)
-            near = near[node[near] != node[i]]
-            others = np.concatenate([near[tied[near]][:1], near[~tied[near]]])
-            others = others[~far[others] | (node[others] < node[i])]
-            u += [node[i]] * len(others)
-            v += node[others].tolist()
-        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+            others, at = np.unique(group[near], return_index=True)
+            for other, k in zip(others.tolist(), near[at].tolist()):
+                if other != group[i]:
+                    links.append(sorted((int(node[i]), int(node[k]))))
+                    group[group == other] = group[i]
+        return pa.table({"u": pa.array([b for _, b in links], pa.int64()), "v": pa.array([a for a, _ in links], pa.int64())})
 
     return run
 
