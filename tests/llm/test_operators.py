@@ -755,8 +755,32 @@ def test_rounds_leave_one_table(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(runtime, "base_dir", lambda s: str(tmp_path))  # without a scheme: on the default file system
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)], "u long, v long")
     assert {r.component for r in components.components(edges).collect()} == {0}
-    assert len(os.listdir(tmp_path)) == 1
-    assert runtime.shared_dir(spark).startswith(f"file://{tmp_path}/veilspark-")
+    (folder,) = os.listdir(tmp_path)
+    assert len(os.listdir(tmp_path / folder)) == 1
+    assert runtime.shared_dir(spark).startswith(f"file://{tmp_path}/{folder}/")
+
+
+def test_nothing_is_left_when_the_driver_ends(tmp_path):
+    """A driver of its own writes tables and ends; its folder is gone, the shared one stays."""
+    import os
+    import subprocess
+    import sys
+    import time
+
+    code = f"""
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "{tmp_path}/shared").getOrCreate()
+import os
+from veilspark.llm import runtime
+assert runtime.cut(spark.range(3)).count() == 3 and len(os.listdir("{tmp_path}/shared")) >= 1
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.getcwd(), timeout=300)
+    left = lambda: [x for x in os.listdir(tmp_path / "shared") if x.startswith("veilspark-")]
+    for _ in range(60):  # the JVM ends a little later than Python
+        if not left():
+            break
+        time.sleep(0.5)
+    assert not left()
 
 
 def test_invalid_bytes_in_a_string_column(spark):

@@ -49,12 +49,20 @@ def base_dir(spark: SparkSession) -> str:
     return _OWN[0]
 
 
+#: By application and shared folder: the folder that holds what this application writes there.
+_FOLDERS: dict[tuple[str, str], str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """URI of a fresh folder below base_dir(); it is deleted when the driver ends."""
-    fs_, path = _hadoop(spark, posixpath.join(base_dir(spark), f"veilspark-{uuid.uuid4().hex}"))
-    fs_.deleteOnExit(path)
-    uri = path.toString()
-    return "file://" + uri.removeprefix("file:") if uri.startswith("file:/") and not uri.startswith("file://") else uri
+    """URI of a fresh folder, in this application's folder below base_dir(), which is deleted when the driver ends."""
+    key = spark.sparkContext.applicationId, base_dir(spark)
+    if key not in _FOLDERS:
+        fs_, path = _hadoop(spark, posixpath.join(key[1], f"veilspark-{uuid.uuid4().hex}"))
+        fs_.mkdirs(path)
+        fs_.deleteOnExit(path)
+        uri = path.toString()
+        _FOLDERS[key] = "file://" + uri.removeprefix("file:") if uri.startswith("file:/") and not uri.startswith("file://") else uri
+    return f"{_FOLDERS[key]}/{uuid.uuid4().hex}"
 
 
 def drop(spark: SparkSession, *uris: str) -> None:
