@@ -283,14 +283,19 @@ def fuzzy_best(values: DataFrame, table: DataFrame, cap: int) -> DataFrame:
 
     Candidates share a string after up to cap deletions: an equi-join with no pair of
     unlike lengths or contents, exact for caps up to 2. Distances are verified.
-    Rows of one key with different replacements make it ambiguous.
+    Rows of one key with different replacements make it ambiguous. A value that is a key needs no
+    deletions: nothing else is as near. Both sides are shuffled, since their sizes are
+    estimated before they are exploded and so would look fit to be broadcast.
     """
-    v = values.select("value").distinct().select("value", F.explode(deletions(F.col("value"), cap)).alias("d"))
-    t = table.select("key", "replacement").distinct().select("key", "replacement", F.explode(deletions(F.col("key"), cap)).alias("d"))
-    pairs = v.join(t, "d").select("value", "key", "replacement").distinct().withColumn("distance", X.distance(F.col("value"), F.col("key"), cap)).where(F.col("distance") <= cap)
+    keys, listed = table.select("key", "replacement").distinct(), values.select("value").distinct()
+    same = listed.join(keys.hint("merge"), F.col("value") == F.col("key")).groupBy("value").agg(F.count("*").alias("n"), F.first("key").alias("key"), F.first("replacement").alias("replacement"))
+    rest = listed.join(keys.select("key").hint("merge"), F.col("value") == F.col("key"), "left_anti")
+    v = rest.select("value", F.explode(deletions(F.col("value"), cap)).alias("d"))
+    t = keys.select("key", "replacement", F.explode(deletions(F.col("key"), cap)).alias("d"))
+    pairs = v.join(t.hint("merge"), "d").select("value", "key", "replacement").distinct().withColumn("distance", X.distance(F.col("value"), F.col("key"), cap)).where(F.col("distance") <= cap)
     w = W.partitionBy("value").orderBy("distance", "key", "replacement")
     best = pairs.withColumn("r", F.row_number().over(w)).withColumn("runner_up", F.lead("distance").over(w)).where("r = 1 AND (runner_up IS NULL OR runner_up > distance)")
-    return best.select("value", "key", "replacement", "distance")
+    return best.select("value", "key", "replacement", "distance").unionByName(same.where("n = 1").select("value", "key", "replacement", F.lit(0).alias("distance")))
 
 
 #: Shapes of misread IBANs and AHV numbers, the countries of the former, and what may follow one (fixed values).
