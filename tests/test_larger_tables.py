@@ -2,6 +2,7 @@
 
 import pytest
 
+from veilspark.operators import candidates as CAND
 from veilspark.operators import layout as L
 from veilspark.plans import catalog
 
@@ -12,7 +13,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["q_fuzzy_best"])
+@pytest.mark.parametrize("name", ["q_fuzzy_best", "q_leak_suspects"])
 def test_deletions_are_not_broadcast(spark, name):
     assert "BroadcastExchange" not in plan(catalog.QUERIES[name](spark, SF))
 
@@ -23,3 +24,9 @@ def test_fuzzy_best_of_keys_and_near_keys(spark):
     got = {tuple(r) for r in L.fuzzy_best(values, table, 1).collect()}
     # annax is as near to anna as to annas; bert has two replacements
     assert got == {("anna", "anna", "A", 0), ("ann", "anna", "A", 1), ("car", "carl", "E", 1)}
+
+
+def test_leak_suspects_by_stages(spark):
+    found = spark.createDataFrame([("Anna Muster",), ("Anna Mustre CHF",), ("Anna Mxstyz",), ("Ann-Kathrin Keller",), ("Anx-Kathrin Kellex",), ("Anx-Kathrxn Kellex",), (None,)], "value string")
+    known = spark.createDataFrame([("annamuster",), ("Anna-Mustre",), ("Ann-Kathrin Keller",)], "replacement string")
+    assert sorted(r.value or "" for r in CAND.leak_suspects(found, known).collect()) == ["", "Anna Mxstyz", "Anx-Kathrxn Kellex"]

@@ -12,6 +12,8 @@ from . import detect, layout, mapping, mask
 NAME_TYPES = ("FIRST_NAME", "LAST_NAME", "STREET_ADDRESS", "POSTAL_CITY")
 #: Readings of at least this confidence are never taken for a misread name.
 SURE = 85
+#: A value of more characters than this may be two edits from a replacement.
+LONG = 12
 COLUMNS = ["file", "line", "s", "e", "dtype", "value", "replacement", "method"]
 
 
@@ -97,14 +99,16 @@ def leak_suspects(found: DataFrame, replacements: DataFrame) -> DataFrame:
     """Candidates (.., value) read from masked output that are no known replacement (replacement).
 
     A value counts as known if it is, with or without a last token of two to four letters, within
-    one edit of a replacement, or within two beyond twelve characters.
+    one edit of a replacement, or within two beyond twelve characters. Values that no edit, then that one
+    edit explains go first, so that only the rest meets replacements by two deletions.
     """
-    known = replacements.select(X.casefold(X.norm(F.col("replacement"))).alias("key")).distinct().withColumn("replacement", F.lit(""))
+    known = replacements.select(X.casefold(X.norm(F.col("replacement"))).alias("key")).distinct()
     forms = F.array(F.col("value"), F.regexp_replace("value", r"\s+[A-Za-z]{2,4}$", ""))
-    tried = found.select("value").distinct().select("value", F.explode(F.array_distinct(F.transform(forms, lambda v: X.casefold(X.norm(v))))).alias("form"))
-    hits = []
-    for cap, size in ((1, F.length("form") <= 12), (2, F.length("form") > 12)):
-        t = tried.where(size).select("value", F.explode(layout.deletions(F.col("form"), cap)).alias("d"), "form")
-        k = known.select("key", F.explode(layout.deletions(F.col("key"), cap)).alias("d"))
-        hits.append(t.join(k, "d").where(X.distance(F.col("form"), F.col("key"), cap) <= cap).select("value"))
-    return found.join(hits[0].union(hits[1]).distinct(), "value", "left_anti")
+    rest = found.select("value").distinct().select("value", F.explode(F.array_distinct(F.transform(forms, lambda v: X.casefold(X.norm(v))))).alias("form"))
+    for cap, least in ((0, 0), (1, 0), (2, LONG)):
+        t = rest.where(F.length("form") > least).select("value", F.explode(layout.deletions(F.col("form"), cap)).alias("d"), "form") if cap else rest.select("value", F.col("form").alias("d"), "form")
+        k = known.where(F.length("key") > least - cap).select("key", F.explode(layout.deletions(F.col("key"), cap)).alias("d")) if cap else known.select("key", F.col("key").alias("d"))
+        hits = t.join(k.hint("merge"), "d").where(X.distance(F.col("form"), F.col("key"), cap) <= cap).select("value").distinct().hint("merge")
+        rest = rest.join(hits, "value", "left_anti")
+    left = rest.select(F.col("value").alias("left")).distinct().hint("merge")
+    return found.join(left, F.col("value").eqNullSafe(F.col("left")), "left_semi")
