@@ -1,8 +1,11 @@
 """Joins and searches whose cost must follow the tables: nothing exploded is broadcast, no text is searched once a value."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from veilspark.functions import text as X
 from veilspark.operators import candidates as CAND
+from veilspark.operators import evaluate as E
 from veilspark.operators import layout as L
 from veilspark.plans import catalog
 
@@ -30,3 +33,26 @@ def test_leak_suspects_by_stages(spark):
     found = spark.createDataFrame([("Anna Muster",), ("Anna Mustre CHF",), ("Anna Mxstyz",), ("Ann-Kathrin Keller",), ("Anx-Kathrin Kellex",), ("Anx-Kathrxn Kellex",), (None,)], "value string")
     known = spark.createDataFrame([("annamuster",), ("Anna-Mustre",), ("Ann-Kathrin Keller",)], "replacement string")
     assert sorted(r.value or "" for r in CAND.leak_suspects(found, known).collect()) == ["", "Anna Mxstyz", "Anx-Kathrxn Kellex"]
+
+
+def test_ground_truth_does_not_copy_documents(spark):
+    p = plan(catalog.q_leaks_by_type(spark, SF))
+    # each text is cut into pieces once; no ground truth row carries a text
+    assert "regexp_extract_all(piece" in p and "contains(edges" not in p
+
+
+CASES = ["anna", "Anna", "ANNA  muster", "a", "", " ", "C++", "+41", "anna-", "-", "ß", "SS", "annamuster", "x.y", "end", "[a", "\\E", "Zoë 1", "mu", "r\u0001s", "very " * 300 + "long", "😀b", "long very", None]
+TEXTS = ["Anna Muster, annas C++ and C+++ x.yz [a] \\E Straße SS end", "", " ", "é" * 2047 + " anna", "o" * 2046 + "-anna muster", "very " * 2000 + "long end", "q" * 5000 + "anna😀b C++" + "z" * 2039 + "C++ Zoë\n1 r\u0001s", "C++", "anna" * 1500]
+
+
+def test_occurring_equals_contains(spark):
+    truth = spark.createDataFrame(
+        [(f"{i}-{j}-{t}-{k}", str(i), k, "", "", "", "", "", t, v, "plain", "PSEUDONYMIZE", "C++", "") for i in range(len(TEXTS)) for j, v in enumerate(CASES) for t in ("LAST_NAME", "IBAN") for k in ("text", "image")],
+        "gt_id string, document string, location_type string, page string, sheet string, cell string, paragraph string, section string, data_type string, value string, variant string, expected_action string, expected_replacement string, strict_replacement string",
+    )
+    outputs = spark.createDataFrame([(str(i), x, x) for i, x in enumerate(TEXTS)], "document string, text string, image_text string").selectExpr("document", "text", "cast(null as array<string>) pages", "cast(null as map<string,string>) locs", "image_text", "cast(null as map<int,string>) page_ocr", "cast(null as string) embedded_text")
+    has = lambda c: X.contains_value(F.col("scope"), F.col(c), F.col("data_type"), F.col("is_ocr"))
+    want = {r.gt_id: (r.leaked, r.replaced) for r in E.scoped(truth, outputs).select("gt_id", has("value").alias("leaked"), has("expected_replacement").alias("replaced")).collect()}
+    got = {r.gt_id: (r.leaked, r.replaced) for r in E.judged(truth, outputs).collect()}
+    assert {k: (got[k], v) for k, v in want.items() if got[k] != v} == {} and len(got) == len(want)
+    assert 0 < sum(a for a, _ in got.values()) < len(got)

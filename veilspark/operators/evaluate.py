@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from . import search as S
 
 LEAK_EXAMPLES, DECOY_EXAMPLES, SURFACE_EXAMPLES, TOKEN_EXAMPLES = 15, 10, 6, 20
 
@@ -73,15 +74,33 @@ def scoped(truth: DataFrame, outputs: DataFrame) -> DataFrame:
     return _joined(truth, outputs).select(*truth.columns, "present", F.when(F.col("present"), F.coalesce(_scope("text"), F.lit(""))).alias("scope"), "is_ocr")
 
 
+#: What tells the texts apart that ground truth rows are looked for in.
+PLACE = ["document", "location_type", "page", "sheet", "cell", "paragraph"]
+
+
 def judged(truth: DataFrame, outputs: DataFrame, strict: bool = False) -> DataFrame:
-    """Ground truth with present, is_ocr, must_hide, leaked, replaced and kept; a missing document leaks all it had to hide."""
+    """Ground truth with present, is_ocr, must_hide, leaked, replaced and kept; a missing document leaks all it had to hide.
+
+    Each text is searched once for all values and replacements that are looked for in it (search.occurring).
+    """
     hide = (F.col("expected_action") == "PSEUDONYMIZE") | (F.lit(strict) & F.col("present"))
     target = F.when(F.lit(strict) & (F.col("expected_action") == "KEEP"), F.col("strict_replacement")).otherwise(F.col("expected_replacement"))
-    folded, squeezed, edges = (F.coalesce(_scope(f), F.lit("")) for f in ("folded", "squeezed", "edges"))
-    has = lambda v: F.coalesce(X.contains_prepared(folded, squeezed, edges, v, F.col("data_type"), F.col("is_ocr")), F.lit(False))
-    there, swapped = has(F.col("value")), has(target)
-    rows = _joined(truth, outputs)
-    return rows.select(*truth.columns, "present", "is_ocr", hide.alias("must_hide"), (hide & F.when(F.col("present"), there).otherwise(True)).alias("leaked"), (hide & F.col("present") & swapped).alias("replaced"), (~hide & F.col("present") & there).alias("kept"))
+    sid = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in PLACE]).alias("sid")
+    texts = truth.select(*PLACE).distinct().join(_prepared(outputs).hint("merge"), "document")
+    forms = F.array(*[F.struct(F.lit(m).alias("mode"), F.coalesce(_scope(form), F.lit("")).alias("text")) for m, form in ((S.SQUEEZED, "squeezed"), (S.EDGES, "edges"), (S.FOLDED, "folded"))])
+    texts = texts.select(sid, F.explode(forms).alias("t")).select("sid", "t.*")
+
+    there = outputs.select("document", F.lit(True).alias("present")).distinct()
+    rows = truth.join(there, "document", "left").withColumn("present", F.coalesce("present", F.lit(False))).withColumn("is_ocr", F.col("present") & (F.col("location_type") == "image"))
+    key = lambda value: F.when(F.col("present"), S.key_of(value, F.col("data_type"), F.col("is_ocr")))
+    # a replacement counts only where something is to be hidden
+    rows = rows.select(*truth.columns, "present", "is_ocr", sid, key(F.col("value")).alias("there_key"), F.when(F.coalesce(hide, F.lit(True)), key(target)).alias("swapped_key"))
+    needles = rows.select("sid", F.explode(F.array("there_key", "swapped_key")).alias("key")).where("key IS NOT NULL").distinct()
+    found = S.occurring(texts, needles.select("sid", F.left("key", F.lit(1)).alias("mode"), F.substr("key", F.lit(2)).alias("needle")))
+    for name in ("there", "swapped"):
+        hit = found.select("sid", F.concat("mode", "needle").alias(f"{name}_key"), F.lit(True).alias(name))
+        rows = rows.join(hit.hint("merge"), ["sid", f"{name}_key"], "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    return rows.select(*truth.columns, "present", "is_ocr", hide.alias("must_hide"), (hide & F.when(F.col("present"), F.col("there")).otherwise(True)).alias("leaked"), (hide & F.col("present") & F.col("swapped")).alias("replaced"), (~hide & F.col("present") & F.col("there")).alias("kept"))
 
 
 def _counts() -> list[Column]:
