@@ -173,18 +173,21 @@ def format_validity(outputs: DataFrame, decoys: DataFrame) -> DataFrame:
 
 def decoys_modified(outputs: DataFrame, decoys: DataFrame) -> DataFrame:
     """Per document: its decoys (document, value) and how many of them are no longer in its text."""
-    rows = decoys.where("value <> ''").join(outputs.select("document", "text"), "document")
-    return rows.groupBy("document").agg(F.count("*").alias("decoys_total"), F.count_if(_gone()).alias("decoys_modified"))
+    return _looked_for(outputs, decoys.select("document", "value")).groupBy("document").agg(F.count("*").alias("decoys_total"), F.count_if("gone").alias("decoys_modified"))
 
 
-def _gone() -> Column:
-    return ~F.contains(X.casefold(X.norm(F.col("text"))), X.casefold(X.norm(F.col("value"))))
+def _looked_for(outputs: DataFrame, decoys: DataFrame) -> DataFrame:
+    """decoys (document, value, ..) that aren't empty, of documents that are there, with `gone`: not in the document's text without regard to white space and case."""
+    rows = decoys.where("value <> ''").join(outputs.select("document").distinct().hint("merge"), "document").withColumn("needle", X.squeeze(F.col("value")))
+    kind = F.lit(S.SQUEEZED).alias("mode")
+    texts = outputs.select(F.col("document").alias("sid"), kind, X.squeeze(F.col("text")).alias("text"))
+    found = S.occurring(texts, rows.select(F.col("document").alias("sid"), kind, "needle")).select(F.col("sid").alias("document"), "needle", F.lit(True).alias("there"))
+    return rows.join(found.hint("merge"), ["document", "needle"], "left").withColumn("gone", F.col("there").isNull()).select(*decoys.columns, "gone")
 
 
 def decoy_examples(outputs: DataFrame, decoys: DataFrame, n: int = DECOY_EXAMPLES, order: str = "value") -> DataFrame:
     """Per document its first n modified decoys (document, value) by the decoys' column `order`."""
-    ranked = decoys.where("value <> ''").select("document", "value", F.col(order).alias("at"))
-    rows = ranked.join(outputs.select("document", "text"), "document").where(_gone())
+    rows = _looked_for(outputs, decoys.select("document", "value", F.col(order).alias("at"))).where("gone")
     rows = rows.withColumn("r", F.row_number().over(W.partitionBy("document").orderBy("at", "value"))).where(F.col("r") <= n)
     return rows.groupBy("document").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "value"))), lambda x: x["value"]).alias("decoys_modified_examples"))
 
