@@ -105,7 +105,7 @@ def rarest_tokens(keys: DataFrame) -> DataFrame:
     tokens = keys.select("key", F.explode(matches(F.col("key"), r"\w+")).alias("t")).select("key", F.col("t.value").alias("token"), F.col("t.s").alias("lead"))
     shared = tokens.groupBy("token").agg(F.count_distinct("key").alias("n"))
     best = F.min_by(F.struct("token", "lead"), F.struct("n", -F.length("token"), "lead"))
-    return tokens.join(shared, "token").groupBy("key").agg(best.alias("r")).select("key", "r.*")
+    return tokens.join(shared.hint("merge"), "token").groupBy("key").agg(best.alias("r")).select("key", "r.*")
 
 
 def token_join_spans(texts: DataFrame, keys: DataFrame) -> DataFrame:
@@ -114,7 +114,8 @@ def token_join_spans(texts: DataFrame, keys: DataFrame) -> DataFrame:
     keys: one column `key`. No cost grows with keys times texts; frequent tokens
     are spread by AQE's skew handling. Rows without a hit are absent. By the
     boundary rules every token of a key is a whole token of the text. A key of marks
-    alone lies in a run of marks and is found by its first LEAST_KEY marks.
+    alone lies in a run of marks and is found by its first LEAST_KEY marks. Tokens and hits are
+    shuffled: they are exploded after their size is estimated, and so would look fit to be broadcast.
     """
     listed = keys.where(F.length("key") >= LEAST_KEY).select("key").distinct()
     marks = listed.where(F.size(matches(F.col("key"), r"\w")) == 0).select("key", F.left("key", F.lit(LEAST_KEY)).alias("token"), F.lit(0).alias("lead"))
@@ -122,7 +123,7 @@ def token_join_spans(texts: DataFrame, keys: DataFrame) -> DataFrame:
     tokens = texts.select("row_id", F.explode(matches(F.col("text"), r"\w+")).alias("t")).select("row_id", F.col("t.s").alias("at"), F.col("t.value").alias("token"))
     runs = texts.select("row_id", F.explode(matches(F.col("text"), rf"\W{{{LEAST_KEY},}}")).alias("t")).select("row_id", "t.*", F.explode(F.sequence("t.s", F.col("t.e") - LEAST_KEY)).alias("at"))
     tokens = tokens.unionByName(runs.select("row_id", "at", F.substr("value", F.col("at") - F.col("s") + 1, F.lit(LEAST_KEY)).alias("token")))
-    hit = tokens.join(keyed, "token").select("row_id", (F.col("at") - F.col("lead")).cast("int").alias("s"), "key").where("s >= 0")
+    hit = tokens.join(keyed.hint("merge"), "token").select("row_id", (F.col("at") - F.col("lead")).cast("int").alias("s"), "key").where("s >= 0")
     # the text joins in once a row, where it has a candidate at all
     listed_hits = hit.groupBy("row_id").agg(F.collect_list(F.struct("s", (F.col("s") + F.length("key")).cast("int").alias("e"), F.lit("").alias("dtype"), F.col("key").alias("value"), F.lit(0).alias("rank"))).alias("spans"))
     text = F.col("text")
@@ -131,7 +132,7 @@ def token_join_spans(texts: DataFrame, keys: DataFrame) -> DataFrame:
         before, after = F.substr(text, p["s"], F.when(p["s"] > 0, 1).otherwise(0)), F.substr(text, p["e"] + 1, F.lit(1))
         return (F.substr(text, p["s"] + 1, F.length(p["value"])) == p["value"]) & ~before.rlike(r"(?U)[\w@.]") & ~after.rlike(r"(?U)[\w@]")
 
-    found = texts.select("row_id", "text").join(listed_hits, "row_id").select("row_id", F.filter("spans", holds).alias("spans")).where(F.size("spans") > 0)
+    found = texts.select("row_id", "text").join(listed_hits.hint("merge"), "row_id").select("row_id", F.filter("spans", holds).alias("spans")).where(F.size("spans") > 0)
     return found.select("row_id", resolve(F.col("spans").cast(SPANS)).alias("spans"))
 
 
@@ -141,4 +142,4 @@ def dictionary_spans(texts: DataFrame, keys: DataFrame, regex_keys: int = REGEX_
     if len(known) <= regex_keys:
         return texts.withColumn("spans", matches(F.col("text"), dictionary_pattern(known)) if known else F.expr(f"cast(array() as {SPANS})"))
     found = token_join_spans(texts, keys)
-    return texts.join(found, "row_id", "left").withColumn("spans", F.coalesce("spans", F.expr(f"cast(array() as {SPANS})")))
+    return texts.join(found.hint("merge"), "row_id", "left").withColumn("spans", F.coalesce("spans", F.expr(f"cast(array() as {SPANS})")))

@@ -76,12 +76,12 @@ def resolved_spans(texts: DataFrame, table: DataFrame, key: bytes, *, order: str
     resolved = by_value.where(~(F.col("known") & silent)).select("value", "known", F.col("pattern"), F.when(F.col("known"), hit_type).otherwise(F.col("pattern")).alias("dtype"), rep.alias("replacement"))
     located = every.select("row_id", "span.s", "span.e", "span.rank", F.col("span.value").alias("value"), (F.col("span.rank") == 0).alias("known"), F.when(F.col("span.rank") > 0, F.col("span.dtype")).alias("pattern"))
     same = (located["value"] == resolved["value"]) & (located["known"] == resolved["known"]) & located["pattern"].eqNullSafe(resolved["pattern"])
-    joined = located.join(resolved, same).select("row_id", F.struct("s", "e", resolved["dtype"], located["value"], "rank", cased(resolved["dtype"], located["value"], F.col("replacement")).alias("replacement")).alias("span"))
+    joined = located.join(resolved.hint("merge"), same).select("row_id", F.struct("s", "e", resolved["dtype"], located["value"], "rank", cased(resolved["dtype"], located["value"], F.col("replacement")).alias("replacement")).alias("span"))
     return joined.groupBy("row_id").agg(F.collect_list("span").alias("spans")).select("row_id", detect.resolve(F.col("spans").cast(REPLACED), REPLACED).alias("spans"))
 
 
 def mask(texts: DataFrame, table: DataFrame, key: bytes, **options) -> DataFrame:
     """Mask texts (row_id, text): row_id, text, masked and log. Options are those of resolved_spans(). Null text stays null with an empty log."""
     spans = resolved_spans(texts, table, key, **options)
-    out = texts.select("row_id", "text").join(spans, "row_id", "left").withColumn("spans", F.coalesce("spans", F.expr(f"cast(array() as {REPLACED})")))
+    out = texts.select("row_id", "text").join(spans.hint("merge"), "row_id", "left").withColumn("spans", F.coalesce("spans", F.expr(f"cast(array() as {REPLACED})")))
     return out.select("row_id", "text", rewrite(F.col("text"), F.col("spans")).alias("masked"), log(F.col("spans")).alias("log"))
