@@ -36,7 +36,7 @@ def test_leak_suspects_by_stages(spark):
     assert sorted(r.value or "" for r in CAND.leak_suspects(found, known).collect()) == ["", "Anna Mxstyz", "Anx-Kathrxn Kellex"]
 
 
-@pytest.mark.parametrize("name", ["q_leaks_by_type", "q_leak_list", "q_leaks_by_document", "q_coherence"])
+@pytest.mark.parametrize("name", ["q_leaks_by_type", "q_leak_list", "q_leaks_by_document", "q_coherence", "q_verdict"])
 def test_ground_truth_does_not_copy_documents(spark, name):
     p = plan(catalog.QUERIES[name](spark, SF))
     # each text is cut into pieces once; no ground truth row carries a text
