@@ -1,5 +1,7 @@
 """Joins and searches whose cost must follow the tables: nothing exploded is broadcast, no text is searched once a value."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,3 +77,31 @@ def test_dictionary_tokens_are_not_broadcast(spark):
     texts = spark.createDataFrame([(1, "Anna Muster, Anna")], "row_id long, text string")
     found = D.token_join_spans(texts, spark.createDataFrame([("Anna",), ("Muster",)], "key string"))
     assert "BroadcastExchange" not in plan(found) and [s.value for s in found.first().spans] == ["Anna", "Muster", "Anna"]
+
+
+def test_trusted_words_are_dealt_once(spark):
+    p = plan(catalog.QUERIES["q_trusted_words"](spark, SF))
+    # documents by their id, and no word after that
+    assert p.count("Exchange") == 1 and "Join" not in p
+
+
+def test_trusted_words_against_a_loop(spark):
+    r = random.Random(8)
+    words = []
+    for i in range(400):
+        x, y = r.randrange(-80, 300), r.randrange(-40, 140)
+        w, h = (r.randrange(0, 400), r.randrange(0, 90)) if i % 10 == 0 else (r.randrange(10, 60), r.randrange(8, 16))
+        words.append((r.choice("fg"), r.choice((1, 2, 3)), i, x, y, x + w, y + h, float(r.choice((20, 40, 60, 90))), r.choice(("ab", "AB", "abc", "a b", "abcd", "ß", "a"))))
+        if i % 2:
+            f, _, _, x, y, u, v, _, t = words[-1]
+            words.append((f, r.choice((1, 2, 3)), 1000 + i, x + r.randrange(-9, 9), y + r.randrange(-4, 4), u + r.randrange(9), v, 50.0, t))
+    words += [("f", 1, 2000, None, 1, 5, 5, 90.0, "ab"), ("f", 2, 2001, None, 1, 5, 5, 50.0, "ab"), (None, 1, 2002, 1, 1, 5, 5, 90.0, "ab"), (None, 2, 2003, 1, 1, 5, 5, 50.0, "ab")]
+    fold = lambda t: t.lower().replace(" ", "").replace("ß", "ss")
+    # the texts are such that one edit is a length of one more, or the same text
+    alike = lambda s, t: s == t or s[:-1] == t or t[:-1] == s
+    usable = [w for w in words if w[7] >= 30 and len(w[8]) >= 2]
+    area = lambda a, b: max(0, min(a[5], b[5]) - max(a[3], b[3])) * max(0, min(a[6], b[6]) - max(a[4], b[4]))
+    met = lambda a: any(a[0] == b[0] and a[1] != b[1] and area(a, b) > 0.5 * (a[5] - a[3]) * (a[6] - a[4]) and alike(fold(a[8]), fold(b[8])) for b in usable if None not in b)
+    want = sorted(a[2] for a in usable if a[7] >= 75 or None not in a and met(a))
+    got = L.trusted_words(spark.createDataFrame(words, "file string, pass int, word_id int, x0 int, y0 int, x1 int, y1 int, conf double, text string"))
+    assert sorted(x.word_id for x in got.collect()) == want and 0 < len(want) < len(usable) and len([a for a in usable if a[7] < 75 and a[2] in want]) > 20

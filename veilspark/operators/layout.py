@@ -161,17 +161,30 @@ def near_labels(boxes: DataFrame, labels: DataFrame, reach: int = 250) -> DataFr
     return boxes.join(found.distinct(), ["file", "box_id"], "left_semi")
 
 
-def trusted_words(words: DataFrame, sure: float = 75, least: float = 30, cap: int = 1) -> DataFrame:
-    """Words (file, pass, word_id, x0..y1, conf, text) of two characters and more that are surely read, or that another pass reads alike: more than half of the box, edit distance at most cap."""
-    usable = words.where((F.col("conf") >= least) & (F.length("text") >= 2)).withColumn("folded", X.casefold(X.norm(F.col("text"))))
-    sides = (F.col("x0"), F.col("x1")), (F.col("y0"), F.col("y1"))
-    a, b = _in_cells(usable.where(F.col("conf") < sure), *sides, CELL).alias("a"), _in_cells(usable, *sides, CELL).alias("b")
-    meet = (F.col("a.file") == F.col("b.file")) & (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy")) & (F.col("a.pass") != F.col("b.pass"))
-    alike = X.distance(F.col("a.folded"), F.col("b.folded"), cap) <= cap
-    most = overlap_area("a", "b") > 0.5 * (F.col("a.x1") - F.col("a.x0")) * (F.col("a.y1") - F.col("a.y0"))
-    key = ["file", "pass", "word_id"]
-    stable = a.join(b, meet & most & alike, "left_semi").select(*key).distinct()
-    return usable.where(F.col("conf") >= sure).unionByName(usable.where(F.col("conf") < sure).join(stable, key, "left_semi")).drop("folded")
+def trusted_words(words: DataFrame, sure: float = 75, least: float = 30, cap: int = 1, cell: int = CELL // 2) -> DataFrame:
+    """Words (file, pass, word_id, x0..y1, conf, text) of two characters and more that are surely read, or that another pass reads alike: more than half of the box, edit distance at most cap.
+
+    What covers more than half of a box covers its middle, so a word meets the others in the one cell that holds its middle.
+    A window gathers the words that touch a cell; unlike a join, it leaves words that are dealt by file where they are.
+    """
+    usable = words.where((F.col("conf") >= least) & (F.length("text") >= 2))
+    x0, y0, x1, y1 = map(F.col, ("x0", "y0", "x1", "y1"))
+    # a word without a place has a cell of its own kind; nothing meets it there
+    touched = lambda lo, hi: F.explode(F.coalesce(F.sequence(F.floor(lo / cell), F.floor(F.greatest(lo, hi) / cell)), F.array(F.lit(None).cast("long"))))
+    home = lambda c, lo, hi: F.col(c).eqNullSafe(F.greatest(F.floor(lo / cell), F.floor((lo + hi) / (2 * cell))))
+    parts = ["pass", "x0", "y0", "x1", "y1", "text"]
+    folded = lambda c: X.casefold(X.norm(c))
+
+    def alike(b: Column) -> Column:
+        middle = (2 * b["y0"] <= y0 + y1) & (2 * b["y1"] >= y0 + y1) & (2 * b["x0"] <= x0 + x1) & (2 * b["x1"] >= x0 + x1)
+        area = (F.least(x1, b["x1"]) - F.greatest(x0, b["x0"])) * (F.least(y1, b["y1"]) - F.greatest(y0, b["y0"]))
+        return middle & (F.col("pass") != b["pass"]) & (area > 0.5 * (x1 - x0) * (y1 - y0)) & (X.distance(folded(F.col("text")), folded(b["text"]), cap) <= cap)
+
+    # as one column, what the window gathers is sorted once and not twice
+    placed = usable.withColumn("cx", touched(x0, x1)).withColumn("cy", touched(y0, y1)).withColumn("word", F.struct(*parts)).drop(*parts)
+    met = placed.withColumn("near", F.collect_list("word").over(W.partitionBy("file", "cx", "cy"))).withColumns({c: F.col("word")[c] for c in parts})
+    found = (F.col("conf") >= sure) | (F.col("file").isNotNull() & F.exists("near", alike))
+    return met.where(home("cx", x0, x1) & home("cy", y0, y1) & found).select(*words.columns)
 
 
 def ocr_union(words: DataFrame) -> DataFrame:

@@ -230,9 +230,13 @@ SELECT file, pass, box_id AS word_id FROM w a WHERE conf >= 75 OR EXISTS (SELECT
  AND levenshtein(replace(translate(lower(a.text), 'ς', 'σ'), 'ß', 'ss'), replace(translate(lower(v.text), 'ς', 'σ'), 'ß', 'ss')) <= 1)""")
 def q_trusted_words(spark, d):
     k = F.col("word_id")
-    one = _words(spark, d).select("file", F.lit(1).alias("pass"), (F.col("line") * 10 + F.col("x") / 50).cast("long").alias("word_id"), F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + F.col("w")).alias("x1"), (F.col("y") + F.col("h")).alias("y1"), "conf", "text")
-    two = one.withColumns({"pass": F.lit(2), "x0": F.col("x0") + 1, "x1": F.col("x1") + 1, "text": F.when(k % 3 == 0, F.concat("text", F.lit("qq"))).when(k % 3 == 1, F.concat("text", F.lit("q"))).otherwise(F.col("text"))})
-    return L.trusted_words(one.unionByName(two)).select("file", "pass", "word_id")
+    one = _words(spark, d).select("file", (F.col("line") * 10 + F.col("x") / 50).cast("long").alias("word_id"), F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + F.col("w")).alias("x1"), (F.col("y") + F.col("h")).alias("y1"), "conf", "text")
+    # both passes come from each word where it is: a union would deal all words anew
+    two = one.withColumn("pass", F.explode(F.array(F.lit(1), F.lit(2))))
+    first = F.col("pass") == 1
+    shift = {c: F.when(first, F.col(c)).otherwise(F.col(c) + 1) for c in ("x0", "x1")}
+    text = F.when(first | (k % 3 == 2), F.col("text")).when(k % 3 == 0, F.concat("text", F.lit("qq"))).otherwise(F.concat("text", F.lit("q")))
+    return L.trusted_words(two.withColumns(shift | {"text": text})).select("file", "pass", "word_id")
 
 
 @query(rf"""WITH {SQL_ENTITIES} SELECT k, array_to_string(regexp_extract_all('Konto ' || iban || ' bis, XX00 1234 5678 9012', '{L.LOOSE_IBAN.replace("(?:[ ]", "(?:[ ]")}')[1:1], '|') AS ibans, ahv AS ahvs FROM entities""")
