@@ -105,3 +105,18 @@ def test_trusted_words_against_a_loop(spark):
     want = sorted(a[2] for a in usable if a[7] >= 75 or None not in a and met(a))
     got = L.trusted_words(spark.createDataFrame(words, "file string, pass int, word_id int, x0 int, y0 int, x1 int, y1 int, conf double, text string"))
     assert sorted(x.word_id for x in got.collect()) == want and 0 < len(want) < len(usable) and len([a for a in usable if a[7] < 75 and a[2] in want]) > 20
+
+
+def test_needles_are_made_once(spark):
+    rows = catalog.QUERIES["q_leaks_grouping_sets"](spark, SF)
+    assert rows.collect()
+    final = plan(rows).split("== Initial Plan ==")[0]
+    # the pattern side, the join and the long needles read one exchange
+    assert final.count("explode(array(there_key") == 1
+
+
+@pytest.mark.parametrize("name", ["q_leak_list", "q_leaks_by_document", "q_leaks_grouping_sets", "q_verdict", "q_decoy_examples", "q_coherence"])
+def test_identities_are_not_made_by_the_task_that_reads(spark, name):
+    # customers of a file with one row group are dealt before their check digits are made
+    p = plan(catalog.QUERIES[name](spark, SF))
+    assert "hashpartitioning(c_custkey" in p

@@ -95,10 +95,11 @@ def judged(truth: DataFrame, outputs: DataFrame, strict: bool = False) -> DataFr
     key = lambda value: F.when(F.col("present"), S.key_of(value, F.col("data_type"), F.col("is_ocr")))
     # a replacement counts only where something is to be hidden
     rows = rows.select(*truth.columns, "present", "is_ocr", sid, key(F.col("value")).alias("there_key"), F.when(F.coalesce(hide, F.lit(True)), key(target)).alias("swapped_key"))
-    needles = rows.select("sid", F.explode(F.array("there_key", "swapped_key")).alias("key")).where("key IS NOT NULL").distinct()
+    needles = rows.select("sid", F.explode(F.array("there_key", "swapped_key")).alias("key")).where("key IS NOT NULL")
     found = S.occurring(texts, needles.select("sid", F.left("key", F.lit(1)).alias("mode"), F.substr("key", F.lit(2)).alias("needle")))
     for name in ("there", "swapped"):
-        hit = found.select("sid", F.concat("mode", "needle").alias(f"{name}_key"), F.lit(True).alias(name))
+        # never null: a filter that the join infers would keep the needles from being dealt once
+        hit = found.select("sid", F.coalesce(F.concat("mode", "needle"), F.lit("")).alias(f"{name}_key"), F.lit(True).alias(name))
         rows = rows.join(hit.hint("merge"), ["sid", f"{name}_key"], "left").withColumn(name, F.coalesce(name, F.lit(False)))
     return rows.select(*truth.columns, "present", "is_ocr", hide.alias("must_hide"), (hide & F.when(F.col("present"), F.col("there")).otherwise(True)).alias("leaked"), (hide & F.col("present") & F.col("swapped")).alias("replaced"), (~hide & F.col("present") & F.col("there")).alias("kept"))
 

@@ -26,8 +26,8 @@ def key_of(value: Column, dtype: Column, is_ocr: Column) -> Column:
 
 
 def _patterns(needles: DataFrame) -> DataFrame:
-    """(sid, mode, patterns, widest): for each length of a text's needles the expression whose matches are its windows."""
-    heads = needles.select("sid", "mode", F.length("needle").alias("n"), F.left("needle", F.lit(HEAD)).alias("head")).distinct()
+    """(sid, mode, patterns, widest): for each length n of a text's needles the expression whose matches are its windows."""
+    heads = needles.select("sid", "mode", "n", F.left("needle", F.lit(HEAD)).alias("head")).distinct()
     ranked = heads.withColumn("r", F.row_number().over(W.partitionBy("sid", "mode", "n").orderBy("head"))).where(F.col("r") <= HEADS + 1)
     by_size = ranked.groupBy("sid", "mode", "n").agg(F.array_sort(F.collect_list("head")).alias("heads"))
     head = F.concat(F.lit("(?:"), F.array_join(F.transform("heads", X.escape_regex), "|"), F.lit(")"))
@@ -43,9 +43,11 @@ def occurring(texts: DataFrame, needles: DataFrame) -> DataFrame:
     Pieces overlap by the longest needle of their text and have a blank where the text ends, so
     that each window lies whole in one piece and shows what is before and after it. The work is text times
     lengths plus needles, not text times needles; no task holds more than a piece.
+    Needles and texts are made and dealt once: what is read of them twice has the same plan up to its exchange.
     """
-    listed = needles.select("sid", "mode", "needle").distinct()
-    short = listed.where(F.length("needle") <= WIDEST)
+    # the length is an aggregate, so that no filter on it slips below the exchange
+    listed = needles.where("mode IS NOT NULL AND needle IS NOT NULL").groupBy("sid", "mode", "needle").agg(F.max(F.length("needle")).alias("n"))
+    short, texts = listed.where(F.col("n") <= WIDEST), texts.where("sid IS NOT NULL AND mode IS NOT NULL AND text IS NOT NULL")
     laid = texts.join(_patterns(short).hint("merge"), ["sid", "mode"])
     cut = F.concat(F.array(F.lit(" ")), F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)), F.array(F.lit(" ")))
 
@@ -56,7 +58,7 @@ def occurring(texts: DataFrame, needles: DataFrame) -> DataFrame:
 
     pieces = laid.select("sid", "mode", "patterns", F.posexplode(X.let(cut, overlapping)).alias("i", "piece")).repartition("sid", "mode", "i")
     windows = pieces.select("sid", "mode", "piece", F.explode("patterns").alias("pattern")).select("sid", "mode", F.explode(F.array_distinct(F.regexp_extract_all("piece", F.col("pattern"), F.lit(1)))).alias("needle"))
-    found = short.join(windows.distinct().hint("merge"), ["sid", "mode", "needle"], "left_semi")
-    long = listed.where(F.length("needle") > WIDEST).join(texts.hint("merge"), ["sid", "mode"])
+    found = short.drop("n").join(windows.distinct().hint("merge"), ["sid", "mode", "needle"], "left_semi")
+    long = listed.where(F.col("n") > WIDEST).join(texts.hint("merge"), ["sid", "mode"])
     edge = F.regexp_like("text", F.concat(F.lit(r"(?U)(?<![\w])"), X.escape_regex(F.col("needle")), F.lit(r"(?![\w])")))
     return found.unionByName(long.where(F.contains("text", F.col("needle")) & ((F.col("mode") != FOLDED) | edge)).select("sid", "mode", "needle"))

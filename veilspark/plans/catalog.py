@@ -274,7 +274,7 @@ def q_strip_accents(spark, d):
 
 
 def _truth(spark, d):
-    e = X0.entities(spark, d)
+    e = X0.entities(spark, d, dealt=True)
     fields = F.array(*[F.struct(F.lit(t).alias("data_type"), F.col(c).alias("value"), F.lit(r).alias("expected_replacement")) for c, t, r in (("iban", "IBAN", "rep-iban"), ("ahv", "AHV_NUMBER", "rep-ahv"), ("email", "EMAIL", "rep-mail"), ("c_name", "LAST_NAME", "rep-name"), ("patient", "MEDICATION", ""))])
     rows = e.select("k", F.col("c_nationkey").cast("string").alias("document"), F.col("c_mktsegment").alias("section"), F.explode(fields).alias("f")).select("*", "f.*").drop("f")
     image = (F.col("data_type") == "AHV_NUMBER") & (F.col("k") % 2 == 0)
@@ -286,7 +286,7 @@ def _truth(spark, d):
 
 def _outputs(spark, d):
     """One masked text a nation: every seventh identity is left clear, medication of every fifth is lost, nation 3 has no output."""
-    e = X0.entities(spark, d).where("c_nationkey <> 3")
+    e = X0.entities(spark, d, dealt=True).where("c_nationkey <> 3")
     clear = F.col("k") % 7 == 0
     mine = F.concat_ws(" ", F.when(clear, F.col("iban")).otherwise(F.lit("rep-iban")), F.when(clear & (F.col("k") % 2 == 1), F.col("ahv")).otherwise(F.lit("rep-ahv")), F.when(clear, F.col("email")).otherwise(F.lit("rep-mail")), F.when(clear, F.upper("c_name")).otherwise(F.lit("rep-name")), F.when(F.col("k") % 5 != 0, F.col("patient")))
     image = F.when(clear & (F.col("k") % 2 == 0), F.replace("ahv", F.lit("."), F.lit(" . "))).otherwise(F.lit("rep-ahv"))

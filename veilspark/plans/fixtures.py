@@ -15,8 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One fictional identity a customer; every third key has wrong check digits."""
+def entities(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+    """One fictional identity a customer; every third key has wrong check digits.
+
+    dealt: customers are dealt by key first, since a file of one row group is read by one task, which would make all identities.
+    """
     k = F.col("c_custkey")
     bban = F.concat(F.lit("8"), F.lpad((k * 7919 % 10**12).cast("string"), 16, "0"))
     check = X.iban_check_digits(F.lit("CH"), bban)
@@ -26,6 +29,7 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = ((digit.cast("int") + 1) % 10).cast("string")
     spoiled = k % 3 == 0
     customers = table(spark, sf_dir, "customer")
+    customers = customers.repartition("c_custkey") if dealt else customers
     return customers.select(
         k.alias("k"), "c_name", "c_nationkey", "c_mktsegment",
         X.iban_format(F.concat(F.lit("CH"), F.when(spoiled, wrong).otherwise(check), bban)).alias("iban"),

@@ -126,7 +126,7 @@ def q_integrity(spark, d):
 @query(f"""WITH {SQL_ENTITIES}, e AS (SELECT CAST(c_nationkey AS VARCHAR) AS document, k, iban FROM entities), r AS (SELECT document, iban, row_number() OVER (PARTITION BY document ORDER BY iban) AS n FROM e WHERE k % 4 = 0)
 SELECT document, string_agg(iban, ',' ORDER BY iban) AS examples FROM r WHERE n <= 10 GROUP BY document""")
 def q_decoy_examples(spark, d):
-    e = X0.entities(spark, d).select(F.col("c_nationkey").cast("string").alias("document"), "k", "iban")
+    e = X0.entities(spark, d, dealt=True).select(F.col("c_nationkey").cast("string").alias("document"), "k", "iban")
     outputs = e.groupBy("document").agg(F.concat_ws(" | ", F.array_sort(F.collect_list(F.when(F.col("k") % 4 != 0, F.col("iban"))))).alias("text"))
     return E.decoy_examples(outputs, e.select("document", F.col("iban").alias("value"))).select("document", F.array_join("decoys_modified_examples", ",").alias("examples"))
 
