@@ -1,6 +1,7 @@
 """Joins and searches whose cost must follow the tables: nothing exploded is broadcast, no text is searched once a value."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -120,3 +121,18 @@ def test_identities_are_not_made_by_the_task_that_reads(spark, name):
     # customers of a file with one row group are dealt before their check digits are made
     p = plan(catalog.QUERIES[name](spark, SF))
     assert "hashpartitioning(c_custkey" in p
+
+
+@pytest.mark.parametrize("name", ["q_leaks_by_document", "q_leaks_grouping_sets", "q_verdict", "q_decoy_examples", "q_coherence"])
+def test_needles_are_not_dealt(spark, name):
+    # only lengths, heads and needles too long for windows are gathered; windows meet the rows themselves
+    p = plan(catalog.QUERIES[name](spark, SF))
+    assert re.search(r"hashpartitioning\(sid#\w+, mode#\w+, size#\w+, head#\w+, needle#|hashpartitioning\(sid#\w+, size#\w+, head#\w+, needle#", p)
+    assert not re.search(r"hashpartitioning\((sid|document)#\w+, (mode#\w+, )?needle#", p)
+
+
+def test_edges_and_folds_of_odd_texts(spark):
+    df = spark.createDataFrame([(v,) for v in [*CASES, *TEXTS, "ΑΣ ς", "a\u0301b", "x\u0001y", "$0 \\1", "ß_1-é", "\u200db"]], "t string")
+    old = F.regexp_replace(F.translate("t", "\u0001", " "), r"(?U)(?<![\w])(?=[\w])|(?<=[\w])(?![\w])", "\u0001")
+    fold = F.replace(F.translate(F.lower("t"), "ς", "σ"), F.lit("ß"), F.lit("ss"))
+    assert df.where(~X.edged(F.col("t")).eqNullSafe(old) | ~X.casefold(F.col("t")).eqNullSafe(fold)).count() == 0

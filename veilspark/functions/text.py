@@ -59,7 +59,7 @@ def norm(s: Column) -> Column:
 
 def casefold(s: Column) -> Column:
     """Lower case with sharp s as ss and final sigma as sigma."""
-    return F.replace(F.translate(F.lower(s), "ς", "σ"), F.lit("ß"), F.lit("ss"))
+    return F.replace(F.replace(F.lower(s), F.lit("ς"), F.lit("σ")), F.lit("ß"), F.lit("ss"))
 
 
 def collapse(s: Column) -> Column:
@@ -185,12 +185,12 @@ def squeeze(s: Column) -> Column:
     return casefold(norm(s))
 
 
-_EDGE = "\u0001"
+EDGE = "\u0001"
 
 
 def edged(s: Column) -> Column:
     """s with a mark wherever a word begins or ends, so that a search between marks is one between word boundaries."""
-    return F.regexp_replace(F.translate(s, _EDGE, " "), r"(?U)(?<![\w])(?=[\w])|(?<=[\w])(?![\w])", _EDGE)
+    return F.regexp_replace(F.replace(s, F.lit(EDGE), F.lit(" ")), r"(?U)\w+", f"{EDGE}$0{EDGE}")
 
 
 def contains_prepared(folded: Column, squeezed: Column, edges: Column, value: Column, dtype: Column, is_ocr: Column) -> Column:

@@ -78,10 +78,11 @@ def scoped(truth: DataFrame, outputs: DataFrame) -> DataFrame:
 PLACE = ["document", "location_type", "page", "sheet", "cell", "paragraph"]
 
 
-def judged(truth: DataFrame, outputs: DataFrame, strict: bool = False) -> DataFrame:
+def judged(truth: DataFrame, outputs: DataFrame, strict: bool = False, replacements: bool = True) -> DataFrame:
     """Ground truth with present, is_ocr, must_hide, leaked, replaced and kept; a missing document leaks all it had to hide.
 
-    Each text is searched once for all values and replacements that are looked for in it (search.occurring).
+    Each text is searched once for all values and replacements that are looked for in it (search.standing).
+    Without replacements these aren't looked for, and there is no column `replaced`.
     """
     hide = (F.col("expected_action") == "PSEUDONYMIZE") | (F.lit(strict) & F.col("present"))
     target = F.when(F.lit(strict) & (F.col("expected_action") == "KEEP"), F.col("strict_replacement")).otherwise(F.col("expected_replacement"))
@@ -94,14 +95,14 @@ def judged(truth: DataFrame, outputs: DataFrame, strict: bool = False) -> DataFr
     rows = truth.join(there, "document", "left").withColumn("present", F.coalesce("present", F.lit(False))).withColumn("is_ocr", F.col("present") & (F.col("location_type") == "image"))
     key = lambda value: F.when(F.col("present"), S.key_of(value, F.col("data_type"), F.col("is_ocr")))
     # a replacement counts only where something is to be hidden
-    rows = rows.select(*truth.columns, "present", "is_ocr", sid, key(F.col("value")).alias("there_key"), F.when(F.coalesce(hide, F.lit(True)), key(target)).alias("swapped_key"))
-    needles = rows.select("sid", F.explode(F.array("there_key", "swapped_key")).alias("key")).where("key IS NOT NULL")
-    found = S.occurring(texts, needles.select("sid", F.left("key", F.lit(1)).alias("mode"), F.substr("key", F.lit(2)).alias("needle")))
-    for name in ("there", "swapped"):
-        # never null: a filter that the join infers would keep the needles from being dealt once
-        hit = found.select("sid", F.coalesce(F.concat("mode", "needle"), F.lit("")).alias(f"{name}_key"), F.lit(True).alias(name))
+    keys = {"there": key(F.col("value"))} | ({"swapped": F.when(F.coalesce(hide, F.lit(True)), key(target))} if replacements else {})
+    rows = rows.select(*truth.columns, "present", "is_ocr", sid, *[k.alias(f"{name}_key") for name, k in keys.items()])
+    found = S.standing(texts, rows.select("sid", F.explode(F.array(*[f"{name}_key" for name in keys])).alias("key")))
+    for name in keys:
+        hit = found.select("sid", F.col("key").alias(f"{name}_key"), F.lit(True).alias(name))
         rows = rows.join(hit.hint("merge"), ["sid", f"{name}_key"], "left").withColumn(name, F.coalesce(name, F.lit(False)))
-    return rows.select(*truth.columns, "present", "is_ocr", hide.alias("must_hide"), (hide & F.when(F.col("present"), F.col("there")).otherwise(True)).alias("leaked"), (hide & F.col("present") & F.col("swapped")).alias("replaced"), (~hide & F.col("present") & F.col("there")).alias("kept"))
+    replaced = [(hide & F.col("present") & F.col("swapped")).alias("replaced")] if replacements else []
+    return rows.select(*truth.columns, "present", "is_ocr", hide.alias("must_hide"), (hide & F.when(F.col("present"), F.col("there")).otherwise(True)).alias("leaked"), *replaced, (~hide & F.col("present") & F.col("there")).alias("kept"))
 
 
 def _counts() -> list[Column]:
@@ -179,11 +180,11 @@ def decoys_modified(outputs: DataFrame, decoys: DataFrame) -> DataFrame:
 
 def _looked_for(outputs: DataFrame, decoys: DataFrame) -> DataFrame:
     """decoys (document, value, ..) that aren't empty, of documents that are there, with `gone`: not in the document's text without regard to white space and case."""
-    rows = decoys.where("value <> ''").join(outputs.select("document").distinct().hint("merge"), "document").withColumn("needle", X.squeeze(F.col("value")))
-    kind = F.lit(S.SQUEEZED).alias("mode")
-    texts = outputs.select(F.col("document").alias("sid"), kind, X.squeeze(F.col("text")).alias("text"))
-    found = S.occurring(texts, rows.select(F.col("document").alias("sid"), kind, "needle")).select(F.col("sid").alias("document"), "needle", F.lit(True).alias("there"))
-    return rows.join(found.hint("merge"), ["document", "needle"], "left").withColumn("gone", F.col("there").isNull()).select(*decoys.columns, "gone")
+    sid = F.col("document").alias("sid")
+    rows = decoys.where("value <> ''").join(outputs.select("document").distinct().hint("merge"), "document").withColumn("key", F.concat(F.lit(S.SQUEEZED), X.squeeze(F.col("value"))))
+    texts = outputs.select(sid, F.lit(S.SQUEEZED).alias("mode"), X.squeeze(F.col("text")).alias("text"))
+    found = S.standing(texts, rows.select(sid, "key")).select(F.col("sid").alias("document"), "key", F.lit(True).alias("there"))
+    return rows.join(found.hint("merge"), ["document", "key"], "left").withColumn("gone", F.col("there").isNull()).select(*decoys.columns, "gone")
 
 
 def decoy_examples(outputs: DataFrame, decoys: DataFrame, n: int = DECOY_EXAMPLES, order: str = "value") -> DataFrame:
