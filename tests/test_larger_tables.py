@@ -131,6 +131,26 @@ def test_needles_are_not_dealt(spark, name):
     assert not re.search(r"hashpartitioning\((sid|document)#\w+, (mode#\w+, )?needle#", p)
 
 
+def test_leaks_by_document_go_through_the_rows_once(spark):
+    joins = lambda name: plan(catalog.QUERIES[name](spark, SF)).count("SortMergeJoin")
+    assert joins("q_leaks_by_document") == joins("q_leaks_grouping_sets")
+
+
+def test_leaks_by_document_against_a_loop(spark):
+    r = random.Random(9)
+    rows = [(r.choice("abc") if i % 7 else None, f"{r.randrange(10**6):06}", r.choice(("IBAN", "EMAIL")), None if i % 31 == 0 else f"v{i}", r.choice((True, True, False, None)), r.choice(("text", "image"))) for i in range(900)]
+    rows += [("few", "9", "IBAN", "x", True, "text"), ("few", None, "IBAN", "y", True, "text"), ("none", "1", "IBAN", "z", False, "text")]
+    df = spark.createDataFrame(rows, "document string, gt_id string, data_type string, value string, leaked boolean, location_type string")
+    df = df.selectExpr("*", "coalesce(leaked, false) must_hide", "false replaced", "true present", "not leaked kept")
+    want = {}
+    for doc in {x[0] for x in rows}:
+        own = [x for x in rows if x[0] == doc]
+        first = sorted((x for x in own if x[4]), key=lambda x: (x[1] is not None, x[1] or "", x[2], x[3] or ""))[: E.LEAK_EXAMPLES]
+        want[doc] = (sum(x[4] is True for x in own), sum(x[4] is True and x[5] == "image" for x in own), "; ".join(" ".join(v for v in x[1:4] if v is not None) for x in first))
+    got = {x.document: (x.leaked, x.image_leaked, x.leak_examples) for x in E.by_document(df).collect()}
+    assert got == want and max(x[0] for x in want.values()) > 5 * E.LEAK_EXAMPLES
+
+
 def test_edges_and_folds_of_odd_texts(spark):
     df = spark.createDataFrame([(v,) for v in [*CASES, *TEXTS, "ΑΣ ς", "a\u0301b", "x\u0001y", "$0 \\1", "ß_1-é", "\u200db"]], "t string")
     old = F.regexp_replace(F.translate("t", "\u0001", " "), r"(?U)(?<![\w])(?=[\w])|(?<=[\w])(?![\w])", "\u0001")

@@ -118,11 +118,19 @@ def by_type(rows: DataFrame) -> DataFrame:
     return rows.groupBy("data_type").agg(*_counts())
 
 
+#: Parts of a document's rows that are sorted apart, so that no task sorts all of a large document.
+PARTS = 64
+
+
 def by_document(rows: DataFrame) -> DataFrame:
-    """Counts a document, and its first leaks by gt_id as text; the examples are cut before they are gathered."""
-    first = rows.where("leaked").withColumn("n", F.row_number().over(W.partitionBy("document").orderBy("gt_id"))).where(F.col("n") <= LEAK_EXAMPLES)
-    shown = first.groupBy("document").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", F.format_string("%06d", "n"), "gt_id", "data_type", "value"))), "; ").alias("leak_examples"))
-    return rows.groupBy("document").agg(*_counts()).join(shown, "document", "left").withColumn("leak_examples", F.coalesce(F.regexp_replace("leak_examples", r"(^|; )\d{6} ", "$1"), F.lit("")))
+    """Counts a document, and its first leaks by gt_id as text. Rows are gone through once; the examples are cut in parts of a document before they are gathered."""
+    order = ["gt_id", "data_type", "value"]
+    line = F.struct("gt_id", F.concat_ws(" ", *order).alias("line"))
+    ranked = rows.withColumn("part", F.pmod(F.xxhash64("gt_id"), F.lit(PARTS))).withColumn("n", F.row_number().over(W.partitionBy("document", "part").orderBy(F.desc("leaked"), *order)))
+    parts = ranked.groupBy("document", "part").agg(*_counts(), F.collect_list(F.when(F.col("leaked") & (F.col("n") <= LEAK_EXAMPLES), line)).alias("first"))
+    names = [c for c in parts.columns if c not in ("document", "part", "first")]
+    shown = F.slice(F.array_sort(F.flatten(F.collect_list("first"))), 1, LEAK_EXAMPLES)
+    return parts.groupBy("document").agg(*[F.sum(c).alias(c) for c in names], F.array_join(F.transform(shown, lambda x: x["line"]), "; ").alias("leak_examples"))
 
 
 def grouped(rows: DataFrame) -> DataFrame:
