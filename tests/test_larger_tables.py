@@ -131,6 +131,11 @@ def test_needles_are_not_dealt(spark, name):
     assert not re.search(r"hashpartitioning\((sid|document)#\w+, (mode#\w+, )?needle#", p)
 
 
+@pytest.mark.parametrize("name", ["q_coherence"])
+def test_replacements_are_looked_for_only_if_asked_for(spark, name):
+    assert "swapped" not in plan(catalog.QUERIES[name](spark, SF))
+
+
 def test_leaks_by_document_go_through_the_rows_once(spark):
     joins = lambda name: plan(catalog.QUERIES[name](spark, SF)).count("SortMergeJoin")
     assert joins("q_leaks_by_document") == joins("q_leaks_grouping_sets")
@@ -151,6 +156,15 @@ def test_leaks_by_document_against_a_loop(spark):
     assert got == want and max(x[0] for x in want.values()) > 5 * E.LEAK_EXAMPLES
 
 
+def test_coherence_of_odd_rows(spark):
+    kind = "document string, value string, section string, location_type string, expected_action string, present boolean, leaked boolean"
+    hide = "PSEUDONYMIZE"
+    rows = [("a", "v", "s", "text", hide, True, True), ("a", "v", "", "image", hide, True, True), ("a", "v", None, "image", hide, True, False), ("a", "one", "s", "text", hide, True, True), ("a", "one", "s", "image", hide, True, True)]
+    rows += [("a", "kept", "s", "text", hide, True, True), ("a", "kept", "t", "text", "KEEP", True, False), ("a", None, "s", "text", hide, True, True), ("a", None, "t", "text", hide, True, True)]
+    rows += [("b", "v", "s", "text", hide, True, False), ("b", "v", "t", "text", hide, True, None), ("c", "v", "s", "text", hide, False, True), ("c", "v", "t", "text", hide, False, True), ("d", "v", "s", "text", hide, True, True)]
+    assert {tuple(r) for r in E.coherence(spark.createDataFrame(rows, kind)).collect()} == {("a", 2, 2), ("b", 1, 0)}
+
+
 def test_edges_and_folds_of_odd_texts(spark):
     df = spark.createDataFrame([(v,) for v in [*CASES, *TEXTS, "ΑΣ ς", "a\u0301b", "x\u0001y", "$0 \\1", "ß_1-é", "\u200db"]], "t string")
     old = F.regexp_replace(F.translate("t", "\u0001", " "), r"(?U)(?<![\w])(?=[\w])|(?<=[\w])(?![\w])", "\u0001")

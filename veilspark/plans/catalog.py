@@ -350,7 +350,7 @@ def q_coherence(spark, d):
     truth = _truth(spark, d)
     also = truth.where("CAST(substr(gt_id, 1, 9) AS INT) % 4 = 0").withColumn("section", F.lit("OTHER"))
     both = truth.unionByName(also)
-    return E.coherence(both, E.judged(both, _outputs(spark, d)))
+    return E.coherence(E.judged(both, _outputs(spark, d), replacements=False))
 
 
 @query(f"""WITH {SQL_NOTES}, v AS (SELECT *, {sql_luhn('card')} AS luhn FROM notes)
