@@ -131,7 +131,7 @@ def test_needles_are_not_dealt(spark, name):
     assert not re.search(r"hashpartitioning\((sid|document)#\w+, (mode#\w+, )?needle#", p)
 
 
-@pytest.mark.parametrize("name", ["q_coherence"])
+@pytest.mark.parametrize("name", ["q_verdict", "q_coherence"])
 def test_replacements_are_looked_for_only_if_asked_for(spark, name):
     assert "swapped" not in plan(catalog.QUERIES[name](spark, SF))
 
