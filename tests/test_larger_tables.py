@@ -170,3 +170,9 @@ def test_edges_and_folds_of_odd_texts(spark):
     old = F.regexp_replace(F.translate("t", "\u0001", " "), r"(?U)(?<![\w])(?=[\w])|(?<=[\w])(?![\w])", "\u0001")
     fold = F.replace(F.translate(F.lower("t"), "ς", "σ"), F.lit("ß"), F.lit("ss"))
     assert df.where(~X.edged(F.col("t")).eqNullSafe(old) | ~X.casefold(F.col("t")).eqNullSafe(fold)).count() == 0
+
+
+def test_decoys_meet_their_documents_after_the_search(spark):
+    # only modified decoys are dealt by document, not all of them ahead of the search
+    p = plan(catalog.QUERIES["q_decoy_examples"](spark, SF))
+    assert re.search(r"Join \[document#\w+\], \[document#\w+\], LeftSemi", p) and not re.search(r"Join \[document#\w+\], \[document#\w+\], Inner", p)

@@ -189,10 +189,11 @@ def decoys_modified(outputs: DataFrame, decoys: DataFrame) -> DataFrame:
 def _looked_for(outputs: DataFrame, decoys: DataFrame) -> DataFrame:
     """decoys (document, value, ..) that aren't empty, of documents that are there, with `gone`: not in the document's text without regard to white space and case."""
     sid = F.col("document").alias("sid")
-    rows = decoys.where("value <> ''").join(outputs.select("document").distinct().hint("merge"), "document").withColumn("key", F.concat(F.lit(S.SQUEEZED), X.squeeze(F.col("value"))))
+    rows = decoys.where("value <> ''").withColumn("key", F.concat(F.lit(S.SQUEEZED), X.squeeze(F.col("value"))))
     texts = outputs.select(sid, F.lit(S.SQUEEZED).alias("mode"), X.squeeze(F.col("text")).alias("text"))
     found = S.standing(texts, rows.select(sid, "key")).select(F.col("sid").alias("document"), "key", F.lit(True).alias("there"))
-    return rows.join(found.hint("merge"), ["document", "key"], "left").withColumn("gone", F.col("there").isNull()).select(*decoys.columns, "gone")
+    there = outputs.select("document").distinct()
+    return rows.join(found.hint("merge"), ["document", "key"], "left").withColumn("gone", F.col("there").isNull()).join(there, "document", "left_semi").select(*decoys.columns, "gone")
 
 
 def decoy_examples(outputs: DataFrame, decoys: DataFrame, n: int = DECOY_EXAMPLES, order: str = "value") -> DataFrame:
